@@ -32,27 +32,19 @@ def row_numbers(spark: SparkSession, tasks: int, rows_per_task: int) -> DataFram
 # -- dictionary ------------------------------------------------------------------------------
 
 
-def with_word(df: DataFrame, index: str, out: str = "word", seed: int = DEFAULT_SEED) -> DataFrame:
-    """Word number ``index`` of the dictionary, computed in place.
+def dictionary(spark: SparkSession, size: int, seed: int = DEFAULT_SEED) -> DataFrame:
+    """(index, word) for 0 .. size-1.
 
-    The word starts at draw 27 * index: one draw for its length (2 .. 14), then one per letter.
+    A word starts at draw 27 * index: one draw for its length (2 .. 14), then one per letter. Each
+    draw is a row; a word gathers at most 15 of them.
     """
-    start = F.col(index).cast("long") * DRAWS_PER_WORD
-    df = with_uniform(df, start, "__len", seed)
-    draws = [f"__d{i}" for i in range(LONGEST)]
-    for i, draw in enumerate(draws):
-        df = with_uniform(df, start + (i + 1), draw, seed)
-    length = F.floor(F.col("__len") * LENGTH_CHOICES) + MIN_LENGTH
-    letters = [
-        F.when(F.lit(i) < length, F.char(F.floor(F.col(d) * ALPHABET) + F.lit(ord("a")))).otherwise("")
-        for i, d in enumerate(draws)
-    ]
-    return df.withColumn(out, F.concat(*letters)).drop("__len", *draws)
-
-
-def dictionary(spark: SparkSession, size: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """(index, word) for 0 .. size-1."""
-    return with_word(spark.range(size).withColumnRenamed("id", "index"), "index", "word", seed)
+    draws = spark.range(size).select(F.col("id").alias("index"), F.explode(F.sequence(F.lit(0), F.lit(LONGEST))).alias("j"))
+    draws = with_uniform(draws, F.col("index") * DRAWS_PER_WORD + F.col("j"), "u", seed)
+    letter = F.char(F.floor(F.col("u") * ALPHABET) + F.lit(ord("a")))
+    length = F.max(F.when(F.col("j") == 0, F.floor(F.col("u") * LENGTH_CHOICES) + MIN_LENGTH))
+    letters = F.sort_array(F.collect_list(F.when(F.col("j") > 0, F.struct("j", letter.alias("c")))))
+    words = draws.groupBy("index").agg(length.cast("int").alias("n"), letters.alias("letters"))
+    return words.select("index", F.array_join(F.slice(F.col("letters.c"), F.lit(1), F.col("n")), "").alias("word"))
 
 
 # -- distributions over 0 .. k-1 ---------------------------------------------------------------
@@ -169,17 +161,16 @@ def with_sampled_word(
 ) -> DataFrame:
     """The word of row number ``i``.
 
-    Row i draws once, from a generator seeded with seed + i. A dictionary of checked size is looked
-    up; a larger one is never built, its words are computed where they are needed.
+    Row i draws once, from a generator seeded with seed + i. The dictionary is broadcast up to
+    ``MAX_TABLE`` words and joined by shuffle beyond, where AQE splits words that are drawn often.
     """
     df = with_uniform(df, F.col(i), "__u", seed)
     df = with_distribution(df, dictionary_size, distribution, parameter, "__u", "__index").drop("__u")
-    if dictionary_size <= MAX_TABLE:
-        words = dictionary(df.sparkSession, dictionary_size, seed).select(
-            F.col("index").cast("int").alias("__index"), F.col("word").alias(out)
-        )
-        return df.join(F.broadcast(words), "__index").drop("__index")
-    return with_word(df, "__index", out, seed).drop("__index")
+    words = dictionary(df.sparkSession, dictionary_size, seed).select(
+        F.col("index").cast("int").alias("__index"), F.col("word").alias(out)
+    )
+    side = F.broadcast(words) if dictionary_size <= MAX_TABLE else words
+    return df.join(side, "__index").drop("__index")
 
 
 def generate_words(

@@ -114,7 +114,7 @@ def scaleout_tiers(items: DataFrame, key: str, unit: int, parallelism: Column, m
         "level", F.sum("n").over(upto).alias("hosts"), F.sum("p").over(upto).alias("parallelism"),
         F.sum("m").over(upto).alias("memory"),
     )
-    size = F.lit(unit) * F.shiftleft(F.lit(1).cast("long"), F.col("level"))
+    size = F.lit(unit) * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
     named = sums.where(F.col("hosts") == size).select(
         F.format_string("top%03d", size).alias("tier"),
         "hosts", "parallelism", "memory",

@@ -113,6 +113,23 @@ def extract_routed(spark: SparkSession, routed: DataFrame, extractors: dict[str,
     return rows.join(broadcast_if_small(context), ["file", "extractor"])
 
 
+def routed_files(spark: SparkSession, root: str, runs: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
+    """Files of successful runs with the extractors that want them; a small table, checkpointed."""
+    files = files_of_successful_runs(scan_files(spark, root), runs)
+    return cut_lineage(route_files(files, extractors.values()))
+
+
+def extract_counts(
+    spark: SparkSession, root: str, runs: DataFrame, extractors: dict[str, Extractor] | None = None
+) -> DataFrame:
+    """Number of events per suite and extractor."""
+    extractors = extractors or registered()
+    extracted = extract_routed(spark, routed_files(spark, root, runs, extractors), extractors)
+    if extracted is None:
+        return spark.createDataFrame([], "suite string, extractor string, n bigint")
+    return accepted(extracted).groupBy("suite", "extractor").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_suites(spark: SparkSession, root: str, extractors: dict[str, Extractor] | None = None) -> Import:
     """All relations of the run folders ``<root>/<suite>/<experiment>.runNN``.
 
@@ -122,9 +139,7 @@ def read_suites(spark: SparkSession, root: str, extractors: dict[str, Extractor]
     states, state_rejects = scan_run_states(spark, root)
     states = cut_lineage(states)
     runs = runs_of(states)
-    routed = cut_lineage(
-        route_files(files_of_successful_runs(scan_files(spark, root), runs), extractors.values())
-    )
+    routed = routed_files(spark, root, runs, extractors)
     unnamed = named_states(states).where(F.col("run_name").isNull())
     clashes = conflicting_experiments(states).select(
         F.lit(None).cast("string").alias("file"), "suite", "name", F.lit("several runners").alias("reason")

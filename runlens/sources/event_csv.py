@@ -25,4 +25,4 @@ def read_event_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def read_key_values(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Headerless (long, string) CSV."""
-    return spark.read.schema(KEY_VALUE).csv(path)
+    return spark.read.schema(KEY_VALUE).csv(path, sep=",", quote='"', escape='"')

@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Accuracy of the rank sketch that brackets a median: rank error is at most rows / accuracy.
@@ -53,32 +53,52 @@ def reduce_per_key(
 ) -> DataFrame:
     """Fold the values of each key with an associative, commutative Python function.
 
-    Combines inside every task, then in ``salts`` buckets per key, then per key: the final group
-    holds one row per bucket, whatever the number of rows of its key.
+    Combines inside every task, then in ``salts`` buckets per key, then per key: the last step sees
+    one row per bucket, whatever the number of rows of its key. Each step streams Arrow batches; the
+    last one reads them in key order and holds a single key across batches.
     """
     pairs = df.select(key, value)
     schema = pairs.schema
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        folded = pdf.groupby(key, dropna=False, sort=False)[value].agg(lambda s: functools.reduce(fn, s))
-        return folded.reset_index()[[key, value]]
+    def fold(batch, held: dict) -> dict:
+        for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held[k] = fn(held[k], v) if k in held else v
+        return held
+
+    def to_batch(held: dict, like: pa.Schema) -> pa.RecordBatch:
+        columns = [pa.array(part, type=field.type) for part, field in zip((held.keys(), held.values()), like)]
+        return pa.RecordBatch.from_arrays(columns, schema=like)
 
     def combine(batches):
-        held = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            held = fold(pdf if held is None else pd.concat([held, pdf], ignore_index=True))
+        held, like = {}, None
+        for batch in batches:
+            like = batch.schema
+            held = fold(batch, held)
             if len(held) > COMBINE_ROWS:
-                yield held
-                held = None
-        if held is not None:
-            yield held
-
-    partial = pairs.mapInPandas(combine, schema)
+                yield to_batch(held, like)
+                held = {}
+        if held:
+            yield to_batch(held, like)
+
+    def finish(batches):
+        held, like = {}, None
+        for batch in batches:
+            like = batch.schema
+            held = fold(batch, held)
+            if held:
+                # later batches can only go on with the last key
+                last = next(reversed(held))
+                rest = held.pop(last)
+                if held:
+                    yield to_batch(held, like)
+                held = {last: rest}
+        if held:
+            yield to_batch(held, like)
+
+    partial = pairs.mapInArrow(combine, schema)
     salted = partial.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    buckets = salted.groupBy(key, "__salt").applyInPandas(lambda pdf: fold(pdf[[key, value]]), schema)
-    return buckets.groupBy(key).applyInPandas(fold, schema)
+    buckets = salted.repartition(key, "__salt").select(key, value).mapInArrow(combine, schema)
+    return buckets.repartition(key).sortWithinPartitions(key).mapInArrow(finish, schema)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:

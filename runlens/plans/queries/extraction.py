@@ -14,7 +14,9 @@ from runlens.plans.queries import sql
 from runlens.sources.files import scan_files
 from runlens.sources.states import scan_run_states
 
-_AT = format_millis(F.col("v_timestamp")).alias("at")
+
+def _at():
+    return format_millis(F.col("v_timestamp")).alias("at")
 
 
 @query(f"""SELECT 'jm-' || event_type AS file, 'state_change_' || lower({sql.STATE}) AS name, event_type AS task,
@@ -22,7 +24,7 @@ _AT = format_millis(F.col("v_timestamp")).alias("at")
 FROM events WHERE event_id % 5 < 4""")
 def extract_flink_v1(t: a.Tables) -> DataFrame:
     events = accepted(extract_task_states(a.flink_lines(t, a.flink_v1_line())))
-    return events.select("file", "name", "task", "task_instance", _AT)
+    return events.select("file", "name", "task", "task_instance", _at())
 
 
 @query(f"""SELECT 'jm-' || event_type AS file, 'state_change_' || lower({sql.STATE}) AS name,
@@ -31,7 +33,7 @@ def extract_flink_v1(t: a.Tables) -> DataFrame:
 FROM events WHERE event_id % 5 < 4""")
 def extract_flink_v2(t: a.Tables) -> DataFrame:
     events = accepted(extract_task_states(a.flink_lines(t, a.flink_v2_line())))
-    return events.select("file", "name", "task", "task_instance", _AT)
+    return events.select("file", "name", "task", "task_instance", _at())
 
 
 _TASKS = f"""SELECT 'app-' || event_type AS file, change AS name, 'stage-' || user_id || '#0' AS task,

@@ -36,14 +36,14 @@ def max_value_per_key(t: a.Tables) -> DataFrame:
     return agg.max_value_per_key(_pairs(t))
 
 
-def longer(left: str, right: str) -> str:
-    """The longer string, the larger one of two equally long ones."""
-    return max(left, right, key=lambda s: (len(s), s))
-
-
 @query(f"""SELECT k, max(struct_pack(l := length(v), v := v)).v AS v
 FROM (SELECT l_partkey AS k, {_VALUE} AS v FROM lineitem) GROUP BY k""")
 def user_reduce(t: a.Tables) -> DataFrame:
+    """The longest value per key, the largest one of equally long ones, by a Python function."""
+
+    def longer(left: str, right: str) -> str:
+        return max(left, right, key=lambda s: (len(s), s))
+
     return agg.reduce_per_key(_pairs(t), "k", "v", longer)
 
 

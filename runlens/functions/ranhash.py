@@ -4,15 +4,17 @@ The generator is the 64-bit hash of Numerical Recipes (3rd ed., p. 352) on ``see
 row computes its own draw, so generated data does not depend on partitioning. Longs raise on
 overflow under ANSI, so the two wrapping products are put together from 22-bit limbs, which stay
 below 2**47. Every step is its own projection: the optimizer leaves them apart, as each value is
-used more than once, and code generation turns them into local variables. The last step is a
-generator of one element: predicates on the draw stop there, instead of being rewritten into an
-expression of thousands of terms on their way down the projections.
+used more than once, and code generation turns them into local variables. The draw itself is
+``evaluated``: a predicate on it would otherwise be rewritten into an expression of thousands of
+terms on its way down the projections.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runlens.functions.once import evaluated
+
 # Generator constants.
 FIRST_FACTOR = 3935559000370003845
 INCREMENT = 2691343689449507681
@@ -64,7 +66,7 @@ def with_uniform(df: DataFrame, position: Column, out: str = "u", seed: int = DE
     df = _multiply_add(df, SECOND_FACTOR, 0)
     df = _xor_shift(_xor_shift(_xor_shift(df, F.shiftleft, 20), F.shiftright, 41), F.shiftleft, 5)
     draw = F.col(_X).cast("double") * F.lit(TWO_POW_NEG_64) + F.lit(0.5)
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.explode(F.array(draw)).alias(out))
+    return evaluated(df, **{out: draw}).select(*[F.col(f"`{c}`") for c in keep], out)
 
 
 def with_bounded_int(df: DataFrame, position: Column, bound: int, out: str, seed: int = DEFAULT_SEED) -> DataFrame:

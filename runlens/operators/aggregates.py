@@ -9,9 +9,13 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from runlens.session import broadcast_if_small, cut_lineage
+
 # Accuracy of the rank sketch that brackets a median: rank error is at most rows / accuracy.
 SKETCH_ACCURACY = 100_000
 SALTS = 64
+# Rows of a group that one task may hold.
+MAX_GROUP = 1_000_000
 # Distinct keys a combining task may hold before it hands its rows on.
 COMBINE_ROWS = 100_000
 
@@ -101,49 +105,71 @@ def reduce_per_key(
     return buckets.repartition(key).sortWithinPartitions(key).mapInArrow(finish, schema)
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median") -> DataFrame:
-    """Exact median (mean of the two middle values) per group, with bounded state.
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, out: str = "median", max_group: int = MAX_GROUP
+) -> DataFrame:
+    """Exact median (mean of the two middle values) per group; nulls do not count.
+
+    The built-in median holds the values of a group in one task, so it gets the groups of at most
+    ``max_group`` rows only. Larger ones, of which there are few, go through ``_bracketed_median``.
+    Runs a job to size the input and, if that is large, one to find the large groups.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    if rows.limit(max_group + 1).count() <= max_group:
+        return _plain_median(rows, keys, value, out)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = cut_lineage(sizes.where(F.col("__n") > max_group).select(*keys))
+    if hot.isEmpty():
+        return _plain_median(rows, keys, value, out)
+    side, cond = broadcast_if_small(hot).alias("s"), _same_keys(keys)
+    cold_rows = rows.alias("r").join(side, cond, "left_anti")
+    hot_rows = rows.alias("r").join(side, cond, "left_semi")
+    return _plain_median(cold_rows, keys, value, out).unionByName(_bracketed_median(hot_rows, keys, value, out))
+
+
+def _same_keys(keys: Sequence[str]) -> Column:
+    return functools.reduce(Column.__and__, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+
+
+def _plain_median(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.median(value).alias(out))
+
+
+def _bracketed_median(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Median of large groups, with bounded state.
 
     A rank sketch gives two values that enclose the middle; one more pass counts what lies below
-    them and the distinct values between, and the middle rank is looked up there. No group is ever
-    held as a whole. Should a bracket miss (the sketch promises it does not), its group gets the
-    built-in percentile.
+    them and the distinct values between, and the middle ranks are looked up there. Should a bracket
+    miss (the sketch promises it does not), its group gets the built-in median.
     """
-    rows = df.where(F.col(value).isNotNull())
     slack = 2.0 / SKETCH_ACCURACY
     bracket = F.percentile_approx(value, [0.5 - slack, 0.5 + slack], SKETCH_ACCURACY)
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), bracket.alias("__b"))
     stats = stats.select(
-        *keys, "__n", F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"),
+        *keys, F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"),
         F.floor((F.col("__n") + 1) / 2).alias("__r1"), F.floor(F.col("__n") / 2 + 1).alias("__r2"),
     )
-    cond = functools.reduce(Column.__and__, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    ranks = ["__r1", "__r2"]
     v = F.col(f"r.{value}")
-    near = rows.alias("r").join(stats.alias("s"), cond).select(
-        *[F.col(f"r.{k}") for k in keys], "__n", "__r1", "__r2",
-        F.when(v < F.col("__lo"), F.lit(None)).otherwise(v).alias("__v"),
-        (v > F.col("__hi")).alias("__above"),
-    ).where(~F.col("__above"))
+    # few groups are large: their brackets fit everywhere
+    near = rows.alias("r").join(broadcast_if_small(cut_lineage(stats)).alias("s"), _same_keys(keys)).where(
+        v <= F.col("__hi")
+    ).select(*[F.col(f"r.{k}") for k in keys], *ranks, F.when(v >= F.col("__lo"), v).alias("__v"))
     # one row per distinct value of the bracket, plus one (null) for everything below it
-    counted = near.groupBy(*keys, "__n", "__r1", "__r2", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    counted = near.groupBy(*keys, *ranks, "__v").agg(F.count(F.lit(1)).alias("__c"))
     upto = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first())
     ranked = counted.withColumn("__cum", F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    first, second = (
-        F.min(F.when((F.col("__cum") >= F.col(r)), F.col("__v"))) for r in ("__r1", "__r2")
-    )
+    first, second = (F.min(F.when(F.col("__cum") >= F.col(r), F.col("__v"))) for r in ranks)
     below = F.max(F.when(F.col("__v").isNull(), F.col("__c")).otherwise(0))
-    found = ranked.groupBy(*keys).agg(
-        first.alias("__a"), second.alias("__z"), below.alias("__below"), F.max("__cum").alias("__last"),
-        F.first("__r1").alias("__r1"), F.first("__r2").alias("__r2"),
+    found = ranked.groupBy(*keys, *ranks).agg(
+        first.alias("__a"), second.alias("__z"), below.alias("__below"), F.max("__cum").alias("__last")
     )
     hit = (F.col("__below") < F.col("__r1")) & (F.col("__last") >= F.col("__r2"))
-    good = found.where(hit).select(
-        *keys, ((F.col("__a").cast("double") + F.col("__z").cast("double")) / 2).alias(out)
-    )
+    middle = (F.col("__a").cast("double") + F.col("__z").cast("double")) / 2
+    good = found.where(hit).select(*keys, middle.alias(out))
     missed = found.where(~hit).select(*keys)
-    again = rows.alias("r").join(missed.alias("s"), cond, "left_semi")
-    rest = again.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias(out))
-    return good.unionByName(rest)
+    again = rows.alias("r").join(missed.alias("s"), _same_keys(keys), "left_semi")
+    return good.unionByName(_plain_median(again, keys, value, out))
 
 
 def per_group_stats(events: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

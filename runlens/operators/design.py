@@ -10,18 +10,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from runlens.functions.text import has_placeholder, substitute
 from runlens.operators.ordering import by_key, by_range, position_within
+from runlens.session import cut_lineage
 
 
+# A list up to this length is numbered in one task.
+SINGLE_TASK_ROWS = 100_000
+
 ValueList = Sequence[Any] | DataFrame
 """Values of one parameter: given outright, or as an (index, value) table from ``indexed_values``."""
 
 
 def indexed_values(df: DataFrame, column: str) -> DataFrame:
-    """(index, value): the distinct values of a column, numbered from 0 in order. Runs a job."""
-    values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
-    return position_within(by_range(values, ["value"]), [], ["value"], "__p").select(
-        (F.col("__p") - 1).alias("index"), "value"
-    )
+    """(index, value): the distinct values of a column, numbered from 0 in order. Runs jobs."""
+    values = cut_lineage(df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct())
+    if values.count() <= SINGLE_TASK_ROWS:
+        numbered = values.select((F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("index"), "value")
+    else:
+        placed = position_within(by_range(values, ["value"]), [], ["value"], "__p")
+        numbered = placed.select((F.col("__p") - 1).alias("index"), "value")
+    return numbered
 
 
 def _sizes(parameters: Mapping[str, ValueList]) -> dict[str, int]:

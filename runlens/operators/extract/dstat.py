@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from runlens.functions.once import evaluated
 from runlens.functions.timestamps import dstat_epoch
 from runlens.operators.extract.base import Extractor, context_columns, event_columns, register_extractor
 
-# File name and banner lines.
+# Name of the clock column, file name and banner lines.
+CLOCK = "epoch"
 FILE_NAME = r"dstat-(\w+)-(.+)\.csv"
 BANNER = (
     r'^(?:"Dstat ([0-9.]+) CSV output"|"Author:","(.+)",,,,"URL:","(.+)"'
@@ -43,8 +45,18 @@ def column_names(groups: Column, columns: Column) -> Column:
     )
 
 
+def value_columns(names: Column) -> Column:
+    """(c, i) of every column except the clock; of columns with one name, the last one."""
+
+    def wanted(name: Column, i: Column) -> Column:
+        later = F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0)))
+        return F.when((name != CLOCK) & ~F.array_contains(later, name), F.struct(name.alias("c"), i.alias("i")))
+
+    return F.filter(F.transform(names, wanted), lambda x: x.isNotNull())
+
+
 def headers(lines: DataFrame) -> DataFrame:
-    """(file, host, names): one row per file that has both header rows.
+    """(file, host, names, cols): one row per file that has both header rows.
 
     Keeping the first two rows of a ranking is done before the shuffle as well (group limit), so a
     file of quoted lines only does not end up in one task.
@@ -57,40 +69,42 @@ def headers(lines: DataFrame) -> DataFrame:
     rows = ranked.groupBy("file").agg(
         F.max(F.when(F.col("n") == 1, F.col("value"))).alias("groups"),
         F.max(F.when(F.col("n") == 2, F.col("value"))).alias("columns"),
-    )
-    names = column_names(header_names(F.col("groups")), header_names(F.col("columns")))
-    named = rows.where(F.col("columns").isNotNull()).select(
-        "file", F.regexp_extract(F.substring_index("file", "/", -1), f"(?:^|=){FILE_NAME}$", 2).alias("host"), names.alias("names")
-    )
-    return named.where(F.size("names") > 0)
+    ).where(F.col("columns").isNotNull())
+    split = evaluated(rows, g=header_names(F.col("groups")), c=header_names(F.col("columns")))
+    named = evaluated(split, names=column_names(F.col("g"), F.col("c"))).where(F.size("names") > 0)
+    host = F.regexp_extract(F.substring_index("file", "/", -1), f"(?:^|=){FILE_NAME}$", 2)
+    return evaluated(named, cols=value_columns(F.col("names"))).select("file", host.alias("host"), "names", "cols")
 
 
 def extract_samples(lines: DataFrame) -> DataFrame:
-    """One event per sample and column except the clock; on a repeated name the last column wins."""
+    """One event per sample and column except the clock; on a repeated name the last column wins.
+
+    A row shorter than its header uses the columns it has.
+    """
     keep = ["file", "record_key", *context_columns(lines)]
     data = lines.where((F.col("value") != "") & ~F.col("value").startswith('"'))
     named = data.alias("d").join(
         headers(lines).alias("h"), F.col("d.file") == F.col("h.file"), "left"
-    ).select(*[F.col(f"d.{c}") for c in keep], "d.value", "h.names", "h.host")
-    cells = F.split("value", ",")
-    n = F.least(F.size("names"), F.size(cells))
-    clock_at = F.array_position(F.slice("names", 1, n), "epoch")
-    clock = F.when(clock_at > 0, F.try_element_at(cells, clock_at.cast("int")))
-    # position i is the last one of its name iff the name does not show up after i
-    last = lambda i: ~F.array_contains(F.slice("names", i + 2, F.greatest(n - i - 1, F.lit(0))), F.col("names")[i])
-    cols = F.transform(
-        F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.col("names")[i] != "epoch") & last(i)),
-        lambda i: F.struct(F.col("names")[i].alias("c"), cells[i].alias("v")),
-    )
-    none = F.struct(F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("v"))
-    whole_row = (
+    ).select(*[F.col(f"d.{c}") for c in keep], "d.value", "h.names", "h.host", "h.cols")
+    split = evaluated(named, cells=F.split("value", ","))
+    whole = F.size("cells") >= F.size("names")
+    cut = F.slice("names", F.lit(1), F.size("cells"))
+    clock_at = F.array_position(F.when(whole, F.col("names")).otherwise(cut), CLOCK).cast("int")
+    clock = F.when(clock_at > 0, F.try_element_at("cells", clock_at))
+    placed = evaluated(split, clock_at=clock_at, clock=clock)
+    timed = evaluated(placed, at=dstat_epoch(F.col("clock")))
+    row_reason = (
         F.when(F.col("names").isNull(), "no header")
-        .when(clock_at == 0, "no epoch column")
-        .when(dstat_epoch(clock).isNull(), "bad epoch")
+        .when(F.col("clock_at") == 0, "no epoch column")
+        .when(F.col("at").isNull(), "bad epoch")
     )
-    flat = named.select(*keep, "host", clock.alias("clock"), cols.alias("cols"), whole_row.alias("row_reason")).select(
-        *keep, "host", "clock", "row_reason",
-        F.inline(F.when(F.col("row_reason").isNull(), F.col("cols")).otherwise(F.array(none))),
+    columns = F.when(whole, F.col("cols")).otherwise(value_columns(cut))
+    values = F.transform(columns, lambda x: F.struct(x["c"].alias("c"), F.col("cells")[x["i"]].alias("v")))
+    none = F.struct(F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("v"))
+    judged = timed.withColumn("row_reason", row_reason)
+    flat = judged.select(
+        *keep, "host", "at", "row_reason",
+        F.inline(F.when(F.col("row_reason").isNull(), values).otherwise(F.array(none))),
     )
     events = flat.select(
         *keep,
@@ -99,12 +113,12 @@ def extract_samples(lines: DataFrame) -> DataFrame:
             name=F.concat(F.lit("dstat_"), F.col("c")),
             host=F.col("host"),
             v_double=F.col("v").try_cast("double"),
-            v_timestamp=dstat_epoch(F.col("clock")),
+            v_timestamp=F.col("at"),
         ),
         "row_reason",
     )
     reason = F.coalesce("row_reason", F.when(F.col("v_double").isNull(), "not a number"))
-    return events.withColumn("reject_reason", reason).drop("row_reason")
+    return evaluated(events, reject_reason=reason).drop("row_reason")
 
 
 DSTAT = register_extractor(Extractor("dstat", "logs/dstat", (FILE_NAME,), "line", extract_samples))

@@ -4,53 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from runlens.functions.once import evaluated
 from runlens.functions.timestamps import log_timestamp
 from runlens.operators.extract.base import Extractor, context_columns, event_columns, register_extractor
 
-# Log line formats.
+# Log line formats. Of the newer one, the message starts after the last " - ".
 CLOCK = r"([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2},[0-9]{3})"
-ENTRY_V1 = rf"^{CLOCK}\t(.+)$"
-ENTRY_V2 = rf"^{CLOCK}.* - (.+)$"
 STATES = "(SCHEDULED|DEPLOYING|RUNNING|FINISHED)"
-TASK_V1 = rf"^(.+)\((\d+)/(\d+)\) switched to {STATES}\W*$"
-TASK_V2 = rf"^(.+) \((\d+)/(\d+)\) \((.+)\) switched from \w+ to {STATES}$"
+LINE_V1 = rf"^{CLOCK}\t(.+)\((\d+)/(\d+)\) switched to {STATES}\W*$"
+LINE_V2 = rf"^{CLOCK}.* -(?!.* - .) (.+) \((\d+)/(\d+)\) \((.+)\) switched from \w+ to {STATES}$"
+
+# A matching line is rewritten to its parts in one go: clock, number, state, then the task.
+_MARK = "\x01"
+_PARTS_V1 = f"{_MARK}$1{_MARK}$3{_MARK}$5{_MARK}$2"
+_PARTS_V2 = f"{_MARK}$1{_MARK}$3{_MARK}$6{_MARK}$5 ($2)"
 
 
 def extract_task_states(lines: DataFrame) -> DataFrame:
     """One event per state change; other states and other lines give none."""
     keep = ["file", "record_key", *context_columns(lines)]
+    value = F.col("value")
     # a substring test spares the regular expressions on the bulk of a log
-    candidates = lines.where(F.col("value").contains(" switched "))
-    split = candidates.select(
-        *keep,
-        F.regexp_extract("value", ENTRY_V1, 2).alias("__m1"),
-        F.regexp_extract("value", ENTRY_V2, 2).alias("__m2"),
-        F.left("value", F.lit(23)).alias("__clock"),
-    )
-    m1, m2 = F.col("__m1"), F.col("__m2")
-    is_v1, is_v2 = m1.rlike(TASK_V1), m2.rlike(TASK_V2)
-    tagged = split.withColumn("__v", F.when(is_v1, 1).when(is_v2, 2)).where(F.col("__v").isNotNull())
-
-    def pick(group_v1: int, group_v2: int):
-        v1, v2 = F.regexp_extract(m1, TASK_V1, group_v1), F.regexp_extract(m2, TASK_V2, group_v2)
-        return F.when(F.col("__v") == 1, v1).otherwise(v2)
-
-    task_v2 = F.concat(F.regexp_extract(m2, TASK_V2, 4), F.lit(" ("), F.regexp_extract(m2, TASK_V2, 1), F.lit(")"))
-    task = F.when(F.col("__v") == 1, F.regexp_extract(m1, TASK_V1, 1)).otherwise(task_v2)
-    events = tagged.select(
+    candidates = lines.where(value.contains(" switched ") & ~value.startswith(_MARK))
+    v1 = F.when(F.substring(value, 24, 1) == "\t", F.regexp_replace(value, LINE_V1, _PARTS_V1)).otherwise(value)
+    tried = evaluated(candidates, __v1=v1)
+    v2 = F.when(F.col("__v1").startswith(_MARK), F.col("__v1")).otherwise(F.regexp_replace(value, LINE_V2, _PARTS_V2))
+    parsed = evaluated(tried, __parts=v2).where(F.col("__parts").startswith(_MARK))
+    parts = F.split("__parts", _MARK, 5)
+    events = parsed.select(
         *keep,
         F.lit("flink_tasks").alias("extractor"),
         *event_columns(
-            name=F.concat(F.lit("state_change_"), F.lower(pick(4, 5))),
-            task=task,
-            task_instance=pick(2, 2).try_cast("int"),
-            v_timestamp=log_timestamp(F.col("__clock")),
+            name=F.concat(F.lit("state_change_"), F.lower(parts[3])),
+            task=parts[4],
+            task_instance=parts[2].try_cast("int"),
+            v_timestamp=log_timestamp(parts[1]),
         ),
     )
     reason = F.when(F.col("v_timestamp").isNull(), "bad timestamp").when(
         F.col("task_instance").isNull(), "task number out of range"
     )
-    return events.withColumn("reject_reason", reason)
+    return evaluated(events, reject_reason=reason)
 
 
 FLINK_TASKS = register_extractor(

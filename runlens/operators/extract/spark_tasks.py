@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from runlens.functions.once import evaluated
 from runlens.operators.extract.base import Extractor, context_columns, event_columns, register_extractor
 from runlens.schemas import LISTENER_EVENT, TASK_INFO
 
@@ -18,7 +19,7 @@ def extract_task_ends(lines: DataFrame) -> DataFrame:
     """
     keep = ["file", "record_key", *context_columns(lines)]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = lines.select(*keep, F.from_json("value", LISTENER_EVENT, options).alias("r"))
+    parsed = evaluated(lines, r=F.from_json("value", LISTENER_EVENT, options)).select(*keep, "r")
     corrupt = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
     staged = (
         (F.col("r.Event") == TASK_END)

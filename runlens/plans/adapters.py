@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runlens.functions.timestamps import LOG_FORMAT
-from runlens.session import prepare, work_path
+from runlens.session import prepare, spread, work_path
 from runlens.sources.states import write_run_states
 
 TABLES = (
@@ -146,11 +146,11 @@ def dstat_line() -> Column:
 
 
 def flink_lines(t: Tables, value: Column) -> DataFrame:
-    return _lines(t.events, F.concat(F.lit("jm-"), F.col("event_type")), value)
+    return _lines(spread(t.events, "event_id"), F.concat(F.lit("jm-"), F.col("event_type")), value)
 
 
 def spark_lines(t: Tables) -> DataFrame:
-    return _lines(t.events, F.concat(F.lit("app-"), F.col("event_type")), spark_json_line())
+    return _lines(spread(t.events, "event_id"), F.concat(F.lit("app-"), F.col("event_type")), spark_json_line())
 
 
 def dstat_lines(t: Tables) -> DataFrame:
@@ -158,12 +158,12 @@ def dstat_lines(t: Tables) -> DataFrame:
     file = F.concat(F.lit("dstat-user-"), F.col("event_type"), F.lit(".csv"))
     files = t.events.select(file.alias("file")).distinct()
     rows = [F.struct(F.lit(i - 2).cast("bigint").alias("record_key"), F.lit(h).alias("value")) for i, h in enumerate(DSTAT_HEADER)]
-    return files.select("file", F.inline(F.array(*rows))).unionByName(_lines(t.events, file, dstat_line()))
+    return files.select("file", F.inline(F.array(*rows))).unionByName(_lines(spread(t.events, "event_id"), file, dstat_line()))
 
 
 def document_lines(t: Tables) -> DataFrame:
     """(doc_id, source, line_no, line): every line of every document, numbered from 1."""
-    return t.documents.select(
+    return spread(t.documents.select("doc_id", "source", "text"), "doc_id").select(
         "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     ).withColumn("line_no", (F.col("line_no") + 1).cast("bigint"))
 

@@ -73,10 +73,13 @@ def runtimes_for_suite(relations: dict[str, DataFrame], suite: str) -> DataFrame
 
 @register_query("median_runtime")
 def median_runtime(relations: dict[str, DataFrame]) -> DataFrame:
-    """True median run time (ms) per experiment."""
-    e, r = relations["experiment"], relations["experiment_run"]
-    named = r.join(e.select(F.col("id").alias("experiment_id"), "suite", "name"), "experiment_id")
-    return exact_median(named.select("suite", "name", "time"), ["suite", "name"], "time")
+    """True median run time (ms) per experiment.
+
+    An id stands for one (suite, name), so medians are taken per id and named afterwards.
+    """
+    medians = exact_median(relations["experiment_run"], ["experiment_id"], "time")
+    e = relations["experiment"]
+    return e.join(medians, e.id == medians.experiment_id).select("suite", "name", "median")
 
 
 @register_query("runtime_summary")

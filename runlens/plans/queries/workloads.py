@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from runlens.operators import aggregates as agg
 from runlens.plans import adapters as a
 from runlens.plans.catalog import query
+from runlens.session import spread
 
 _VALUE = "concat(l_returnflag, l_linestatus, l_suppkey, '-', l_orderkey)"
 
@@ -22,7 +23,7 @@ SELECT word, count(*) AS n FROM tokens
 WHERE word <> '' OR (pos = 1 AND (line = '' OR regexp_matches(line, '\w')))
 GROUP BY word""")
 def wordcount(t: a.Tables) -> DataFrame:
-    lines = t.documents.select(F.explode(F.split("text", "\n")).alias("line"))
+    lines = spread(t.documents.select("doc_id", "text"), "doc_id").select(F.explode(F.split("text", "\n")).alias("line"))
     return agg.word_count(lines)
 
 

@@ -71,3 +71,14 @@ BROADCAST_ROWS = 1_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint after counting up to the bound; above it the join shuffles. Runs a job."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give every core work when a scan has fewer splits than there are cores.
+
+    A small file (or one of a single row group) is one task, however heavy the rows are. Large
+    inputs have more splits than cores and are left alone: nothing is shuffled there. ``key`` should
+    be unique; hashing it spares the sort that a round-robin shuffle needs to be repeatable.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan

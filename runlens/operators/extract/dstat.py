@@ -46,17 +46,24 @@ def column_names(groups: Column, columns: Column) -> Column:
 
 
 def value_columns(names: Column) -> Column:
-    """(c, i) of every column except the clock; of columns with one name, the last one."""
+    """(c, i, again) of every column except the clock: name, index, index of its next namesake."""
 
-    def wanted(name: Column, i: Column) -> Column:
-        later = F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0)))
-        return F.when((name != CLOCK) & ~F.array_contains(later, name), F.struct(name.alias("c"), i.alias("i")))
+    def entry(name: Column, i: Column) -> Column:
+        later = F.array_position(F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), name).cast("int")
+        again = F.when(later > 0, i + later)
+        return F.when(name != CLOCK, F.struct(name.alias("c"), i.alias("i"), again.alias("again")))
 
-    return F.filter(F.transform(names, wanted), lambda x: x.isNotNull())
+    return F.filter(F.transform(names, entry), lambda x: x.isNotNull())
+
+
+def last_position(names: Column, name: str) -> Column:
+    """1-based index of the last element that equals ``name``, 0 without one."""
+    back = F.array_position(F.reverse(names), name).cast("int")
+    return F.when(back > 0, F.size(names) - back + 1).otherwise(0)
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """(file, host, names, cols): one row per file that has both header rows.
+    """(file, host, names, cols, clock_at): one row per file that has both header rows.
 
     Keeping the first two rows of a ranking is done before the shuffle as well (group limit), so a
     file of quoted lines only does not end up in one task.
@@ -73,46 +80,49 @@ def headers(lines: DataFrame) -> DataFrame:
     split = evaluated(rows, g=header_names(F.col("groups")), c=header_names(F.col("columns")))
     named = evaluated(split, names=column_names(F.col("g"), F.col("c"))).where(F.size("names") > 0)
     host = F.regexp_extract(F.substring_index("file", "/", -1), f"(?:^|=){FILE_NAME}$", 2)
-    return evaluated(named, cols=value_columns(F.col("names"))).select("file", host.alias("host"), "names", "cols")
+    return evaluated(named, cols=value_columns(F.col("names"))).select(
+        "file", host.alias("host"), "names", "cols", last_position(F.col("names"), CLOCK).alias("clock_at")
+    )
 
 
 def extract_samples(lines: DataFrame) -> DataFrame:
     """One event per sample and column except the clock; on a repeated name the last column wins.
 
-    A row shorter than its header uses the columns it has.
+    A row shorter than its header uses the columns it has. Names are looked at once per file; per
+    row everything is plain arithmetic on indexes, which stays inside generated code.
     """
     keep = ["file", "record_key", *context_columns(lines)]
     data = lines.where((F.col("value") != "") & ~F.col("value").startswith('"'))
     named = data.alias("d").join(
         headers(lines).alias("h"), F.col("d.file") == F.col("h.file"), "left"
-    ).select(*[F.col(f"d.{c}") for c in keep], "d.value", "h.names", "h.host", "h.cols")
-    split = evaluated(named, cells=F.split("value", ","))
-    whole = F.size("cells") >= F.size("names")
-    cut = F.slice("names", F.lit(1), F.size("cells"))
-    clock_at = F.array_position(F.when(whole, F.col("names")).otherwise(cut), CLOCK).cast("int")
-    clock = F.when(clock_at > 0, F.try_element_at("cells", clock_at))
-    placed = evaluated(split, clock_at=clock_at, clock=clock)
-    timed = evaluated(placed, at=dstat_epoch(F.col("clock")))
+    ).select(*[F.col(f"d.{c}") for c in keep], "d.value", "h.names", "h.host", "h.cols", "h.clock_at")
+    split = named.withColumn("cells", F.split("value", ",")).withColumn("n", F.size("cells"))
+    whole = F.col("n") >= F.size("names")
+    at = F.when(whole, F.col("clock_at")).otherwise(last_position(F.slice("names", F.lit(1), F.col("n")), CLOCK))
+    placed = split.withColumn("clock_at", at)
+    timed = placed.withColumn(
+        "at", dstat_epoch(F.when(F.col("clock_at") > 0, F.try_element_at("cells", "clock_at")))
+    )
     row_reason = (
         F.when(F.col("names").isNull(), "no header")
         .when(F.col("clock_at") == 0, "no epoch column")
         .when(F.col("at").isNull(), "bad epoch")
     )
-    columns = F.when(whole, F.col("cols")).otherwise(value_columns(cut))
-    values = F.transform(columns, lambda x: F.struct(x["c"].alias("c"), F.col("cells")[x["i"]].alias("v")))
-    none = F.struct(F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("v"))
     judged = timed.withColumn("row_reason", row_reason)
-    flat = judged.select(
-        *keep, "host", "at", "row_reason",
-        F.inline(F.when(F.col("row_reason").isNull(), values).otherwise(F.array(none))),
+    none = F.struct(F.lit(None).cast("string").alias("c"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("again"))
+    picked = F.when(F.col("row_reason").isNull(), F.col("cols")).otherwise(F.array(none))
+    flat = evaluated(judged, picked=picked).select(
+        *keep, "host", "at", "row_reason", "cells", "n", F.inline("picked")
     )
+    # the last namesake that the row still has
+    flat = flat.where((F.col("i") < F.col("n")) & (F.col("again").isNull() | (F.col("again") >= F.col("n"))))
     events = flat.select(
         *keep,
         F.lit("dstat").alias("extractor"),
         *event_columns(
             name=F.concat(F.lit("dstat_"), F.col("c")),
             host=F.col("host"),
-            v_double=F.col("v").try_cast("double"),
+            v_double=F.col("cells")[F.col("i")].try_cast("double"),
             v_timestamp=F.col("at"),
         ),
         "row_reason",

@@ -100,9 +100,10 @@ def runtime_summary(relations: dict[str, DataFrame]) -> DataFrame:
 @register_query("run_details")
 def run_details(relations: dict[str, DataFrame]) -> DataFrame:
     """Every run with the name and suite of its experiment, unordered."""
-    e, r = relations["experiment"], relations["experiment_run"]
-    named = r.join(e.select(F.col("id").alias("experiment_id"), "suite", "name"), "experiment_id")
-    return named.select("name", "suite", F.col("time").alias("runtime"), "run")
+    e, r = relations["experiment"].alias("e"), relations["experiment_run"].alias("r")
+    return e.join(r, F.col("e.id") == F.col("r.experiment_id")).select(
+        "e.name", "e.suite", F.col("r.time").alias("runtime"), "r.run"
+    )
 
 
 def relations_of(store: ResultsStore) -> dict[str, DataFrame]:

@@ -11,6 +11,7 @@ from runlens.schemas import EVENT_COLUMNS, EXPERIMENT_EVENT, KEY_VALUE
 
 _OPTIONS = {
     "sep": ",", "quote": '"', "escape": '"', "nullValue": "", "timestampFormat": CSV_FORMAT, "header": "false",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
 
 

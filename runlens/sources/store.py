@@ -1,9 +1,10 @@
 """The results store: four Parquet relations below one folder.
 
 ``experiment``, ``experiment_run`` and ``experiment_event`` are partitioned by suite, so that a
-refresh rewrites only the suites it is about, whatever else the store holds. Spark stages every
-overwrite and swaps partitions in at commit. Children are removed before and written after their
-parents: an import that dies in between leaves no orphans, and running it again completes it.
+refresh rewrites only the suites it is about, whatever else the store holds. New rows of all
+relations are staged first, then each relation is overwritten partition by partition at commit.
+There is no transaction over relations: an import that dies in between is completed by running it
+again, and ``violations`` shows what is left over until then.
 """
 
 from __future__ import annotations
@@ -80,15 +81,25 @@ class ResultsStore:
             writer = writer.partitionBy("suite").option("partitionOverwriteMode", "dynamic")
         writer.parquet(self.path(name))
 
-    def _replace_suites(self, df: DataFrame, name: str, suites: Iterable[str]) -> None:
-        """Overwrite the given suites with the rows of ``df``; suites left without rows are emptied."""
-        self._write(df, name, "overwrite")
-        if not suites:
-            return
-        filled = {r[0] for r in self.read(name).where(F.col("suite").isin(list(suites))).select("suite").distinct().collect()}
-        # dynamic overwrite leaves partitions without new rows alone: take those away
-        for suite in set(suites) - filled:
-            self._drop_suite(name, suite)
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        schema = stored_schema(name)
+        staged = work_path(self.spark, f"stage-{name}")
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.parquet(staged)
+        return self.spark.read.schema(schema).parquet(staged)
+
+    def _replace_suites(self, rows: dict[str, DataFrame], suites: Iterable[str]) -> None:
+        """Overwrite the given suites of some relations with new rows, in the order of ``rows``.
+
+        All new rows are staged before the first relation is touched, as they may be computed from
+        any of them. Dynamic overwrite leaves partitions without new rows alone, so those are taken
+        away.
+        """
+        staged = {name: self._stage(df, name) for name, df in rows.items()}
+        for name, df in staged.items():
+            filled = {r[0] for r in df.select("suite").distinct().collect()}
+            self._write(df, name, "overwrite")
+            for suite in set(suites) - filled:
+                self._drop_suite(name, suite)
 
     def _drop_suite(self, name: str, suite: str) -> None:
         escaped = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(
@@ -98,10 +109,8 @@ class ResultsStore:
         fs.delete(target, True)
 
     def _swap(self, df: DataFrame, name: str) -> None:
-        """Replace a relation that is not partitioned: write beside it, then rename."""
-        staged = work_path(self.spark, f"stage-{name}")
-        df.write.parquet(staged)
-        self.spark.read.schema(stored_schema(name)).parquet(staged).write.mode("overwrite").parquet(self.path(name))
+        """Replace a relation that is not partitioned."""
+        self._stage(df, name).write.mode("overwrite").parquet(self.path(name))
 
     # -- maintenance -------------------------------------------------------------------------
 
@@ -126,7 +135,7 @@ class ResultsStore:
             return
         suites = self._suites_of(current.join(rows.select(key), key, "left_semi"), rows)
         touched = current.where(F.col("suite").isin(suites))
-        self._replace_suites(rel.update_by_key(touched, rows, key), name, suites)
+        self._replace_suites({name: rel.update_by_key(touched, rows, key)}, suites)
 
     def delete(self, name: str, victims: DataFrame) -> None:
         """Delete by key, following the delete rules of the references."""
@@ -155,8 +164,7 @@ class ResultsStore:
             }
         else:
             left = {name: rel.delete_by_key(part[name], victims)}
-        for child_first, rows in left.items():
-            self._replace_suites(rows, child_first, suites)
+        self._replace_suites(left, suites)
 
     def _suites_of(self, *rows: DataFrame) -> list[str]:
         names = rows[0].select("suite")
@@ -179,16 +187,7 @@ class ResultsStore:
         for name, survivors in zip(BY_SUITE, kept):
             columns = stored_schema(name).fieldNames()
             fresh[name] = survivors.select(*columns).unionByName(fresh[name].select(*columns))
-        # events and runs are planned against the state before the first write, hence staged first
-        staged = {n: self._stage(fresh[n], n) for n in BY_SUITE}
-        for name in BY_SUITE:
-            self._replace_suites(staged[name], name, suites)
-
-    def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        schema = stored_schema(name)
-        staged = work_path(self.spark, f"stage-{name}")
-        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.parquet(staged)
-        return self.spark.read.schema(schema).parquet(staged)
+        self._replace_suites(fresh, suites)
 
     # -- constraints -------------------------------------------------------------------------
 

@@ -138,5 +138,6 @@ def pending_runs(
     wanted = experiments.select(*keys, F.explode(plan).alias("run"))
     if force:
         return wanted
-    done = runs.where(F.col("exit") == 0).select(*keys, "run")
+    # repeated runs fold before the shuffle, which then serves the join as well
+    done = runs.where(F.col("exit") == 0).select(*keys, "run").distinct()
     return wanted.join(done, [*keys, "run"], "left_anti")

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from runlens.session import cut_lineage
 
+# Levels after which the visited set is written as one table again.
+COMPACT_LEVELS = 10
+
 
 def build(edges: DataFrame, vertices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) without repeats; edge ends are vertices."""
@@ -66,6 +69,8 @@ def descendants(edges: DataFrame, start: DataFrame, excluded: DataFrame | None =
         fresh = step.join(visited.select("v"), "v", "left_anti").withColumn("depth", F.lit(depth))
         frontier = cut_lineage(fresh)
         visited = visited.unionByName(frontier)
+        if depth % COMPACT_LEVELS == 0:
+            visited = cut_lineage(visited)
     return visited
 
 

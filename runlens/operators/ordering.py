@@ -2,7 +2,7 @@
 
 A plain window over a hot group sorts that group in a single task. Here rows are first cut into
 chunks that follow the order, chunks are numbered on their own, and the (few) chunk totals carry the
-offsets across. ``by_key`` cuts on a unique integral key and stays lazy; ``by_range`` takes any
+offsets across. ``by_key`` cuts on a unique integral key; ``by_range`` takes any
 columns, range-partitions on them and checkpoints, so that a row's chunk can not change later.
 """
 
@@ -15,13 +15,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from runlens.session import cut_lineage
 
 CHUNK = "__chunk"
-# Rows per chunk when cutting on a dense unique key.
+# Rows per chunk when cutting on a unique key.
 CHUNK_ROWS = 1 << 20
 
 
-def by_key(df: DataFrame, key: str, width: int = CHUNK_ROWS) -> DataFrame:
-    """Chunk by a unique integral key: at most ``width`` rows each."""
-    return df.withColumn(CHUNK, F.floor(F.col(key) / F.lit(width)).cast("long"))
+def by_key(df: DataFrame, key: str, width: int | None = None) -> DataFrame:
+    """Chunk by ranges of a unique integral key.
+
+    The width is chosen so that evenly spread keys come to ``CHUNK_ROWS`` rows per chunk, which takes
+    a job over the key column. For keys that cluster, use ``by_range``.
+    """
+    if width is None:
+        low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+        width = max(1, (high - low + 1) * CHUNK_ROWS // n) if n else 1
+    return df.withColumn(CHUNK, F.expr(f"`{key}` div {width}"))
 
 
 def by_range(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:

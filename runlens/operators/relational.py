@@ -1,4 +1,9 @@
-"""Keyed maintenance of relations, as pure DataFrame operators."""
+"""Keyed maintenance of relations.
+
+What comes in (new rows, updates, victims) is usually small next to what is stored. Its size is
+checked first: small sides are broadcast, so stored relations are streamed and never shuffled; large
+ones go through shuffle joins, where AQE splits hot keys.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from runlens.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage, key_side
+
 
 def _equal(left: str, right: str, columns: Sequence[str]) -> Column:
     tests = [F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`")) for c in columns]
@@ -17,10 +24,20 @@ def append(current: DataFrame, new: DataFrame) -> DataFrame:
     return current.unionByName(new)
 
 
-def missing_rows(current: DataFrame, new: DataFrame) -> DataFrame:
-    """Distinct rows of ``new`` that ``current`` does not hold, comparing whole rows; null equals null."""
-    cond = _equal("n", "c", current.columns)
-    return new.select(*current.columns).distinct().alias("n").join(current.alias("c"), cond, "left_anti")
+def missing_rows(current: DataFrame, new: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Distinct rows of ``new`` that ``current`` does not hold, comparing whole rows; null equals null.
+
+    Few new rows are broadcast against the stored ones. Many are grouped together with them, which
+    folds copies on either side before the shuffle.
+    """
+    columns = current.columns
+    fresh = cut_lineage(new.select(*columns).distinct())
+    if fresh.limit(max_rows + 1).count() <= max_rows:
+        cond = _equal("c", "n", columns)
+        known = current.alias("c").join(F.broadcast(fresh).alias("n"), cond, "left_semi").distinct()
+        return fresh.alias("n").join(known.alias("c"), cond, "left_anti")
+    both = fresh.withColumn("__stored", F.lit(0)).unionByName(current.withColumn("__stored", F.lit(1)))
+    return both.groupBy(*columns).agg(F.max("__stored").alias("__s")).where(F.col("__s") == 0).select(*columns)
 
 
 def insert_missing(current: DataFrame, new: DataFrame) -> DataFrame:
@@ -30,7 +47,7 @@ def insert_missing(current: DataFrame, new: DataFrame) -> DataFrame:
 def update_by_key(current: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
     """Rows with a matching key take every non-key column from ``updates`` (one row per key)."""
     others = [c for c in current.columns if c != key]
-    marked = updates.select(key, *others, F.lit(True).alias("__hit"))
+    marked = broadcast_if_small(cut_lineage(updates.select(key, *others, F.lit(True).alias("__hit"))))
     joined = current.alias("c").join(marked.alias("u"), F.col(f"c.{key}") == F.col(f"u.{key}"), "left")
     hit = F.col("u.__hit")
     cells = {c: F.when(hit, F.col(f"u.{c}")).otherwise(F.col(f"c.{c}")).alias(c) for c in others}
@@ -38,17 +55,17 @@ def update_by_key(current: DataFrame, updates: DataFrame, key: str = "id") -> Da
 
 
 def delete_by_key(current: DataFrame, victims: DataFrame, key: str = "id") -> DataFrame:
-    return current.join(victims.select(key), key, "left_anti").select(*current.columns)
+    return current.join(key_side(victims.select(key)), key, "left_anti").select(*current.columns)
 
 
 def cascade(
     experiments: DataFrame, runs: DataFrame, events: DataFrame, victims: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Survivors of the three relations after deleting ``victims`` (experiment ids) with their children."""
-    gone = victims.select(F.col("id").alias("experiment_id"))
-    dead_runs = runs.join(gone, "experiment_id", "left_semi").select(F.col("id").alias("experiment_run_id"))
+    gone = key_side(victims.select(F.col("id").alias("experiment_id")))
+    dead_runs = key_side(runs.join(gone, "experiment_id", "left_semi").select(F.col("id").alias("experiment_run_id")))
     return (
-        delete_by_key(experiments, victims),
+        experiments.join(gone, experiments.id == gone.experiment_id, "left_anti"),
         runs.join(gone, "experiment_id", "left_anti").select(*runs.columns),
         events.join(dead_runs, "experiment_run_id", "left_anti").select(*events.columns),
     )

@@ -47,9 +47,9 @@ def _times_per_experiment(runs: DataFrame) -> DataFrame:
     )
 
 
-def _folded(relations: dict[str, DataFrame], experiments: DataFrame) -> DataFrame:
+def _folded(runs: DataFrame, experiments: DataFrame) -> DataFrame:
     """Times per (suite, name)."""
-    times = _times_per_experiment(relations["experiment_run"])
+    times = _times_per_experiment(runs)
     joined = experiments.join(times, experiments.id == times.experiment_id)
     return joined.groupBy("suite", "name").agg(
         F.min("min_time").alias("min_time"), F.max("max_time").alias("max_time"),
@@ -62,10 +62,12 @@ def runtimes_for_suite(relations: dict[str, DataFrame], suite: str) -> DataFrame
     """Shortest, longest and "median" run time per experiment of a suite.
 
     The median is sum - min - max, right for exactly three runs. Failed runs count. The suite
-    predicate reaches the experiment scan.
+    predicate reaches the experiment scan and, in a store, prunes the partitions of the runs.
     """
-    chosen = relations["experiment"].where(F.col("suite") == suite)
-    return _folded(relations, chosen).select(
+    chosen, runs = relations["experiment"].where(F.col("suite") == suite), relations["experiment_run"]
+    if "suite" in runs.columns:  # stored runs are partitioned by it
+        runs = runs.where(F.col("suite") == suite)
+    return _folded(runs, chosen).select(
         "suite", "name", "min_time", "max_time",
         (F.col("sum_time") - F.col("min_time") - F.col("max_time")).alias("median_time"),
     ).orderBy("suite", "name")
@@ -85,7 +87,7 @@ def median_runtime(relations: dict[str, DataFrame]) -> DataFrame:
 @register_query("runtime_summary")
 def runtime_summary(relations: dict[str, DataFrame]) -> DataFrame:
     """Average, median, longest and shortest run time in seconds and the number of runs."""
-    folded = _folded(relations, relations["experiment"])
+    folded = _folded(relations["experiment_run"], relations["experiment"])
     medians = median_runtime(relations)
     joined = folded.join(medians, ["suite", "name"])
     seconds = F.lit(1000.0)

@@ -11,7 +11,7 @@ from runlens.functions.identity import experiment_id, run_id
 from runlens.functions.text import parse_run_name
 from runlens.operators.extract import Extractor, accepted, registered, rejected, route_files, to_event_rows
 from runlens.operators.extract.base import ATTRIBUTES
-from runlens.session import broadcast_if_small, cut_lineage
+from runlens.session import broadcast_if_small, cut_lineage, materialized
 from runlens.sources.files import decode_path, scan_files, scan_lines
 from runlens.sources.states import scan_run_states
 from runlens.sources.store import ResultsStore
@@ -133,7 +133,7 @@ def extract_counts(
 def read_suites(spark: SparkSession, root: str, extractors: dict[str, Extractor] | None = None) -> Import:
     """All relations of the run folders ``<root>/<suite>/<experiment>.runNN``.
 
-    Log lines are scanned once: the extraction is checkpointed and feeds both events and rejects.
+    Log lines are scanned once: the extraction is written and feeds both events and rejects.
     """
     extractors = extractors or registered()
     states, state_rejects = scan_run_states(spark, root)
@@ -153,7 +153,7 @@ def read_suites(spark: SparkSession, root: str, extractors: dict[str, Extractor]
         schema = "id bigint, experiment_run_id int, " + ", ".join(columns) + ", suite string"
         events = spark.createDataFrame([], schema)
     else:
-        extracted = cut_lineage(extracted)
+        extracted = materialized(extracted, "extracted")
         events = to_event_rows(accepted(extracted), F.col("experiment_run_id"), "suite")
         rejects = rejects.unionByName(
             rejected(extracted).select("file", "suite", F.col("run_name").alias("name"), F.col("reject_reason").alias("reason"))

@@ -73,6 +73,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def key_side(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Distinct rows of the small side of a semi or anti join, computed once.
+
+    With few keys the other side is only streamed past them; with many, both sides shuffle. Runs jobs.
+    """
+    return broadcast_if_small(cut_lineage(keys.distinct()), max_rows)
+
+
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder as Parquet and read back: cuts lineage for large results. Runs a job."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Give every core work when a scan has fewer splits than there are cores.
 

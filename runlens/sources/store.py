@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from runlens.operators import relational as rel
 from runlens.operators.extract.base import clamp
 from runlens.schemas import FOREIGN_KEYS, PRIMARY_KEYS, RELATIONS
-from runlens.session import work_path
+from runlens.session import key_side, work_path
 
 PARENT_FIRST = ("system", "experiment", "experiment_run", "experiment_event")
 BY_SUITE = ("experiment", "experiment_run", "experiment_event")
@@ -157,7 +157,7 @@ class ResultsStore:
             exps, runs, events = rel.cascade(*[part[n] for n in BY_SUITE], victims)
             left = {"experiment_event": events, "experiment_run": runs, "experiment": exps}
         elif name == "experiment_run":
-            gone = victims.select(F.col("id").alias("experiment_run_id"))
+            gone = key_side(victims.select(F.col("id").alias("experiment_run_id")))
             left = {
                 "experiment_event": part["experiment_event"].join(gone, "experiment_run_id", "left_anti"),
                 "experiment_run": rel.delete_by_key(part[name], victims),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import aggregates as agg
 from runlens.operators import config, datagen, design, graph, ordering
-from runlens.sources import datasets, files
+from runlens.sources import datasets, files, text_sinks
 from test_functions import draw
 
 
@@ -329,3 +329,16 @@ def test_datasets_are_made_once(spark, tmp_path):
 def _parquet(spark, tmp_path):
     spark.range(4).write.parquet(str(tmp_path / "p"))
     return str(tmp_path / "p")
+
+
+def test_text_sinks(spark, tmp_path, rows):
+    counts = table(spark, "word string, n bigint", ("a", 2), ("", 1))
+    for write, want in ((text_sinks.write_counts_text, {"(a,2)", "(,1)"}), (text_sinks.write_counts_csv, {"a,2", ",1"})):
+        path = str(tmp_path / write.__name__)
+        write(counts, path)
+        assert {r.value for r in spark.read.text(path).collect()} == want
+    words = str(tmp_path / "words")
+    for size in (30, 20):
+        text_sinks.write_words(datagen.generate_words(spark, 2, size, 50), words)
+    got = agg.word_count(spark.read.text(words), "value")
+    assert rows(got) == rows(datagen.generate_words(spark, 2, 20, 50).groupBy("word").count())

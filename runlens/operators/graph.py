@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from runlens.session import cut_lineage
+from runlens.session import BROADCAST_ROWS, cut_lineage
 
 # Levels after which the visited set is written as one table again.
 COMPACT_LEVELS = 10
@@ -63,9 +63,11 @@ def descendants(edges: DataFrame, start: DataFrame, excluded: DataFrame | None =
     arcs = cut_lineage(arcs)
     frontier = cut_lineage(start.select("v").distinct().withColumn("depth", F.lit(0)))
     visited, depth = frontier, 0
-    while not frontier.isEmpty():
+    while n := frontier.count():
         depth += 1
-        step = frontier.join(arcs, frontier.v == arcs.src).select(F.col("dst").alias("v")).distinct()
+        # a small frontier goes to the arcs, whose hubs then need no shuffle at all
+        side = F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier
+        step = arcs.join(side, arcs.src == side.v).select(F.col("dst").alias("v")).distinct()
         fresh = step.join(visited.select("v"), "v", "left_anti").withColumn("depth", F.lit(depth))
         frontier = cut_lineage(fresh)
         visited = visited.unionByName(frontier)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from runlens.session import cut_lineage
 
@@ -38,23 +38,24 @@ def by_range(df: DataFrame, order: Sequence[str], parts: int | None = None) -> D
     return cut_lineage(ranged)
 
 
-def _same(left: str, right: str, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for name in names:
-        cond = cond & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
-    return cond
-
-
 def position_within(chunked: DataFrame, groups: Sequence[str], order: Sequence[str], out: str = "pos") -> DataFrame:
-    """1-based position of each row inside its group, following ``order``."""
-    keys = [CHUNK, *groups]
-    local = chunked.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    totals = chunked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*groups).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    joined = local.alias("l").join(offsets.alias("o"), _same("l", "o", keys), "inner")
-    kept = [F.col(f"l.{c}") for c in chunked.columns if c != CHUNK]
-    return joined.select(*kept, (F.col(f"l.{out}") + F.col("o.__before")).alias(out))
+    """1-based position of each row inside its group, following ``order``.
+
+    Chunk and group travel as one struct, which is never null even if a group is: the ranking and the
+    join to the chunk offsets then share one shuffle and one sort of the rows.
+    """
+    columns = [c for c in chunked.columns if c != CHUNK]
+    rest = [c for c in columns if c not in groups]
+    part = F.struct(CHUNK, *groups).alias("__part")
+    rows = chunked.select(part, *rest)
+    local = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("long"))
+    totals = chunked.select(part).groupBy("__part").agg(F.count(F.lit(1)).alias("__total"))
+    group = [F.col(f"__part.`{g}`") for g in groups]
+    before = Window.partitionBy(*group).orderBy(F.col(f"__part.{CHUNK}")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
+    joined = local.join(offsets, "__part")
+    named = {g: F.col(f"__part.`{g}`").alias(g) for g in groups}
+    return joined.select(*[named.get(c, F.col(f"`{c}`")) for c in columns], (F.col("__n") + F.col("__before")).alias(out))
 
 
 def previous_value(chunked: DataFrame, value: str, order: Sequence[str], out: str = "prev") -> DataFrame:

@@ -32,7 +32,7 @@ def missing_rows(current: DataFrame, new: DataFrame, max_rows: int = BROADCAST_R
     """
     columns = current.columns
     fresh = cut_lineage(new.select(*columns).distinct())
-    if fresh.limit(max_rows + 1).count() <= max_rows:
+    if fresh.count() <= max_rows:
         cond = _equal("c", "n", columns)
         known = current.alias("c").join(F.broadcast(fresh).alias("n"), cond, "left_semi").distinct()
         return fresh.alias("n").join(known.alias("c"), cond, "left_anti")

@@ -39,8 +39,8 @@ FROM a FULL JOIN b ON a.user_id = b.user_id AND a.key = b.key WHERE a.value IS D
 def config_diff(t: a.Tables) -> DataFrame:
     """Settings half-way through the stream against those at its end."""
     rows = _settings(t)
-    half = t.events.agg(F.floor(F.max("event_id") / 2).alias("half"))
-    earlier = rows.join(F.broadcast(half), F.col("layer") < F.col("half")).drop("half")
+    half = t.events.agg(F.floor(F.max("event_id") / 2))
+    earlier = rows.where(F.col("layer") < half.scalar())
     merged = [config.layered_merge(df, ["user_id", "key"], "layer", "value") for df in (earlier, rows)]
     return config.config_diff(*merged, ["user_id", "key"], "value")
 

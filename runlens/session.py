@@ -69,8 +69,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after counting up to the bound; above it the join shuffles. Runs a job."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast hint if the row count is within the bound; above it the join shuffles. Runs a job.
+
+    A plain count adds up per task. Counting behind a limit would send the limit's worth of rows of
+    every task to a single one.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def key_side(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,6 +1,6 @@
 """Dependency graphs as (src, dst) edge tables.
 
-Reachability runs level by level: one join and one anti-join per level, each level checkpointed, so
+Reachability runs level by level: one join and one anti-join per level, each level written as a table, so
 plans stay short and a lost executor costs one level. Neighbours stay rows; no vertex's edge list is
 gathered into one value, so a hub is just many rows.
 """

@@ -3,7 +3,7 @@
 A plain window over a hot group sorts that group in a single task. Here rows are first cut into
 chunks that follow the order, chunks are numbered on their own, and the (few) chunk totals carry the
 offsets across. ``by_key`` cuts on a unique integral key; ``by_range`` takes any
-columns, range-partitions on them and checkpoints, so that a row's chunk can not change later.
+columns, range-partitions on them and writes the result, so that a row's chunk can not change later.
 """
 
 from __future__ import annotations

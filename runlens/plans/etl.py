@@ -11,7 +11,7 @@ from runlens.functions.identity import experiment_id, run_id
 from runlens.functions.text import parse_run_name
 from runlens.operators.extract import Extractor, accepted, registered, rejected, route_files, to_event_rows
 from runlens.operators.extract.base import ATTRIBUTES
-from runlens.session import broadcast_if_small, cut_lineage, materialized
+from runlens.session import broadcast_if_small, cut_lineage
 from runlens.sources.files import decode_path, scan_files, scan_lines
 from runlens.sources.states import scan_run_states
 from runlens.sources.store import ResultsStore
@@ -114,7 +114,7 @@ def extract_routed(spark: SparkSession, routed: DataFrame, extractors: dict[str,
 
 
 def routed_files(spark: SparkSession, root: str, runs: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
-    """Files of successful runs with the extractors that want them; a small table, checkpointed."""
+    """Files of successful runs with the extractors that want them; a small table, written once."""
     files = files_of_successful_runs(scan_files(spark, root), runs)
     return cut_lineage(route_files(files, extractors.values()))
 
@@ -153,7 +153,7 @@ def read_suites(spark: SparkSession, root: str, extractors: dict[str, Extractor]
         schema = "id bigint, experiment_run_id int, " + ", ".join(columns) + ", suite string"
         events = spark.createDataFrame([], schema)
     else:
-        extracted = materialized(extracted, "extracted")
+        extracted = cut_lineage(extracted, "extracted")
         events = to_event_rows(accepted(extracted), F.col("experiment_run_id"), "suite")
         rejects = rejects.unionByName(
             rejected(extracted).select("file", "suite", F.col("run_name").alias("name"), F.col("reject_reason").alias("reason"))

@@ -48,20 +48,34 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _LOCAL_FALLBACK:
             _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="runlens-")
         base = _LOCAL_FALLBACK[app]
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(base)
     return base
 
 
+def _work_dir(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), f"runlens-{spark.sparkContext.applicationId}")
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh, not yet existing path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    return os.path.join(_work_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; frames built on them are lost."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    folder = jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write to the shared folder as Parquet and read back. Runs a job.
+
+    Survives lost executors like a checkpoint does, is computed once, compressed, pruned by column
+    when read, and its size is known to the optimizer. ``clean_up`` removes it.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # A table below this many rows may be sent to every task (at most some 100 MB of names and ids).
@@ -85,13 +99,6 @@ def key_side(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return broadcast_if_small(cut_lineage(keys.distinct()), max_rows)
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder as Parquet and read back: cuts lineage for large results. Runs a job."""
-    path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Give every core work when a scan has fewer splits than there are cores.
 

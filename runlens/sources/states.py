@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from runlens.schemas import RUN_STATE
 from runlens.sources.files import logical_path, source_of
@@ -17,19 +17,30 @@ def scan_run_states(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     Unreadable objects go to the rejects, as does a note on every state without a command (the state
     itself is kept). Without a run time a state can not become a run, so it is rejected.
     """
+    # suite/run/state.json, or the folders that write_run_states puts in their place; nothing else
+    # below the root is listed or opened
+    pattern = f"{root.rstrip('/')}/*/*/*{STATE_FILE}"
+    if not _matches(spark, pattern):
+        return split_states(spark.createDataFrame([], T.StructType([*RUN_STATE, T.StructField("file", T.StringType())])))
     raw = (
         spark.read.schema(RUN_STATE)
         .option("multiLine", "true")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("recursiveFileLookup", "true")
-        .json(root)
+        .json(pattern)
         .select("*", logical_path(source_of(F.col("_metadata.file_path"))).alias("file"))
         .where(F.col("file").endswith("/" + STATE_FILE))
     )
     return split_states(raw)
 
 
+def _matches(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def split_states(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = F.split("file", "/")
     located = raw.select(

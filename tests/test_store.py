@@ -227,3 +227,18 @@ def test_queries_over_the_store(spark, store, rows):
     register_sql("slow_runs", "SELECT id FROM experiment_run WHERE time >= :least")
     assert "slow_runs" in registered_queries()
     assert run_query("slow_runs", relations, least=9).count() == 5
+
+
+def test_import_without_states(spark, store, tmp_path):
+    (tmp_path / "empty" / "suite").mkdir(parents=True)
+    (tmp_path / "empty" / "suite" / "note.txt").write_text("x")
+    found = etl.import_suites(spark, str(tmp_path / "empty"), store)
+    assert counts(store) == [0, 0, 0, 0] and found.rejects.isEmpty()
+
+
+def test_states_are_the_only_files_opened(spark, results):
+    from runlens.sources.states import scan_run_states
+
+    states, rejects = scan_run_states(spark, str(results))
+    assert {f.rsplit("/", 1)[-1] for f in states.inputFiles()} == {"state.json"}
+    assert states.count() == 6 and rejects.count() == 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +13,7 @@ from runlens.functions.text import parse_run_name
 from runlens.operators.extract import Extractor, accepted, registered, rejected, route_files, to_event_rows
 from runlens.operators.extract.base import ATTRIBUTES
 from runlens.session import broadcast_if_small, cut_lineage
-from runlens.sources.files import decode_path, scan_files, scan_lines
+from runlens.sources.files import decode_path, path_exists, scan_files, scan_lines, suite_folders
 from runlens.sources.states import scan_run_states
 from runlens.sources.store import ResultsStore
 
@@ -113,9 +114,12 @@ def extract_routed(spark: SparkSession, routed: DataFrame, extractors: dict[str,
     return rows.join(broadcast_if_small(context), ["file", "extractor"])
 
 
-def routed_files(spark: SparkSession, root: str, runs: DataFrame, extractors: dict[str, Extractor]) -> DataFrame:
+def routed_files(
+    spark: SparkSession, root: str, runs: DataFrame, extractors: dict[str, Extractor],
+    suites: Sequence[str] | None = None,
+) -> DataFrame:
     """Files of successful runs with the extractors that want them; a small table, written once."""
-    files = files_of_successful_runs(scan_files(spark, root), runs)
+    files = files_of_successful_runs(scan_files(spark, root, suites), runs)
     return cut_lineage(route_files(files, extractors.values()))
 
 
@@ -130,16 +134,22 @@ def extract_counts(
     return accepted(extracted).groupBy("suite", "extractor").agg(F.count(F.lit(1)).alias("n"))
 
 
-def read_suites(spark: SparkSession, root: str, extractors: dict[str, Extractor] | None = None) -> Import:
-    """All relations of the run folders ``<root>/<suite>/<experiment>.runNN``.
+def read_suites(
+    spark: SparkSession, root: str, suites: Sequence[str] | None = None,
+    extractors: dict[str, Extractor] | None = None,
+) -> Import:
+    """All relations of the run folders ``<root>/<suite>/<experiment>.runNN``, of all or some suites.
 
     Log lines are scanned once: the extraction is written and feeds both events and rejects.
     """
     extractors = extractors or registered()
-    states, state_rejects = scan_run_states(spark, root)
+    for suite in suites or ():
+        if not path_exists(spark, suite_folders(root, [suite])):
+            raise ValueError(f"no folder of suite {suite!r} below {root!r}")
+    states, state_rejects = scan_run_states(spark, root, suites)
     states = cut_lineage(states)
     runs = runs_of(states)
-    routed = routed_files(spark, root, runs, extractors)
+    routed = routed_files(spark, root, runs, extractors, suites)
     unnamed = named_states(states).where(F.col("run_name").isNull())
     clashes = conflicting_experiments(states).select(
         F.lit(None).cast("string").alias("file"), "suite", "name", F.lit("several runners").alias("reason")
@@ -161,9 +171,11 @@ def read_suites(spark: SparkSession, root: str, extractors: dict[str, Extractor]
     return Import(systems_of(states), experiments_of(states), runs, events, rejects)
 
 
-def import_suites(spark: SparkSession, root: str, store: ResultsStore) -> Import:
+def import_suites(
+    spark: SparkSession, root: str, store: ResultsStore, suites: Sequence[str] | None = None
+) -> Import:
     """Read run folders and refresh their suites in the store."""
-    found = read_suites(spark, root)
+    found = read_suites(spark, root, suites)
     store.create()
     store.refresh_suites(found.systems, found.experiments, found.runs, found.events)
     return found

@@ -67,12 +67,28 @@ def scan_json_lines(lines: DataFrame, schema, corrupt: str = "_corrupt") -> tupl
     return parsed.where(~bad), rejects
 
 
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
+def suite_folders(root: str, suites: Sequence[str] | None = None) -> str:
+    """Path pattern of the folders of all or some suites, in either layout."""
+    root = root.rstrip("/")
+    if suites is None:
+        return f"{root}/*"
+    return f"{root}/{{{','.join(f'{s},suite={s}' for s in suites)}}}"
+
+
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def scan_files(spark: SparkSession, root: str, suites: Sequence[str] | None = None) -> DataFrame:
     """(source, path, rel, file_name, n_parts, bytes, modified) of all regular files below ``root``.
 
-    Only listing columns are read: the content column is pruned, so no file is opened.
+    Only listing columns are read: the content column is pruned, so no file is opened. With
+    ``suites``, only their folders are listed.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    folder = root if suites is None else suite_folders(root, suites)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     parts = listed.select(
         source_of(F.col("_metadata.file_path")).alias("source"),
         "length",

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from runlens.schemas import RUN_STATE
-from runlens.sources.files import logical_path, source_of
+from runlens.sources.files import logical_path, path_exists, source_of, suite_folders
 
 STATE_FILE = "state.json"
 
 
-def scan_run_states(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(states, rejects) of all suites below ``root``.
+def scan_run_states(
+    spark: SparkSession, root: str, suites: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(states, rejects) of all suites below ``root``, or of the given ones.
 
     Suite and run name are the two folders above ``state.json``; folders without one do not show up.
     Unreadable objects go to the rejects, as does a note on every state without a command (the state
@@ -19,8 +23,8 @@ def scan_run_states(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     """
     # suite/run/state.json, or the folders that write_run_states puts in their place; nothing else
     # below the root is listed or opened
-    pattern = f"{root.rstrip('/')}/*/*/*{STATE_FILE}"
-    if not _matches(spark, pattern):
+    pattern = f"{suite_folders(root, suites)}/*/*{STATE_FILE}"
+    if not path_exists(spark, pattern):
         return split_states(spark.createDataFrame([], T.StructType([*RUN_STATE, T.StructField("file", T.StringType())])))
     raw = (
         spark.read.schema(RUN_STATE)
@@ -35,12 +39,6 @@ def scan_run_states(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     return split_states(raw)
 
 
-def _matches(spark: SparkSession, pattern: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
-
-
 def split_states(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = F.split("file", "/")
     located = raw.select(

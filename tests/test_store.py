@@ -242,3 +242,11 @@ def test_states_are_the_only_files_opened(spark, results):
     states, rejects = scan_run_states(spark, str(results))
     assert {f.rsplit("/", 1)[-1] for f in states.inputFiles()} == {"state.json"}
     assert states.count() == 6 and rejects.count() == 2
+
+
+def test_import_of_one_suite(spark, store, results, rows):
+    etl.import_suites(spark, str(results), store, ["suite.b"])
+    assert rows(store.read("experiment"), "suite") == [("suite.b",)]
+    assert store.read("experiment_event").count() == 1
+    with pytest.raises(ValueError):
+        etl.import_suites(spark, str(results), store, ["suite.c"])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from runlens.functions.once import evaluated
 from runlens.functions.timestamps import dstat_epoch
 from runlens.operators.extract.base import Extractor, context_columns, event_columns, register_extractor
+from runlens.session import broadcast_if_small, cut_lineage
 
 # Name of the clock column, file name and banner lines.
 CLOCK = "epoch"
@@ -88,14 +89,16 @@ def headers(lines: DataFrame) -> DataFrame:
 def extract_samples(lines: DataFrame) -> DataFrame:
     """One event per sample and column except the clock; on a repeated name the last column wins.
 
+    Headers are looked up first, which runs a job; there is one per file, so they are broadcast unless
+    there are very many files, and samples are not shuffled.
+
     A row shorter than its header uses the columns it has. Names are looked at once per file; per
     row everything is plain arithmetic on indexes, which stays inside generated code.
     """
     keep = ["file", "record_key", *context_columns(lines)]
     data = lines.where((F.col("value") != "") & ~F.col("value").startswith('"'))
-    named = data.alias("d").join(
-        headers(lines).alias("h"), F.col("d.file") == F.col("h.file"), "left"
-    ).select(*[F.col(f"d.{c}") for c in keep], "d.value", "h.names", "h.host", "h.cols", "h.clock_at")
+    heads = broadcast_if_small(cut_lineage(headers(lines)))
+    named = data.alias("d").join(heads.alias("h"), F.col("d.file") == F.col("h.file"), "left").select(*[F.col(f"d.{c}") for c in keep], "d.value", "h.names", "h.host", "h.cols", "h.clock_at")
     split = named.withColumn("cells", F.split("value", ",")).withColumn("n", F.size("cells"))
     whole = F.col("n") >= F.size("names")
     at = F.when(whole, F.col("clock_at")).otherwise(last_position(F.slice("names", F.lit(1), F.col("n")), CLOCK))

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from runlens.operators.aggregates import exact_median
+from runlens.session import broadcast_if_small
 from runlens.sources.store import PARENT_FIRST, ResultsStore
 
 QueryFn = Callable[..., DataFrame]
@@ -101,9 +102,13 @@ def runtime_summary(relations: dict[str, DataFrame]) -> DataFrame:
 
 @register_query("run_details")
 def run_details(relations: dict[str, DataFrame]) -> DataFrame:
-    """Every run with the name and suite of its experiment, unordered."""
-    e, r = relations["experiment"].alias("e"), relations["experiment_run"].alias("r")
-    return e.join(r, F.col("e.id") == F.col("r.experiment_id")).select(
+    """Every run with the name and suite of its experiment, unordered.
+
+    Experiments are counted first: while they can be broadcast, runs are not shuffled.
+    """
+    named = broadcast_if_small(relations["experiment"].select("id", "name", "suite"))
+    e, r = named.alias("e"), relations["experiment_run"].alias("r")
+    return r.join(e, F.col("e.id") == F.col("r.experiment_id")).select(
         "e.name", "e.suite", F.col("r.time").alias("runtime"), "r.run"
     )
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from runlens.session import broadcast_if_small, cut_lineage
+
 
 def decode_path(path: Column) -> Column:
     """``_metadata.file_path`` is percent-encoded; '+' stands for itself there."""
@@ -115,10 +117,11 @@ def file_line_counts(lines: DataFrame, file: str = "file") -> DataFrame:
 def delta_lines(numbered: DataFrame, offsets: DataFrame, file: str = "file", line_no: str = "line_no") -> DataFrame:
     """Lines after the recorded count of their file; all lines of files not recorded.
 
-    Offsets are one row per file; the optimizer broadcasts them while they are small and AQE splits
-    the join when one file is hot.
+    Offsets are one row per file and broadcast unless there are very many; lines are then not
+    shuffled. Runs jobs to size the offsets.
     """
-    known = offsets.select(F.col(file).alias("__file"), F.col("n_lines").alias("__seen"))
+    seen = offsets.select(F.col(file).alias("__file"), F.col("n_lines").alias("__seen"))
+    known = broadcast_if_small(cut_lineage(seen))
     joined = numbered.join(known, F.col(file) == F.col("__file"), "left")
     return joined.where(F.col(line_no) > F.coalesce("__seen", F.lit(0))).drop("__file", "__seen")
 

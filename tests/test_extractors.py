@@ -23,19 +23,19 @@ def test_older_log_lines(spark):
     chain = "CHAIN Source (at a.B$.main(C.scala:1) (x.TextFormat)) -> Combine(SUM(1))"
     got = extract_task_states(lines(
         spark,
-        f"2015-07-29 19:55:14,000\t{chain}(1/40) switched to SCHEDULED ",
-        "2015-07-29 19:55:21,123\tSink (Csv (path: hdfs://h:1/out, delimiter: ,))(3/75) switched to DEPLOYING ",
-        "2015-07-29 19:55:21,123\tSink(3/75) switched to FAILED ",
-        "2015-07-29 19:55:21,123\tSink(3/75) switched to CANCELED",
+        f"2019-02-03 04:05:06,000\t{chain}(1/40) switched to SCHEDULED ",
+        "2019-02-03 04:05:13,123\tSink (Csv (path: hdfs://h:1/out, delimiter: ,))(3/75) switched to DEPLOYING ",
+        "2019-02-03 04:05:13,123\tSink(3/75) switched to FAILED ",
+        "2019-02-03 04:05:13,123\tSink(3/75) switched to CANCELED",
         "no clock\tSink(3/75) switched to RUNNING",
-        "2015-07-29 19:55:22,000\tMap(9/9) switched to FINISHED",
-        "2015-13-29 19:55:22,000\tMap(9/9) switched to FINISHED",
-        "2015-07-29 19:55:22,000\tMap(99999999999/9) switched to RUNNING",
+        "2019-02-03 04:05:14,000\tMap(9/9) switched to FINISHED",
+        "2019-13-03 04:05:14,000\tMap(9/9) switched to FINISHED",
+        "2019-02-03 04:05:14,000\tMap(99999999999/9) switched to RUNNING",
     ))
     assert events(got, "ms", "name", "task", "task_instance") == [
-        (1438199714000, "state_change_scheduled", chain, 1),
-        (1438199721123, "state_change_deploying", "Sink (Csv (path: hdfs://h:1/out, delimiter: ,))", 3),
-        (1438199722000, "state_change_finished", "Map", 9),
+        (1549166706000, "state_change_scheduled", chain, 1),
+        (1549166713123, "state_change_deploying", "Sink (Csv (path: hdfs://h:1/out, delimiter: ,))", 3),
+        (1549166714000, "state_change_finished", "Map", 9),
     ]
     assert [r.reject_reason for r in rejected(got).orderBy("record_key").collect()] == [
         "bad timestamp", "task number out of range"
@@ -43,7 +43,7 @@ def test_older_log_lines(spark):
 
 
 def test_newer_log_lines(spark):
-    head = "2016-03-25 15:08:04,996 INFO  org.x.Graph        - "
+    head = "2020-06-07 08:09:10,250 INFO  org.x.Graph        - "
     got = extract_task_states(lines(
         spark,
         head + "Map (a) -> Combine (b) (1/4) (3a95) switched from CREATED to SCHEDULED",
@@ -52,15 +52,15 @@ def test_newer_log_lines(spark):
         head + "Map (a) (1/4) (3a95) switched from RUNNING to FAILED",
     ))
     assert events(got, "ms", "name", "task", "task_instance") == [
-        (1458918484996, "state_change_scheduled", "3a95 (Map (a) -> Combine (b))", 1),
-        (1458918484996, "state_change_running", "id7 (second)", 2),
+        (1591517350250, "state_change_scheduled", "3a95 (Map (a) -> Combine (b))", 1),
+        (1591517350250, "state_change_running", "id7 (second)", 2),
     ]
 
 
 def task_end(**changes):
     info = {
-        "Task ID": 108, "Index": 28, "Attempt": 0, "Launch Time": 1438192916855, "Executor ID": "3", "Host": "10.0.0.1",
-        "Locality": "PROCESS_LOCAL", "Speculative": False, "Finish Time": 1438192918771, "Failed": False, "Accumulables": [],
+        "Task ID": 41, "Index": 7, "Attempt": 0, "Launch Time": 1500000001234, "Executor ID": "3", "Host": "10.0.0.1",
+        "Locality": "PROCESS_LOCAL", "Speculative": False, "Finish Time": 1500000005678, "Failed": False, "Accumulables": [],
     }
     event = {"Event": "SparkListenerTaskEnd", "Stage ID": 1, "Stage Attempt ID": 0, "Task Type": "ResultTask"}
     for k, v in changes.items():
@@ -76,8 +76,8 @@ def test_spark_task_ends(spark):
         "{broken", task_end(Index=None), '{"Event":"SparkListenerTaskEnd","Stage ID":1,"Stage Attempt ID":0}',
     ))
     assert events(got, "name", "task", "task_instance", "v_long", "host", "ms") == [
-        ("state_change_running", "stage-1#0", 108, 28, None, 1438192916855),
-        ("state_change_finished", "stage-1#0", 108, 28, None, 1438192918771),
+        ("state_change_running", "stage-1#0", 41, 7, None, 1500000001234),
+        ("state_change_finished", "stage-1#0", 41, 7, None, 1500000005678),
     ]
     assert [(r.record_key, r.reject_reason) for r in rejected(got).orderBy("record_key").collect()] == [
         (4, "malformed json"), (5, "incomplete task info"), (6, "incomplete task info"),

@@ -72,8 +72,8 @@ def test_version_order(spark):
 
 def test_clocks(spark):
     millis = lambda c: F.unix_millis(c)
-    assert one(spark, lambda c: millis(rf.log_timestamp(c)), "2015-07-29 19:55:14,007") == 1438199714007
-    assert one(spark, rf.log_timestamp, "2015-13-29 19:55:14,007") is None
+    assert one(spark, lambda c: millis(rf.log_timestamp(c)), "2019-02-03 04:05:06,007") == 1549166706007
+    assert one(spark, rf.log_timestamp, "2019-13-03 04:05:06,007") is None
     assert one(spark, lambda c: millis(rf.dstat_epoch(c)), "1464692877.5") == 1464692877500
     assert one(spark, lambda c: millis(rf.dstat_epoch(c, strict_compat=True)), "1464692877.5") == 1464692877005
     assert one(spark, rf.dstat_epoch, "1464692877") is None

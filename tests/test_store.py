@@ -47,7 +47,7 @@ def events(spark, run_rows, n=4):
         F.when(kind > 0, F.col("i")).alias("task_instance"),
         F.when(kind == 3, F.lit(42).cast("bigint")).alias("v_long"),
         F.when(kind == 0, F.col("i") + 5.0).alias("v_double"),
-        F.when(kind == 1, F.timestamp_millis(F.lit(1438192916855).cast("bigint"))).alias("v_timestamp"),
+        F.when(kind == 1, F.timestamp_millis(F.lit(1500000001234).cast("bigint"))).alias("v_timestamp"),
         F.when(kind == 2, "RUNNING").alias("v_string"), "suite",
     )
 
@@ -138,7 +138,7 @@ def test_event_csv_keeps_every_value(spark, store, tmp_path, rows):
     write_event_csv(both, path)
     assert rows(read_event_csv(spark, path)) == rows(both)
     text = "".join(open(f"{path}/{f}").read() for f in sorted(os.listdir(path)) if f.endswith(".csv"))
-    assert "2015-07-29 18:01:56.855" in text
+    assert "2017-07-14 02:40:01.234" in text
 
 
 # -- import of plain run folders ----------------------------------------------------------------
@@ -158,7 +158,7 @@ def state(**changes):
 @pytest.fixture
 def results(tmp_path):
     root = tmp_path / "results"
-    log = "2015-07-29 19:55:14,000\tMap(1/4) switched to RUNNING \nnoise\n2015-07-29 19:55:15,000\tMap(1/4) switched to FINISHED \n"
+    log = "2019-02-03 04:05:06,000\tMap(1/4) switched to RUNNING \nnoise\n2019-02-03 04:05:07,000\tMap(1/4) switched to FINISHED \n"
     for name in ("wc.run01", "wc.run02"):
         write(root / "suite.a" / name / "state.json", state())
         write(root / "suite.a" / name / "logs/flink/flink-1/flink-u-jobmanager-h.log", log)

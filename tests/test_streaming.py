@@ -7,7 +7,7 @@ def test_only_new_files_are_read(spark, tmp_path):
     logs.mkdir()
 
     def run(name, number):
-        (logs / name).write_text(f"2015-07-29 19:55:14,000\tMap({number}/4) switched to RUNNING \nnoise\n")
+        (logs / name).write_text(f"2019-02-03 04:05:06,000\tMap({number}/4) switched to RUNNING \nnoise\n")
         run_extraction(line_stream(spark, str(logs)), registered()["flink_tasks"], sink, state).awaitTermination()
         return sorted(r.task_instance for r in accepted(spark.read.parquet(sink)).collect())
 

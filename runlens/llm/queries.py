@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import chat_format, fair_mix, line_dedup, quality, token_files, token_rollup
+from runlens.llm import chat_format, cover_tree, fair_mix, line_dedup, ngram_join, quality, sentencepiece_scan, token_files, token_rollup
 from runlens.llm.common import documents
 from runlens.llm.sql import SQL
 from runlens.session import work_path
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,10 +36,23 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text, and the digest of what they decode to."""
+    model = tokenizer_path(PIECES)
+    coded = sentencepiece_scan.encode(documents(spark, folder).select("doc_id", "text"), model).drop("text")
+    read = sentencepiece_scan.decode(coded, model)
+    return read.select("doc_id", "n_chunks", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return ngram_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,6 +98,13 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.totals()
 
 
+def op6_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cover_tree.usable(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding")
+    scaled = rows.withColumn("v", F.transform("v", lambda x: F.floor(256 * x).cast("double")))
+    found = cover_tree.top_k(scaled, scaled.where(F.col("id") % 50 == 0), k=5)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
 def op7_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return fair_mix.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -104,7 +125,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op4_token_files, op5_token_counts, op7_fair_mix, op9_line_dedup, op10_quality_rules)
+    for f in (
+        op1_chat_format, op2_sentencepiece, op3_ngram_join, op4_token_files, op5_token_counts, op6_cover_tree, op7_fair_mix,
+        op9_line_dedup, op10_quality_rules,
+    )
 }
 
 

@@ -30,6 +30,23 @@ SQL = {
         SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(learnt)::BIGINT AS loss_chars,
             sha256(learnt) AS loss_sha256, chars::BIGINT AS formatted_chars
         FROM joined""",
+    "op3_ngram_join": f"""
+        WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, translate(text, '{_UPPER}', '{_LOWER}') AS text FROM documents),
+        worded AS (SELECT r, doc_id, {_WORDS} AS w FROM docs),
+        sets AS (
+            SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s
+            FROM worded
+        ), members AS (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (
+            SELECT a.r AS a, b.r AS b FROM members a JOIN members b ON a.g = b.g AND a.r <> b.r
+            GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach(a, b) AS (
+            SELECT r, r FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        )
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM sets s JOIN (
+            SELECT reach.a, min(t.doc_id) AS component_id FROM reach JOIN sets t ON t.r = reach.b GROUP BY reach.a
+        ) c ON c.a = s.r""",
     "op5_token_counts": f"""
         WITH counted AS (
             SELECT source, lang, len({_WORDS})::BIGINT AS words,
@@ -41,6 +58,18 @@ SQL = {
             UNION ALL SELECT source, lang, 'pieces-1', pieces FROM counted WHERE words >= 20 AND away
         )
         SELECT source, lang, tokenizer, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM kept GROUP BY ALL""",
+    "op6_cover_tree": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op7_fair_mix": f"""
         WITH sizes AS (
             SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '-')) AS shuffled FROM documents

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import chat_format, cover_tree, fair_mix, line_dedup, ngram_join, quality, sentencepiece_scan, token_files, token_rollup
+from runlens.llm import chat_format, cover_tree, fair_mix, line_dedup, ngram_join, quality, sentencepiece_scan, suffix_dedup, token_files, token_rollup
 from runlens.llm.common import documents
 from runlens.llm.sql import SQL
 from runlens.session import work_path
@@ -109,6 +109,11 @@ def op7_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return fair_mix.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(documents(spark, folder).select("doc_id", "text"), length=200)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = line_dedup.drop_frequent_lines(documents(spark, folder).select("doc_id", "text"), min_docs=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -127,7 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_sentencepiece, op3_ngram_join, op4_token_files, op5_token_counts, op6_cover_tree, op7_fair_mix,
-        op9_line_dedup, op10_quality_rules,
+        op8_suffix_dedup, op9_line_dedup, op10_quality_rules,
     )
 }
 

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from runlens.llm.common import WORD, table
+from runlens.llm.common import WORD, row_key, table
 from runlens.session import broadcast_if_small
 
 CHUNK_ROWS = 20_000
@@ -71,9 +71,10 @@ def mix(
     text: str = "text",
     id_column: str = "doc_id",
 ) -> DataFrame:
-    """The id (as ``doc_id``), source, size, source_size, target, copies taken and taken words per row. Runs jobs."""
+    """The row's key, its id (as ``doc_id``), source, size, source_size, target, copies taken and taken words. Runs jobs."""
     sizes = table(
         docs.select(
+            row_key(id_column, text).alias("key"),
             F.col(id_column).alias("doc_id"),
             "source",
             word_count(text).alias("size"),
@@ -90,10 +91,24 @@ def mix(
     # one row, or a null if nothing is taken
     taken = timed.join(F.broadcast(last)).withColumn("copies", F.coalesce(served, F.lit(0)).cast("int"))
     return taken.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+        "key", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
+def mixed_documents(docs: DataFrame, text: str = "text", id_column: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. Runs jobs.
+
+    Rows that agree in id, text and source are one document, which is taken as often as they are together.
+    """
+    taken = table(mix(docs, text=text, id_column=id_column, **how).where("copies > 0"), "mix")
+    # a struct is never null, so a null source meets itself
+    place = F.struct("key", "source").alias("__place")
+    copies = taken.groupBy(place).agg(F.sum("copies").cast("int").alias("__copies"))
+    placed = docs.withColumn("__place", F.struct(row_key(id_column, text).alias("key"), F.col("source").alias("source")))
+    met = placed.dropDuplicates(["__place"]).join(copies.hint("shuffle_hash"), "__place")
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+
+
 def _finish_times(sizes: DataFrame, weights: Sequence[int], share: float) -> DataFrame:
     n = sizes.count()
     digits = 0
@@ -103,7 +118,7 @@ def _finish_times(sizes: DataFrame, weights: Sequence[int], share: float) -> Dat
     # one struct, never null, so that rows and totals meet on one key
     part = F.struct("source", "chunk").alias("part")
     inside = Window.partitionBy("part").orderBy("shuffled", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = chunked.select(part, "doc_id", "size", "shuffled").withColumn("words", F.sum("size").over(inside))
+    rows = chunked.select(part, "key", "doc_id", "size", "shuffled").withColumn("words", F.sum("size").over(inside))
     totals = chunked.groupBy(part).agg(F.sum("size").alias("total"))
     earlier = Window.partitionBy("part.source").orderBy("part.chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
@@ -111,7 +126,7 @@ def _finish_times(sizes: DataFrame, weights: Sequence[int], share: float) -> Dat
     placed = rows.join(before, "part").withColumn("named", F.struct(F.col("part.source").alias("source")))
     joined = placed.join(broadcast_if_small(table(wide, "targets")), "named")
     words = (F.col("words") + F.col("before")).alias("words")
-    return joined.select("doc_id", F.col("named.source").alias("source"), "size", "shuffled", "source_size", "target", words)
+    return joined.select("key", "doc_id", F.col("named.source").alias("source"), "size", "shuffled", "source_size", "target", words)
 
 
 def _ticket(k: int) -> Column:

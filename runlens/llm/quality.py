@@ -42,7 +42,7 @@ RULES = (
     Rule("repeated_words", "100 * n_repeat_words > 30 * n_words", ("n_words", "n_repeat_words")),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words", ("n_words", "word_chars")),
     Rule("symbols", "10 * n_symbols > n_words", ("n_words", "n_symbols")),
-    Rule("repeated_lines", "100 * n_dup_lines > 30 * n_lines", ("n_lines", "n_dup_lines")),
+    Rule("repeated_lines", "n_dup_lines >= 3 and 2 * n_dup_lines > n_lines", ("n_lines", "n_dup_lines")),
 )
 BASE = RULES[:2]
 

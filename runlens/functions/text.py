@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
 # Name formats.
 RUN_NAME = r"^(.+)\.run(\d{2})$"
-PLACEHOLDER = r"__\S+?__"
+KEYS = r"__\S+?__|\$\{[^}\s]+\}"
 
 
 def word_tokens(line: Column) -> Column:
@@ -35,13 +36,26 @@ def parse_run_name(name: Column) -> Column:
     return F.when(name.rlike(RUN_NAME), parsed)
 
 
-def substitute(template: Column, values: Mapping[str, Column]) -> Column:
-    """Replace every ``__key__`` by its value."""
-    for key, value in values.items():
-        template = F.replace(template, F.lit(f"__{key}__"), value.cast("string"))
-    return template
+def template_keys(template: Column) -> Column:
+    """Keys that a template names, as ``__key__`` or ``${key}``."""
+    marked = F.regexp_extract_all(template, F.lit(KEYS), F.lit(0))
+    return F.array_distinct(F.transform(marked, lambda m: F.regexp_replace(m, r"^(?:__|\$\{)|(?:__|\})$", "")))
 
 
-def has_placeholder(text: Column) -> Column:
-    """True where a template names a key that got no value."""
-    return text.rlike(PLACEHOLDER)
+def substitute(template: Column, values: Mapping[str, Column]) -> Column:
+    """Replace every ``__key__`` and ``${key}`` by its value, in one pass: values are not searched for keys."""
+    # the text is cut at every mark of a known key; the pieces alternate with the keys that stood between them
+    known = "|".join(re.escape(k) for k in sorted(values, key=len, reverse=True))
+    if not known:
+        return template
+    mark = rf"__(?:{known})__|\$\{{(?:{known})\}}"
+    pieces = F.split(template, mark)
+    keys = F.transform(F.regexp_extract_all(template, F.lit(mark), F.lit(0)), lambda m: F.regexp_replace(m, r"^(?:__|\$\{)|(?:__|\})$", ""))
+    named = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))])
+    filled = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(named, F.get(keys, i)), F.lit(""))))
+    return F.array_join(filled, "")
+
+
+def unknown_keys(template: Column, values: Mapping[str, Column]) -> Column:
+    """Keys that a template names and nothing fills."""
+    return F.array_except(template_keys(template), F.array(*[F.lit(k) for k in values]).cast("array<string>"))

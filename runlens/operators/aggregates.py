@@ -100,7 +100,8 @@ def reduce_per_key(
             yield to_batch(held, like)
 
     partial = pairs.mapInArrow(combine, schema)
-    salted = partial.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    # the bucket follows from the value: a task that is done again deals its rows as before
+    salted = partial.withColumn("__salt", F.pmod(F.xxhash64(F.col(value)), F.lit(salts)))
     buckets = salted.repartition(key, "__salt").select(key, value).mapInArrow(combine, schema)
     return buckets.repartition(key).sortWithinPartitions(key).mapInArrow(finish, schema)
 

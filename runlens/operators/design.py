@@ -8,13 +8,15 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from runlens.functions.text import has_placeholder, substitute
+from runlens.functions.text import substitute, unknown_keys
 from runlens.operators.ordering import by_key, by_range, position_within
 from runlens.session import cut_lineage
 
 
 # A list up to this length is numbered in one task.
 SINGLE_TASK_ROWS = 100_000
+# Grid points that a prototype unfolds at a time.
+POINTS_AT_ONCE = 1024
 
 ValueList = Sequence[Any] | DataFrame
 """Values of one parameter: given outright, or as an (index, value) table from ``indexed_values``."""
@@ -81,17 +83,23 @@ def grid_zipped(spark: SparkSession, parameters: Mapping[str, ValueList]) -> Dat
 def expand(
     prototypes: DataFrame, parameters: Mapping[str, ValueList], template: str, out: str = "experiment"
 ) -> tuple[DataFrame, DataFrame]:
-    """(experiments, rejects): every prototype at every crossed grid point, ``__key__`` filled in.
+    """(experiments, rejects): every prototype at every crossed grid point, ``__key__`` and ``${key}`` filled in.
 
-    Each prototype unfolds its grid points in place; values are looked up afterwards.
+    A template is judged by the keys it names, before any value is put in; a null template is a reject too. Grid points unfold in
+    two steps, so no row ever holds a list of all of them.
     """
     sizes = _sizes(parameters)
     total = math.prod(sizes.values())
-    points = prototypes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total - 1).cast("long"))).alias("point"))
+    values = {p: F.col(p) for p in parameters}
+    sound = F.col(template).isNotNull() & (F.size(unknown_keys(F.col(template), values)) == 0)
+    # steps keep the list that one row unfolds short, whatever the number of points
+    steps = prototypes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((total - 1) // POINTS_AT_ONCE).cast("long"))).alias("__step"))
+    first = F.col("__step") * POINTS_AT_ONCE
+    last = F.least(first + POINTS_AT_ONCE, F.lit(total).cast("long")) - 1
+    points = steps.select("*", F.explode(F.sequence(first, last)).alias("point")).drop("__step")
     flat = _attach_crossed(points, parameters, sizes)
-    filled = flat.withColumn(out, substitute(F.col(template), {p: F.col(p) for p in parameters}))
-    bad = has_placeholder(F.col(out))
-    return filled.where(~bad), filled.where(bad)
+    filled = flat.withColumn(out, substitute(F.col(template), values))
+    return filled.where(sound), filled.where(~sound)
 
 
 def tier_sizes(total: int, unit: int) -> list[int]:
@@ -130,6 +138,24 @@ def scaleout_tiers(items: DataFrame, key: str, unit: int, parallelism: Column, m
     return whole.select(F.lit("all").alias("tier"), "hosts", "parallelism", "memory").unionByName(named)
 
 
+def tier_members(items: DataFrame, key: str, unit: int) -> DataFrame:
+    """(tier, key, rank) of the items in the first unit * 2**i by key, for every tier that is full, and in ``all``.
+
+    An item unfolds the tiers it is in, from the smallest that holds its rank up to the largest full one.
+    """
+    ranked = position_within(by_key(items.select(key), key), [], [key], "rank")
+    total = items.count()
+    full = len(tier_sizes(total, unit))
+    over = F.ceil(F.col("rank") / unit)
+    level = F.when(over <= 1, 0).otherwise(F.length(F.bin(over - 1)))
+    levels = F.when(level < full, F.sequence(level.cast("int"), F.lit(full - 1))).otherwise(F.array().cast("array<int>"))
+    size = F.lit(unit) * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__level"))
+    inside = ranked.select(key, "rank", F.explode(levels).alias("__level"))
+    return inside.select(F.format_string("top%03d", size).alias("tier"), key, "rank").unionByName(
+        ranked.select(F.lit("all").alias("tier"), key, "rank")
+    )
+
+
 def pending_runs(
     experiments: DataFrame, runs: DataFrame, keys: Sequence[str], planned: str = "runs", force: bool = False
 ) -> DataFrame:

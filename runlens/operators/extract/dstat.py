@@ -70,9 +70,10 @@ def headers(lines: DataFrame) -> DataFrame:
     file of quoted lines only does not end up in one task.
     """
     candidates = lines.where(F.col("value").startswith('"') & ~F.col("value").rlike(BANNER))
+    order = [c for c in ("part", "block", "record_key") if c in lines.columns]
     ranked = candidates.select(
         "file", "value",
-        F.row_number().over(Window.partitionBy("file").orderBy("record_key")).alias("n"),
+        F.row_number().over(Window.partitionBy("file").orderBy(*order)).alias("n"),
     ).where(F.col("n") <= 2)
     rows = ranked.groupBy("file").agg(
         F.max(F.when(F.col("n") == 1, F.col("value"))).alias("groups"),

@@ -12,7 +12,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from runlens.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage, key_side
+from runlens.session import BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, cut_lineage, key_side, measure
+
+
+class ConstraintError(ValueError):
+    """A key, null or reference rule of a relation does not hold."""
+
+
+def require_unique(df: DataFrame, key: str, what: str) -> None:
+    """Raise if a key is null or occurs more than once. Runs a job."""
+    found = [r[0] for r in duplicate_keys(df, [key]).select(key).take(5)]
+    if found:
+        raise ConstraintError(f"{what}: repeated or null {key}, e.g. {found}")
 
 
 def _equal(left: str, right: str, columns: Sequence[str]) -> Column:
@@ -32,7 +43,8 @@ def missing_rows(current: DataFrame, new: DataFrame, max_rows: int = BROADCAST_R
     """
     columns = current.columns
     fresh = cut_lineage(new.select(*columns).distinct())
-    if fresh.count() <= max_rows:
+    n, size = measure(fresh)
+    if n <= max_rows and size <= BROADCAST_BYTES:
         cond = _equal("c", "n", columns)
         known = current.alias("c").join(F.broadcast(fresh).alias("n"), cond, "left_semi").distinct()
         return fresh.alias("n").join(known.alias("c"), cond, "left_anti")
@@ -45,9 +57,14 @@ def insert_missing(current: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def update_by_key(current: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """Rows with a matching key take every non-key column from ``updates`` (one row per key)."""
+    """Rows with a matching key take every non-key column from ``updates``.
+
+    A key that is updated twice, or null, raises ``ConstraintError``. Runs jobs.
+    """
     others = [c for c in current.columns if c != key]
-    marked = broadcast_if_small(cut_lineage(updates.select(key, *others, F.lit(True).alias("__hit"))))
+    changes = cut_lineage(updates.select(key, *others, F.lit(True).alias("__hit")))
+    require_unique(changes, key, "updates")
+    marked = broadcast_if_small(changes)
     joined = current.alias("c").join(marked.alias("u"), F.col(f"c.{key}") == F.col(f"u.{key}"), "left")
     hit = F.col("u.__hit")
     cells = {c: F.when(hit, F.col(f"u.{c}")).otherwise(F.col(f"c.{c}")).alias(c) for c in others}

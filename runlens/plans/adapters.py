@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runlens.functions.timestamps import LOG_FORMAT
 from runlens.session import prepare, spread, work_path
+from runlens.sources.files import path_exists
 from runlens.sources.states import write_run_states
 
 TABLES = (
@@ -210,7 +211,7 @@ _TREES: dict[tuple[str, str], str] = {}
 def results_tree(t: Tables) -> str:
     """Write run folders derived from the events below the shared folder; once per session and scale."""
     key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _TREES:
+    if key not in _TREES or not path_exists(t.spark, _TREES[key]):
         root = work_path(t.spark, "results")
         write_run_states(run_states(t), root)
         events = run_folders(t).withColumn("salt", F.col("event_id") % WRITERS_PER_FOLDER)

@@ -7,8 +7,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from runlens.operators.aggregates import exact_median
-from runlens.session import broadcast_if_small
+from runlens.operators.aggregates import MAX_GROUP, exact_median
+from runlens.session import broadcast_if_small, cut_lineage, key_side
 from runlens.sources.store import PARENT_FIRST, ResultsStore
 
 QueryFn = Callable[..., DataFrame]
@@ -58,6 +58,13 @@ def _folded(runs: DataFrame, experiments: DataFrame) -> DataFrame:
     )
 
 
+def _named_times(relations: dict[str, DataFrame]) -> DataFrame:
+    """(suite, name, time) of every run; experiments are broadcast while they are few."""
+    named = broadcast_if_small(cut_lineage(relations["experiment"].select("id", "suite", "name")))
+    runs = relations["experiment_run"].select("experiment_id", "time")
+    return runs.join(named, runs.experiment_id == named.id).select("suite", "name", "time")
+
+
 @register_query("runtimes_for_suite")
 def runtimes_for_suite(relations: dict[str, DataFrame], suite: str) -> DataFrame:
     """Shortest, longest and "median" run time per experiment of a suite.
@@ -68,6 +75,9 @@ def runtimes_for_suite(relations: dict[str, DataFrame], suite: str) -> DataFrame
     chosen, runs = relations["experiment"].where(F.col("suite") == suite), relations["experiment_run"]
     if "suite" in runs.columns:  # stored runs are partitioned by it
         runs = runs.where(F.col("suite") == suite)
+    else:
+        wanted = key_side(chosen.select(F.col("id").alias("experiment_id")))
+        runs = runs.join(wanted, "experiment_id", "left_semi")
     return _folded(runs, chosen).select(
         "suite", "name", "min_time", "max_time",
         (F.col("sum_time") - F.col("min_time") - F.col("max_time")).alias("median_time"),
@@ -76,21 +86,28 @@ def runtimes_for_suite(relations: dict[str, DataFrame], suite: str) -> DataFrame
 
 @register_query("median_runtime")
 def median_runtime(relations: dict[str, DataFrame]) -> DataFrame:
-    """True median run time (ms) per experiment.
-
-    An id stands for one (suite, name), so medians are taken per id and named afterwards.
-    """
-    medians = exact_median(relations["experiment_run"], ["experiment_id"], "time")
-    e = relations["experiment"]
-    return e.join(medians, e.id == medians.experiment_id).select("suite", "name", "median")
+    """True median run time (ms) per experiment, which is a (suite, name), whatever ids it has."""
+    return exact_median(_named_times(relations), ["suite", "name"], "time")
 
 
 @register_query("runtime_summary")
 def runtime_summary(relations: dict[str, DataFrame]) -> DataFrame:
-    """Average, median, longest and shortest run time in seconds and the number of runs."""
-    folded = _folded(relations["experiment_run"], relations["experiment"])
-    medians = median_runtime(relations)
-    joined = folded.join(medians, ["suite", "name"])
+    """Average, median, longest and shortest run time in seconds and the number of runs.
+
+    While no experiment has more runs than one task may hold, one pass over the runs computes everything. How
+    many the largest has is known from a count of ids before.
+    """
+    times = _named_times(relations)
+    counts = times.groupBy("suite", "name").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    folds = [
+        F.min("time").alias("min_time"), F.max("time").alias("max_time"), F.sum("time").alias("sum_time"),
+        F.count(F.lit(1)).alias("n_runs"),
+    ]
+    if largest <= MAX_GROUP:
+        joined = times.groupBy("suite", "name").agg(*folds, F.median("time").alias("median"))
+    else:
+        joined = times.groupBy("suite", "name").agg(*folds).join(exact_median(times, ["suite", "name"], "time"), ["suite", "name"])
     seconds = F.lit(1000.0)
     average = F.round(F.col("sum_time") / F.col("n_runs") / seconds, 2).cast("decimal(18,2)")
     return joined.select(

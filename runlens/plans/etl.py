@@ -13,7 +13,10 @@ from runlens.functions.text import parse_run_name
 from runlens.operators.extract import Extractor, accepted, registered, rejected, route_files, to_event_rows
 from runlens.operators.extract.base import ATTRIBUTES
 from runlens.session import broadcast_if_small, cut_lineage
-from runlens.sources.files import decode_path, path_exists, scan_files, scan_lines, suite_folders
+from runlens.sources.files import (
+    decode_path, hidden_names, is_marked_tree, literal_path, path_exists, scan_files, scan_lines, split_positions,
+    suite_folders, with_line_numbers,
+)
 from runlens.sources.states import scan_run_states
 from runlens.sources.store import ResultsStore
 
@@ -95,21 +98,29 @@ def files_of_successful_runs(files: DataFrame, runs: DataFrame) -> DataFrame:
     return located.join(good, ["suite", "run_name"])
 
 
-def extract_routed(spark: SparkSession, routed: DataFrame, extractors: dict[str, Extractor]) -> DataFrame | None:
+def extract_routed(
+    spark: SparkSession, routed: DataFrame, extractors: dict[str, Extractor], marked: bool
+) -> DataFrame | None:
     """Events and rejects of all routed files, with suite and run of their file; None without files.
 
+    ``record_key`` is the line number in the file, whatever the splits, so ids made of it stay the same.
+
     The routed list steers which paths are opened at all, as Spark's own file listing would. Each
     extractor scans its files once, and a file's run is looked up after extraction, when few rows
     are left.
     """
     paths: dict[str, list[str]] = {}
-    wanted = routed.select("extractor", decode_path(F.col("source")).alias("p")).distinct()
+    wanted = routed.select("extractor", literal_path(decode_path(F.col("source"))).alias("p")).distinct()
     for row in wanted.toLocalIterator():
         paths.setdefault(row["extractor"], []).append(row["p"])
     if not paths:
         return None
-    parts = [extractors[n].extract(scan_lines(spark, sorted(p))) for n, p in sorted(paths.items())]
-    rows = functools.reduce(DataFrame.unionByName, parts)
+    scans = {n: scan_lines(spark, sorted(p), marked) for n, p in sorted(paths.items())}
+    rows = functools.reduce(DataFrame.unionByName, [extractors[n].extract(lines) for n, lines in scans.items()])
+    splits = [split_positions(lines).withColumn("extractor", F.lit(n)) for n, lines in scans.items()]
+    positions = broadcast_if_small(cut_lineage(functools.reduce(DataFrame.unionByName, splits)))
+    numbered = with_line_numbers(rows, positions, "extractor")
+    rows = numbered.withColumn("record_key", F.col("line_no")).drop("line_no", "part", "block")
     context = routed.select(F.col("source").alias("file"), "extractor", "suite", "run_name", "experiment_run_id")
     return rows.join(broadcast_if_small(context), ["file", "extractor"])
 
@@ -128,7 +139,7 @@ def extract_counts(
 ) -> DataFrame:
     """Number of events per suite and extractor."""
     extractors = extractors or registered()
-    extracted = extract_routed(spark, routed_files(spark, root, runs, extractors), extractors)
+    extracted = extract_routed(spark, routed_files(spark, root, runs, extractors), extractors, is_marked_tree(spark, root))
     if extracted is None:
         return spark.createDataFrame([], "suite string, extractor string, n bigint")
     return accepted(extracted).groupBy("suite", "extractor").agg(F.count(F.lit(1)).alias("n"))
@@ -157,7 +168,11 @@ def read_suites(
     rejects = state_rejects.unionByName(
         unnamed.select("file", "suite", "name", F.lit("no run number in name").alias("reason"))
     ).unionByName(clashes)
-    extracted = extract_routed(spark, routed, extractors)
+    marked = is_marked_tree(spark, root)
+    if not marked and (hidden := hidden_names(spark, root, suites)):
+        below_root = [(p, *_suite_and_run(p, root), "hidden name, not read") for p in hidden]
+        rejects = rejects.unionByName(spark.createDataFrame(below_root, "file string, suite string, name string, reason string"))
+    extracted = extract_routed(spark, routed, extractors, marked)
     if extracted is None:
         columns = [*[f"{n} {t}" for n, t in ATTRIBUTES.items()]]
         schema = "id bigint, experiment_run_id int, " + ", ".join(columns) + ", suite string"
@@ -171,6 +186,12 @@ def read_suites(
     return Import(systems_of(states), experiments_of(states), runs, events, rejects)
 
 
+def _suite_and_run(path: str, root: str) -> tuple[str | None, str | None]:
+    tail = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
+    parts = path.split(tail + "/", 1)[-1].split("/")
+    return parts[0], parts[1] if len(parts) > 1 else None
+
+
 def import_suites(
     spark: SparkSession, root: str, store: ResultsStore, suites: Sequence[str] | None = None
 ) -> Import:

@@ -26,7 +26,7 @@ priority AS (SELECT row_number() OVER (ORDER BY v) - 1 AS i, v FROM (SELECT DIST
 
 @query(f"WITH {_LISTS} SELECT i AS point, v AS priority FROM priority")
 def grid_simple(t: a.Tables) -> DataFrame:
-    return design.grid_simple(t.spark, "priority", _lists(t)["priority"])
+    return design.grid_simple(t.spark, "priority", design.indexed_values(t.orders, "o_orderpriority"))
 
 
 @query(f"""WITH {_LISTS} SELECT r.i AS point, r.v AS region, s.v AS segment, p.v AS priority
@@ -69,6 +69,14 @@ def scaleout_tiers(t: a.Tables) -> DataFrame:
     return design.scaleout_tiers(hosts, "c_custkey", 5, F.col("c_nationkey") + 1, F.lit(16).cast("bigint"))
 
 
+@query("""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer),
+tiers AS (SELECT CAST(5 * pow(2, i) AS BIGINT) AS k FROM range(0, 40) t(i) WHERE 5 * pow(2, i) <= (SELECT count(*) FROM customer))
+SELECT printf('top%03d', k) AS tier, c_custkey, rank FROM r JOIN tiers ON rank <= k
+UNION ALL SELECT 'all', c_custkey, rank FROM r""")
+def tier_members(t: a.Tables) -> DataFrame:
+    return design.tier_members(t.customer, "c_custkey", 5)
+
+
 @query("""WITH wanted AS (SELECT c_custkey, CAST(unnest(range(1, c_nationkey % 4 + 1)) AS INTEGER) AS run FROM customer),
 done AS (SELECT o_custkey, o_orderkey % 4 + 1 AS run FROM orders WHERE o_orderstatus = 'F')
 SELECT w.c_custkey AS c_custkey, w.run AS run FROM wanted w
@@ -133,8 +141,8 @@ def run_name_parse(t: a.Tables) -> DataFrame:
     return parsed.select("o_orderkey", "name", "p.experiment", "p.run")
 
 
-@query("""SELECT c_custkey, 'job --in ' || c_mktsegment || '/' || c_name || ' --n ' || c_nationkey || ' --again ' || c_name AS command FROM customer""")
+@query("""SELECT c_custkey, 'job --in ' || c_mktsegment || '/' || c_name || ' --n ' || c_nationkey || ' --again ' || c_name || ' ${none}' AS command FROM customer""")
 def substitute_template(t: a.Tables) -> DataFrame:
-    template = F.lit("job --in __seg__/__name__ --n __nation__ --again __name__")
+    template = F.lit("job --in ${seg}/__name__ --n __nation__ --again ${name} ${none}")
     values = {"seg": F.col("c_mktsegment"), "name": F.col("c_name"), "nation": F.col("c_nationkey")}
     return t.customer.select("c_custkey", substitute(template, values).alias("command"))

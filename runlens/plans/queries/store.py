@@ -67,9 +67,12 @@ def scan_store(t: a.Tables) -> DataFrame:
 @query(f"""WITH {sql.EXPERIMENT_RUN} SELECT id, experiment_id, run, exit, time FROM experiment_run
 UNION ALL SELECT id + 1000000000, experiment_id, run, exit, time + 1 FROM experiment_run""")
 def store_append(t: a.Tables) -> DataFrame:
-    runs = a.experiment_run(t)
-    more = runs.withColumns({"id": F.col("id") + 1_000_000_000, "time": F.col("time") + 1})
-    return rel.append(runs, more)
+    """Checked insert of as many rows again under new ids, read back from the store."""
+    store = _stored(t)
+    more = store.read("experiment_run").withColumns({"id": F.col("id") + 1_000_000_000, "time": F.col("time") + 1})
+    store.insert("experiment_run", more)
+    as_before = a.experiment_run(t).dtypes
+    return store.read("experiment_run").select(*[F.col(c).cast(kind) for c, kind in as_before])
 
 
 @query("""SELECT doc_id AS id, left(text, 127) AS host, left(text, 1024) AS task, left(text, 1024) AS v_string FROM documents""")

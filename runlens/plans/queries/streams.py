@@ -13,7 +13,7 @@ from runlens.streaming.extract import line_stream, run_extraction
 
 def _drain(t: a.Tables, folder: str, extractor: Extractor, per_batch: bool, max_files: int | None = None) -> DataFrame:
     sink, checkpoint = work_path(t.spark, "stream-out"), work_path(t.spark, "stream-state")
-    run_extraction(line_stream(t.spark, folder, max_files), extractor, sink, checkpoint, per_batch).awaitTermination()
+    run_extraction(line_stream(t.spark, folder, max_files, marked=True), extractor, sink, checkpoint, per_batch).awaitTermination()
     return accepted(t.spark.read.parquet(sink))
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _LOCAL_FALLBACK: dict[str, str] = {}
 
@@ -78,17 +78,36 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# A table below this many rows may be sent to every task (at most some 100 MB of names and ids).
+# What may be sent to every task: at most this many rows, and this many bytes of values.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 256 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint if the row count is within the bound; above it the join shuffles. Runs a job.
+def _width(column: str, kind: str) -> Column:
+    """Bytes of a value; fixed-width ones count as eight."""
+    c = F.col(f"`{column}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if kind.startswith(("array", "map", "struct")):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(8)
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a frame. Runs a job."""
+    width = sum((_width(c, t) for c, t in df.dtypes), F.lit(16))
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(width.cast("long"))).first()
+    return rows, size or 0
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint if rows and bytes are within the bounds; above them the join shuffles. Runs a job.
 
     A plain count adds up per task. Counting behind a limit would send the limit's worth of rows of
     every task to a single one.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    rows, size = measure(df)
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
 
 
 def key_side(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from runlens.schemas import RUN_STATE
-from runlens.sources.files import logical_path, path_exists, source_of, suite_folders
+from runlens.sources.files import is_marked_tree, logical_path, mark_tree, path_exists, source_of, suite_folders
 
 STATE_FILE = "state.json"
 
@@ -19,8 +19,13 @@ def scan_run_states(
 
     Suite and run name are the two folders above ``state.json``; folders without one do not show up.
     Unreadable objects go to the rejects, as does a note on every state without a command (the state
-    itself is kept). Without a run time a state can not become a run, so it is rejected.
+    itself is kept). Without a run time a state can not become a run, so it is rejected. A root that
+    does not exist is an error.
     """
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+        raise ValueError(f"no folder {root!r}")
+    marked = is_marked_tree(spark, root)
     # suite/run/state.json, or the folders that write_run_states puts in their place; nothing else
     # below the root is listed or opened
     pattern = f"{suite_folders(root, suites)}/*/*{STATE_FILE}"
@@ -33,7 +38,7 @@ def scan_run_states(
         .option("columnNameOfCorruptRecord", "_corrupt")
         .option("recursiveFileLookup", "true")
         .json(pattern)
-        .select("*", logical_path(source_of(F.col("_metadata.file_path"))).alias("file"))
+        .select("*", logical_path(source_of(F.col("_metadata.file_path"), marked), marked).alias("file"))
         .where(F.col("file").endswith("/" + STATE_FILE))
     )
     return split_states(raw)
@@ -70,3 +75,4 @@ def write_run_states(states: DataFrame, root: str, mode: str = "overwrite") -> N
         .partitionBy("suite", "name", "file")
         .json(root)
     )
+    mark_tree(states.sparkSession, root)

@@ -15,17 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from runlens.operators import relational as rel
 from runlens.operators.extract.base import clamp
+from runlens.operators.relational import ConstraintError
 from runlens.schemas import FOREIGN_KEYS, PRIMARY_KEYS, RELATIONS
-from runlens.session import key_side, work_path
+from runlens.session import cut_lineage, key_side, work_path
 
 PARENT_FIRST = ("system", "experiment", "experiment_run", "experiment_event")
 BY_SUITE = ("experiment", "experiment_run", "experiment_event")
 
 
-class ConstraintError(ValueError):
-    """A key, null or reference rule of the store does not hold."""
-
-
 def stored_schema(name: str) -> T.StructType:
     """Columns of a relation in the store; runs and events carry the suite they belong to."""
     schema = RELATIONS[name]
@@ -115,9 +112,30 @@ class ResultsStore:
     # -- maintenance -------------------------------------------------------------------------
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Insert one or many rows."""
+        """Add rows that are known to be sound; ``insert`` checks them first."""
         self._write(rows, name, "append")
 
+    def insert(self, name: str, rows: DataFrame) -> None:
+        """Insert one or many rows, all or none.
+
+        Rows are staged and checked before the relation is touched: keys must be new, unique and set, required
+        columns set, and parents there; else ``ConstraintError``. Runs jobs.
+        """
+        staged = cut_lineage(rows)
+        key = PRIMARY_KEYS[name]
+        rel.require_unique(staged, key, name)
+        known = self.read(name).join(key_side(staged.select(key)), key, "left_semi")
+        if taken := [r[0] for r in known.select(key).take(5)]:
+            raise ConstraintError(f"{name}: {key} taken, e.g. {taken}")
+        required = [f.name for f in stored_schema(name).fields if not f.nullable]
+        if holes := [r["column"] for r in rel.null_violations(staged, required).collect()]:
+            raise ConstraintError(f"{name}: null in {holes}")
+        if name in FOREIGN_KEYS:
+            child, parent, parent_key, _ = FOREIGN_KEYS[name]
+            if missing := [r[0] for r in rel.orphans(staged, self.read(parent), child, parent_key).select(child).take(5)]:
+                raise ConstraintError(f"{name}: no {parent} for {child}, e.g. {missing}")
+        self._write(staged, name, "append")
+
     def insert_missing(self, name: str, rows: DataFrame) -> None:
         self._write(rel.missing_rows(self.read(name), rows), name, "append")
 

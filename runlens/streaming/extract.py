@@ -13,8 +13,8 @@ from runlens.operators.extract import Extractor
 from runlens.sources.files import source_of
 
 
-def line_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """(file, record_key, value) of files as they arrive.
+def line_stream(spark: SparkSession, folder: str, max_files: int | None = None, marked: bool = False) -> DataFrame:
+    """(file, record_key, value) of files as they arrive; ``marked``: folders of part files stand for files.
 
     A stream has no row numbers, so the key is a hash of the line: equal lines of a file share it.
     """
@@ -22,7 +22,7 @@ def line_stream(spark: SparkSession, folder: str, max_files: int | None = None)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     return reader.text(folder).select(
-        source_of(F.col("_metadata.file_path")).alias("file"), F.xxhash64("value").alias("record_key"), "value"
+        source_of(F.col("_metadata.file_path"), marked).alias("file"), F.xxhash64("value").alias("record_key"), "value"
     )
 
 

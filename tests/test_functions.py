@@ -81,10 +81,13 @@ def test_clocks(spark):
 
 
 def test_templates(spark):
-    filled = spark.range(1).select(
-        rf.substitute(F.lit("wc.__top__.__top__.__x__"), {"top": F.lit("top005")}).alias("t")
-    ).withColumn("open", rf.has_placeholder(F.col("t"))).first()
-    assert tuple(filled) == ("wc.top005.top005.__x__", True)
+    values = {"top": F.lit("__q__"), "x": F.lit("$1")}
+    filled = spark.createDataFrame([("wc.__top__.${top}.__y__ ${x}",), (None,), ("",), ("${a b} ${z} __top__",)], "t string").select(
+        rf.substitute(F.col("t"), values).alias("filled"), rf.unknown_keys(F.col("t"), values).alias("unknown")
+    )
+    assert [tuple(r) for r in filled.collect()] == [
+        ("wc.__q__.__q__.__y__ $1", ["y"]), (None, None), ("", []), ("${a b} ${z} __q__", ["z"])
+    ]
 
 
 def test_config_keys(spark):

@@ -279,6 +279,7 @@ def test_file_listing_of_both_layouts(spark, tmp_path, rows):
     (plain / "x.log").write_text("12345")
     table(spark, "suite string, name string, sub string, file string, value string", ("s p", "e.run01", "logs", "x.log", "1234")).write.partitionBy(
         "suite", "name", "sub", "file").text(str(written))
+    files.mark_tree(spark, str(written))
     for root in (tmp_path / "plain", written):
         assert rows(files.scan_files(spark, str(root)), "rel", "file_name", "n_parts", "bytes") == [("s p/e.run01/logs/x.log", "x.log", 1, 5)]
 

@@ -27,10 +27,11 @@ HEADLINE = [
     "marker_counts", "delta_lines", "event_sequence", "collapse_consecutive", "insert_missing", "update_by_key",
     "delete_cascade", "pending_runs", "grid_experiments", "scaleout_tiers", "layered_merge", "config_diff",
     "sample_zipf", "gen_words", "gen_key_values", "java_hash", "graph_adjacency", "graph_descendants",
+    "all_events", "suite_refresh", "store_append", "stream_extract", "tier_members",
 ]
 RUNS = 3
 WORDS = 10_000_000
-PAIRS = 4_000_000
+PAIRS = 20_000_000
 
 
 def timed(action) -> float:
@@ -67,7 +68,7 @@ def main() -> None:
         pairs = spark.read.parquet(path)
         x = median_of(lambda pairs=pairs: agg.max_length_per_key(pairs))
         y = median_of(lambda pairs=pairs: agg.max_value_per_key(pairs))
-        generated[f"max_len_4m_{d}"], generated[f"max_value_4m_{d}"] = x, y
+        generated[f"max_len_20m_{d}"], generated[f"max_value_20m_{d}"] = x, y
         ratios[d] = round(y / x, 2)
     seconds.update(generated)
     n_events = spark.read.parquet(f"{folder}/events.parquet").agg(F.count(F.lit(1))).first()[0]

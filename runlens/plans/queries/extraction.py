@@ -11,6 +11,7 @@ from runlens.operators.ordering import by_key, forward_fill, position_within
 from runlens.plans import adapters as a, etl
 from runlens.plans.catalog import query
 from runlens.plans.queries import sql
+from runlens.session import cut_lineage
 from runlens.sources.files import scan_files
 from runlens.sources.states import scan_run_states
 
@@ -195,6 +196,23 @@ def all_events(t: a.Tables) -> DataFrame:
     return _imported_events(t)
 
 
+@query(f"SELECT suite, count(*) AS n, count(*) AS n_ids, count(*) AS n_again FROM ({_ALL}) GROUP BY suite")
+def import_event_ids(t: a.Tables) -> DataFrame:
+    """Events, different ids, and ids that a second import with other splits gives again."""
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = t.spark.conf.get(setting)
+    first = cut_lineage(etl.read_suites(t.spark, a.results_tree(t)).events.select("suite", "id"))
+    try:
+        t.spark.conf.set(setting, "64k")
+        second = cut_lineage(etl.read_suites(t.spark, a.results_tree(t)).events.select("suite", "id"))
+    finally:
+        t.spark.conf.set(setting, before)
+    both = first.groupBy("suite", "id").count().join(second.distinct().withColumn("again", F.lit(1)), ["suite", "id"], "left")
+    return both.groupBy("suite").agg(
+        F.sum("count").alias("n"), F.count(F.lit(1)).alias("n_ids"), F.count("again").alias("n_again")
+    )
+
+
 @query(f"SELECT suite, experiment_run_id, count(*) AS n FROM ({_ALL}) GROUP BY ALL")
 def successful_run_events(t: a.Tables) -> DataFrame:
     return _imported_events(t).groupBy("suite", "experiment_run_id").agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ from runlens.session import work_path
 from runlens.sources.datasets import copy_dataset as copy, ensure_dataset as ensure
 from runlens.sources.event_csv import read_event_csv, write_event_csv
 from runlens.sources.states import scan_run_states, write_run_states
-from runlens.sources.store import ResultsStore
+from runlens.sources.store import ResultsStore, stored_schema
 
 _EVENTS = f"""SELECT event_id AS id, CAST(user_id AS INTEGER) AS experiment_run_id, event_type AS name,
        'task, "' || event_type || '"' AS task,
@@ -55,10 +55,22 @@ def _stored(t: a.Tables) -> ResultsStore:
     store.append("system", a.system(t))
     store.append("experiment", experiments)
     suites = experiments.select(F.col("id").alias("experiment_id"), "suite")
-    store.append("experiment_run", a.experiment_run(t).join(suites, "experiment_id"))
+    runs = a.experiment_run(t).join(suites, "experiment_id")
+    store.append("experiment_run", runs)
+    store.append("experiment_event", _end_events(runs))
     return store
 
 
+def _end_events(runs: DataFrame) -> DataFrame:
+    """One event per run: when it ended."""
+    values = {
+        "id": F.col("id"), "experiment_run_id": F.col("id"), "name": F.lit("run_end"), "v_long": F.col("time"), "suite": F.col("suite"),
+    }
+    return runs.select(*[
+        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stored_schema("experiment_event").fields
+    ])
+
+
 @query(f"WITH {sql.EXPERIMENT} SELECT CAST(id AS INTEGER) AS id, name, suite, system FROM experiment")
 def scan_store(t: a.Tables) -> DataFrame:
     return _stored(t).read("experiment")
@@ -139,14 +151,27 @@ FROM experiment_run r JOIN experiment e ON r.experiment_id = e.id
 WHERE NOT (e.suite IN ('BUILDING', 'MACHINERY') AND r.exit = 1)""")
 def suite_refresh(t: a.Tables) -> DataFrame:
     """Two suites come in again, without their failed runs and with other times; twice."""
+    return _refreshed(t).read("experiment_run")
+
+
+@query(f"""WITH {sql.EXPERIMENT}, {sql.EXPERIMENT_RUN}
+SELECT r.id AS id, CAST(r.id AS INTEGER) AS experiment_run_id, 'run_end' AS name,
+       CASE WHEN e.suite IN ('BUILDING', 'MACHINERY') THEN r.time + 1 ELSE r.time END AS v_long, e.suite AS suite
+FROM experiment_run r JOIN experiment e ON r.experiment_id = e.id
+WHERE NOT (e.suite IN ('BUILDING', 'MACHINERY') AND r.exit = 1)""")
+def suite_refresh_events(t: a.Tables) -> DataFrame:
+    """What the same refresh leaves of the events: those of the runs that went are gone as well."""
+    return _refreshed(t).read("experiment_event").select("id", "experiment_run_id", "name", "v_long", "suite")
+
+
+def _refreshed(t: a.Tables) -> ResultsStore:
     store = _stored(t)
     experiments = a.experiment(t).where(F.col("suite").isin("BUILDING", "MACHINERY"))
     suites = experiments.select(F.col("id").alias("experiment_id"), "suite")
     runs = a.experiment_run(t).where(F.col("exit") == 0).withColumn("time", F.col("time") + 1).join(suites, "experiment_id")
-    events = store.read("experiment_event").limit(0)
     for _ in range(2):
-        store.refresh_suites(a.system(t), experiments, runs, events)
-    return store.read("experiment_run")
+        store.refresh_suites(a.system(t), experiments, runs, _end_events(runs))
+    return store
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1""")

@@ -8,8 +8,8 @@ reading some documents touches only the stripes whose minimum, maximum and filte
 ``start`` (ids of all documents before) is stored as the position inside the file plus, in a small side
 table, the total of the files before: no file has to wait for another one.
 
-White space separates the units of the tokenizer (see ``WordEncoder``), so each task keeps the ids of the
-words it has met, up to ``CACHED_WORDS``, and hands only new words to the library.
+White space separates the units of the tokenizer (see ``WordEncoder``), so each worker keeps the ids of the first
+``CACHED_WORDS`` words it meets, the frequent ones among them, and hands other words to the library.
 
 Defined cases: null and empty texts have the end id alone. Null ids come first; rows of equal id are ordered by
 their ids, repeated rows are repeated documents. An empty table gives no files and an empty result. Further columns are not read.
@@ -17,7 +17,9 @@ their ids, repeated rows are repeated documents. An empty table gives no files a
 
 from __future__ import annotations
 
+import os
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from runlens.llm.common import shuffle_files_dropped, text_bytes
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
+WORDS_AT_ONCE = 256
 LONGEST_CACHED = 200
 INDEX_ROWS = 1_000
 ORC = {
@@ -55,22 +58,33 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if text.isascii() and b"<|" not in text:  # combining marks and special tokens tell cases apart
+            text = text.lower()
         words, known = text.split(), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        out = b"".join([known[w] for w in words])
-        for w in new:
-            if len(w) > LONGEST_CACHED:
-                del known[w]
+        found = list(map(known.get, words))
+        if None in found:
+            gaps = [i for i, x in enumerate(found) if x is None]
+            new = self._new_ids(list({words[i] for i in gaps}))
+            if len(known) < CACHED_WORDS:
+                known.update((w, x) for w, x in new.items() if len(w) <= LONGEST_CACHED)
+            for i in gaps:
+                found[i] = new[words[i]]
+        return b"".join(found)
+
+    def _new_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word; some hundred words are one text for the library, cut by character offsets."""
+        out = {}
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = [w.decode("utf-8", "replace") for w in words[at : at + WORDS_AT_ONCE]]
+            coded = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids = array("I", coded.ids)
+            starts = [a for a, _ in coded.offsets]
+            end = low = 0
+            for raw, word in zip(words[at : at + WORDS_AT_ONCE], part, strict=True):
+                end += len(word) + 1
+                high = bisect_left(starts, end, low)
+                out[raw] = ids[low:high].tobytes()
+                low = high
         return out
 
     def check(self, text: str) -> bool:
@@ -79,6 +93,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """One per Python worker, as tasks follow each other in it."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]

@@ -15,7 +15,7 @@ Scores are kept as integers (scaled, if the model's are fractions), so sums are
 ids however it is cut. Among equal totals the longest last piece wins, at every boundary.
 
 Where no piece reaches across (before a run of word marks), best paths of both sides are independent. Inside a
-chunk, units between such places are solved once per worker and remembered, up to ``CACHED_UNITS``.
+chunk, units between such places are solved on their own; a worker remembers the first ``CACHED_UNITS``.
 
 Supported models have an identity normaliser; characters without a piece become bytes if the model has byte pieces,
 else the unknown id. A model file of type BPE is read as pieces with scores as well (merge order is not replayed).
@@ -40,7 +40,7 @@ from runlens.llm.common import row_key, table, text_bytes
 MARK = "▁"
 CHUNK_CHARS = 32_768
 FAN = 128
-CACHED_UNITS = 400_000
+CACHED_UNITS = 500_000
 LONGEST_CACHED = 64
 NONE = -np.inf
 _MODELS: dict[str, "Model"] = {}
@@ -102,23 +102,22 @@ class Model:
                     for p, k in zip(pieces, kinds, strict=True)]
         self.raw[self.unknown] = " ⁇ ".encode()
         self.separable = all(MARK not in p[1:] or not p.strip(MARK) for p in self.piece)
-        self.known: dict[str, tuple[bytes, int]] = {}
+        # every prefix of a piece, with the score if it is a piece itself
+        self.prefix_score: dict[str, float] = {}
+        for text, (_, score) in self.piece.items():
+            for n in range(1, len(text)):
+                self.prefix_score.setdefault(text[:n], NONE)
+            self.prefix_score[text] = score
+        # two characters that are next to each other in no piece have a certain boundary between them
+        self.inside = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
+        self.known: dict[str, bytes] = {}
+        self.known_parts: dict[str, bytes] = {}
 
     def normal(self, text: str) -> str:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
     # -- dynamic program ---------------------------------------------------------------------
 
-    def matches(self, text: str, start: int) -> Iterator[tuple[int, int]]:
-        """Ends and scores of the pieces that begin at ``start``; a character without a piece is unknown."""
-        piece = self.piece
-        first = piece.get(text[start])
-        yield start + 1, first[1] if first else self.unknown_score
-        for end in range(start + 2, min(start + self.width, len(text)) + 1):
-            found = piece.get(text[start:end])
-            if found:
-                yield end, found[1]
-
     def forward(self, text: str, low: int, high: int, best: dict[int, float]) -> dict[int, int]:
         """Fill ``best`` for boundaries low < p <= high from those given at or before low; returns where each came from."""
         back: dict[int, int] = {}
@@ -130,12 +129,22 @@ class Model:
         return back
 
     def _relax(self, text, start, best, back, low, high):
-        value = best[start]
-        for end, score in self.matches(text, start):
+        """Try all pieces that begin at ``start``; a character without a piece is unknown."""
+        value, score_of, end = best[start], self.prefix_score, start + 1
+        score = score_of.get(text[start], NONE)
+        if score == NONE:
+            score = self.unknown_score
+        while True:
             # starts come in ascending order: on a tie the longer piece is there already
             if low < end <= high and value + score > best.get(end, NONE):
                 best[end] = value + score
                 back[end] = start
+            end += 1
+            if end > high:
+                return
+            score = score_of.get(text[start:end])
+            if score is None:
+                return
 
     def ids(self, text: str, ends: list[int]) -> bytes:
         """Ids of the pieces between consecutive boundaries."""
@@ -150,20 +159,45 @@ class Model:
                 out.append(self.unknown)
         return out.tobytes()
 
-    def unit(self, text: str) -> tuple[bytes, int]:
-        """Ids and score of a stretch that no piece leaves."""
-        got = self.known.get(text)
-        if got is None:
-            best = {0: 0}
-            back = self.forward(text, 0, len(text), best)
-            ends = [len(text)]
-            while ends[-1]:
-                ends.append(back[ends[-1]])
-            got = self.ids(text, ends[::-1]), best[len(text)]
-            if len(text) <= LONGEST_CACHED:
-                if len(self.known) >= CACHED_UNITS:
-                    self.known.clear()
-                self.known[text] = got
+    def unit(self, text: str) -> bytes:
+        """Ids of a stretch that no piece leaves, from those of its parts between certain boundaries."""
+        inside, parts, at = self.inside, [], 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in inside:
+                parts.append(text[at:i])
+                at = i
+        parts.append(text[at:])
+        got = b"".join([self.known_parts.get(x) or self._part(x) for x in parts])
+        if len(text) <= LONGEST_CACHED and len(self.known) < CACHED_UNITS:
+            self.known[text] = got
+        return got
+
+    def _part(self, text: str) -> bytes:
+        """``forward`` over the whole of a part, in plain lists."""
+        n, score_of = len(text), self.prefix_score
+        best, back = [NONE] * (n + 1), [0] * (n + 1)
+        best[0] = 0
+        for start in range(n):
+            value, end = best[start], start + 1
+            score = score_of.get(text[start], NONE)
+            if score == NONE:
+                score = self.unknown_score
+            while True:
+                if value + score > best[end]:
+                    best[end] = value + score
+                    back[end] = start
+                end += 1
+                if end > n:
+                    break
+                score = score_of.get(text[start:end])
+                if score is None:
+                    break
+        ends = [n]
+        while ends[-1]:
+            ends.append(back[ends[-1]])
+        got = self.ids(text, ends[::-1])
+        if n <= LONGEST_CACHED and len(self.known_parts) < CACHED_UNITS:
+            self.known_parts[text] = got
         return got
 
     def units(self, text: str) -> list[str]:
@@ -183,16 +217,17 @@ class Model:
         return ([first] if first else []) + [MARK + w for w in rest]
 
     def encode(self, text: str) -> bytes:
-        units, known = self.units(text), self.known
-        try:
-            return b"".join([known[u][0] for u in units])
-        except KeyError:
-            return b"".join([self.unit(u)[0] for u in units])
+        units = self.units(text)
+        found = list(map(self.known.get, units))
+        if None in found:
+            found = [x if x is not None else self.unit(u) for x, u in zip(found, units, strict=True)]
+        return b"".join(found)
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
-        text = b"".join([raw[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        text = b"".join([raw[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        # the mark that encoding puts in front; what stands for an unknown piece begins with a real blank
+        return (text[1:] if self.prefix and text.startswith(MARK) else text).replace(MARK, " ")
 
     # -- chunks ------------------------------------------------------------------------------
 
@@ -209,11 +244,15 @@ class Model:
         return first, max(first, last)
 
     def matrix(self, text: str, lead: int) -> np.ndarray:
-        """Max-plus matrix of text[lead:]; text[:lead] is what precedes it, ``width`` - 1 characters at most."""
+        """Max-plus matrix of text[lead:]; text[:lead] is what precedes it, ``width`` - 1 characters at most.
+
+        Between the first and the last certain boundary all paths have the same score, which is left out: a constant
+        that is common to all entries changes no choice.
+        """
         w, n = self.width, len(text)
         cut = self.cuts(text, lead)
         out = np.full((w, w), NONE)
-        middle, stop = (self._stretch(text[cut[0] : cut[1]]), cut[0]) if cut else (0, n)
+        stop = cut[0] if cut else n
         tail = {cut[1]: 0} if cut else {}
         if cut:
             self.forward(text, cut[1], n, tail)
@@ -226,16 +265,13 @@ class Model:
                 value = best.get(stop, NONE)
                 for p, more in tail.items():
                     if n - p < w:
-                        out[s, n - p] = value + middle + more
+                        out[s, n - p] = value + more
             else:
                 for p, value in best.items():
                     if lead < p and n - p < w:
                         out[s, n - p] = value
         return out
 
-    def _stretch(self, text: str) -> int:
-        return sum(self.unit(u)[1] for u in self.units(text))
-
     def walk(self, text: str, lead: int, entry: np.ndarray, exits: list[int]) -> list[list[int]]:
         """Boundaries of the best paths to every exit (characters before the end), from the entry boundary on."""
         n, cut = len(text), self.cuts(text, lead)

@@ -180,7 +180,7 @@ def model():
     return sentencepiece_scan.Model(tokenizer_path(PIECES))
 
 
-def test_best_paths_against_the_library(model):
+def test_best_paths_against_the_library(tmp_path):
     """The library's unigram search over the same pieces; barred scores are made ordinary, as it sums in single precision."""
     pb2 = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece
@@ -191,7 +191,9 @@ def test_best_paths_against_the_library(model):
     proto.trainer_spec.model_type = 1
     for piece in proto.pieces:
         piece.score = max(piece.score, -40_000)
+    (tmp_path / "unigram.model").write_bytes(proto.SerializeToString())
     library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    model = sentencepiece_scan.Model(str(tmp_path / "unigram.model"))
     rnd = random.Random(1)
     words = [p.replace("▁", "") for p in list(model.piece)[:3000] if p.strip("▁")]
     for _ in range(300):

@@ -65,6 +65,19 @@ def extract_dstat(t: a.Tables) -> DataFrame:
     return events.select("file", "name", "host", "v_double", F.unix_millis("v_timestamp").alias("at_ms"))
 
 
+@query(f"""SELECT event_type AS host, CAST(user_id AS DOUBLE) AS v_double, {sql.MILLIS} AS at_ms FROM events""")
+def dstat_repeated_names(t: a.Tables) -> DataFrame:
+    """Three columns of one name: the last one counts."""
+    file = F.concat(F.lit("dstat-user-"), F.col("event_type"), F.lit(".csv"))
+    heads = [F.struct(F.lit(i - 2).cast("bigint").alias("record_key"), F.lit(h).alias("value")) for i, h in enumerate(('"epoch","g",,', '"epoch","c","c","c"'))]
+    headers = t.events.select(file.alias("file")).distinct().select("file", F.inline(F.array(*heads)))
+    clock = F.regexp_extract(a.dstat_line(), "^[^,]+", 0)
+    row = F.concat_ws(",", clock, F.lit("1"), F.lit("x"), F.col("user_id").cast("string"))
+    rows = t.events.select(file.alias("file"), F.col("event_id").alias("record_key"), row.alias("value"))
+    events = accepted(extract_samples(headers.unionByName(rows)))
+    return events.select("host", "v_double", F.unix_millis("v_timestamp").alias("at_ms"))
+
+
 @query("""SELECT file, record_key, reason FROM (
   SELECT 'app-' || event_type AS file, event_id AS record_key,
          CASE WHEN event_id % 3 = 0 THEN 'malformed json'

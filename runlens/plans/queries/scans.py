@@ -135,3 +135,11 @@ def checksum_check(t: a.Tables) -> DataFrame:
     told = F.when(F.col("quality") == 1, F.col("text")).otherwise(F.concat("text", F.lit("x")))
     expected = t.documents.join(t.labels, "doc_id").select("doc_id", F.md5(told).alias("md5"))
     return src.checksum_mismatches(actual, expected, "doc_id")
+
+
+@query("SELECT 'nation=' || n_nationkey AS folder, md5(n_name || chr(10)) AS md5 FROM nation")
+def checksum_files(t: a.Tables) -> DataFrame:
+    """MD5 of whole files, one per nation."""
+    path = work_path(t.spark, "sums")
+    t.nation.select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("nation")).write.partitionBy("nation").text(path)
+    return src.checksum_files(t.spark, path).select(F.element_at(F.split("path", "/"), -2).alias("folder"), "md5")

@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, functions as F
 from runlens.operators import aggregates as agg
 from runlens.plans import adapters as a
 from runlens.plans.catalog import query
-from runlens.session import spread
+from runlens.session import spread, work_path
+from runlens.sources.files import scan_lines
+from runlens.sources.text_sinks import write_counts_csv, write_counts_text, write_words
 
 _VALUE = "concat(l_returnflag, l_linestatus, l_suppkey, '-', l_orderkey)"
 
@@ -55,3 +57,28 @@ WHERE contains(line, marker) GROUP BY file, marker""")
 def marker_counts(t: a.Tables) -> DataFrame:
     lines = a.document_lines(t).select(F.col("source").alias("file"), "line")
     return agg.marker_counts(lines, ["the", "ou", "@"], "file", "line")
+
+
+_COUNTS = "SELECT p_brand AS word, count(*) AS n FROM part GROUP BY p_brand"
+
+
+@query(f"WITH c AS ({_COUNTS}) SELECT 'text' AS sink, '(' || word || ',' || n || ')' AS line FROM c UNION ALL SELECT 'csv', word || ',' || n FROM c")
+def count_sinks(t: a.Tables) -> DataFrame:
+    """Counts written as tuples and as CSV, over an earlier output, and read back as lines."""
+    counts = t.part.groupBy(F.col("p_brand").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    out = []
+    for sink, write in (("text", write_counts_text), ("csv", write_counts_csv)):
+        path = work_path(t.spark, f"counts-{sink}")
+        for _ in range(2):
+            write(counts, path)
+        out.append(scan_lines(t.spark, path).select(F.lit(sink).alias("sink"), F.col("value").alias("line")))
+    return out[0].unionByName(out[1])
+
+
+@query("SELECT p_name AS value FROM part")
+def word_sink(t: a.Tables) -> DataFrame:
+    """Words written over an earlier output."""
+    path = work_path(t.spark, "words")
+    for column in ("p_brand", "p_name"):
+        write_words(t.part, path, column)
+    return scan_lines(t.spark, path).select("value")

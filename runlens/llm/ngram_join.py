@@ -11,12 +11,15 @@ each fragment on its own and summed per pair.
 Large groups of near copies would still give all pairs of their members. They are joined around centres instead:
 
 1. every set is paired with one leader, the set of fewest unshared members among those it meets; what proves
-   similar is joined into components;
-2. each component has a centre and a radius, the largest distance (1 - Jaccard) of a member;
-3. components that share a member of their sets' first p are candidates, unless sizes or the number of shared ones
-   rule out any link; Jaccard distance is a metric, so two of them can only be linked if
+   similar is joined into components, and leaders with all they lead, directly or not, are a family; so are sets
+   that more than ``BLOCK`` others share a first member with;
+2. where a family falls into several components, its sets are compared in blocks, which return
+   no pairs of sets but, of the components they find linked, a spanning forest;
+3. each component has a centre and a radius, the largest distance (1 - Jaccard) of a member;
+4. components whose sets share a first member across families are candidates, unless sizes or the number of
+   shared ones rule out any link; Jaccard distance is a metric, so two of them can only be linked if
    their centres are at most 1 - t plus both radii apart;
-4. the few that remain are compared set by set.
+5. what remains is compared in blocks again.
 
 So no link between different components can be missed, and pairs inside one are not enumerated.
 
@@ -43,6 +46,9 @@ from runlens.session import broadcast_if_small
 FREQUENT = 16
 ORDER_SIZE = 1_000_000
 FRAGMENTS = 4
+BLOCK = 256
+#: A set joins its leader's family if one in so many of its members is known to be common.
+FAMILY_SHARE = 50
 CACHED_WORDS = 500_000
 _SLACK = 1e-9
 _WORDS: dict[bytes, int] = {}
@@ -178,25 +184,26 @@ class NgramJoin:
         return self.rows.select("key", "node", "n")
 
     def shared_members(self) -> DataFrame:
-        """token, node for members among the first ones that two sets or more have there.
+        """token, node, pos (place in the set's order) for members among the first ones that two sets or more have there.
 
         Frequent members are known to be shared. Light ones are in few sets, so a token's rows fit anywhere.
         """
-        light = self.firsts.select(F.explode("light").alias("token"), "node").repartition("token").sortWithinPartitions("token")
+        light = self.firsts.select("node", F.posexplode("light").alias("pos", "token")).select("token", "node", "pos")
+        light = light.repartition("token").sortWithinPartitions("token")
 
         def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held_t, held_n = np.empty(0, np.int64), np.empty(0, np.int64)
+            held = [np.empty(0, np.int64)] * 3
             for batch in batches:
-                t = np.concatenate([held_t, batch.column(0).to_numpy()])
-                n = np.concatenate([held_n, batch.column(1).to_numpy()])
-                whole = np.searchsorted(t, t[-1]) if len(t) else 0  # the last token may go on
-                yield _shared(t[:whole], n[:whole])
-                held_t, held_n = t[whole:], n[whole:]
-            yield _shared(held_t, held_n)
+                now = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+                whole = np.searchsorted(now[0], now[0][-1]) if len(now[0]) else 0  # the last token may go on
+                yield _shared(*[x[:whole] for x in now])
+                held = [x[whole:] for x in now]
+            yield _shared(*held)
 
-        found = light.mapInArrow(runs, "token bigint, node bigint")
-        frequent = self.firsts.where(F.size("frequent") > 0).select(F.explode("frequent").alias("token"), "node")
-        return table(found.unionByName(frequent), "shared")
+        found = light.mapInArrow(runs, "token bigint, node bigint, pos int")
+        frequent = self.firsts.where(F.size("frequent") > 0)
+        frequent = frequent.select("node", F.size("light").alias("n_light"), F.posexplode("frequent").alias("pos", "token"))
+        return table(found.unionByName(frequent.select("token", "node", (F.col("pos") + F.col("n_light")).alias("pos"))), "shared")
 
     # -- exact overlaps ----------------------------------------------------------------------
 
@@ -254,8 +261,11 @@ class NgramJoin:
             return share * F.col(other_low) - (t - share) * F.col(first_high)
 
         enough = F.col(c) + _SLACK > F.least(needed(x_high, y_low), needed(y_high, x_low))
-        sizes = (F.col(x_high) + _SLACK >= t * F.col(y_low)) & (F.col(y_high) + _SLACK >= t * F.col(x_low))
-        return enough & sizes
+        return enough & self._fit(x_low, x_high, y_low, y_high)
+
+    def _fit(self, x_low: str, x_high: str, y_low: str, y_high: str):
+        """Whether the sizes alone allow a link."""
+        return (F.col(x_high) + _SLACK >= self.t * F.col(y_low)) & (F.col(y_high) + _SLACK >= self.t * F.col(x_low))
 
     # -- components --------------------------------------------------------------------------
 
@@ -273,13 +283,26 @@ class NgramJoin:
         paired = paired.groupBy(
             F.col("node").alias("x"), F.col("n").alias("nx"), F.col("leader.node").alias("y"), F.col("leader.n").alias("ny")
         ).agg(F.count(F.lit(1)).alias("c"))
-        paired = paired.where(self.possible("c", "nx", "nx", "ny", "ny"))
-        best = paired.groupBy("x", "nx").agg(F.max(F.struct("c", "y", "ny")).alias("b"))
-        stars = self.verify(best.select("x", "nx", F.col("b.y").alias("y"), F.col("b.ny").alias("ny")))
+        best = paired.groupBy("x", "nx").agg(F.max(F.struct("c", "y", "ny")).alias("b")).select("x", "nx", "b.*")
+        # c leaves out what x shares with y under other leaders, so little of it still makes a family
+        best = table(best.where(FAMILY_SHARE * F.col("c") >= F.col("nx")), "best")
+        stars = self.verify(best.where(self.possible("c", "nx", "nx", "ny", "ny")))
         found = components(stars.where("linked"))
-
-        # 2. centres and radii
         members = info.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+        # 2. families
+        counted = shared.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+        crowds = table(shared.join(counted.where(F.col("k") > BLOCK).select("token"), "token").select("token", "node"), "crowds")
+        # a set is tied to one of its crowds, and that one to the set's others: few pairs, as sets have them in common
+        own = table(crowds.groupBy("node").agg(F.min("token").alias("x")), "own-crowds")
+        others = crowds.join(own, "node").where("token <> x").select("x", F.col("token").alias("y")).distinct()
+        ties = best.select("x", "y").unionByName(own.select("x", F.col("node").alias("y"))).unionByName(others)
+        led = components(ties).withColumnRenamed("label", "family")
+        placed = members.join(led, "node", "left").withColumn("family", F.coalesce("family", "node"))
+        members = table(placed, "members")
+        inner = self._families(members)
+
+        # 3. centres and radii
         centres = members.groupBy("label").agg(
             F.min(F.struct("alone", "node", "n")).alias("c"), F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size")
         )
@@ -298,16 +321,24 @@ class NgramJoin:
         )
         known = table(known, "components")
 
-        # 3. candidates
-        placed = shared.join(members.select("node", "label"), "node").select("token", "label").distinct()
-        placed = table(placed, "placed")
-        several = placed.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
-        here = table(placed.join(several, "token"), "several")
-        a, b = (here.select("token", F.col("label").alias(side)) for side in "ab")
-        pairs = a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+        # 4. candidates
+        # a component of one set also tells where in its order the shared members stand; others leave that open
+        places = members.select("node", "label", "family").join(known.select("label", "size", "low", "high"), "label")
+        place = F.when(F.col("size") == 1, F.col("pos")).otherwise(-1).alias("pos")
+        where = shared.join(places, "node").select("token", "label", "family", place, "low", "high")
+        where = table(where.distinct(), "placed")
+        several = where.groupBy("token").agg((F.min("family") < F.max("family")).alias("k")).where("k").select("token")
+        here = table(where.join(several, "token"), "several")
+        a, b = (here.select("token", *[F.col(c).alias(n) for c, n in (("label", side), *((c, f"{side}_{c}") for c in ("family", "pos", "low", "high")))]) for side in "ab")
+        apart = F.expr("a < b and a_family <> b_family")
+        met = a.join(b, "token").where(apart & self._fit("a_low", "a_high", "b_low", "b_high")).groupBy("a", "b", "token").agg(F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"))
+        pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"))
         for side in "ab":
             pairs = pairs.join(known.select(*[F.col(c).alias(side if c == "label" else f"{side}_{c}") for c in known.columns]), side)
-        near = table(pairs.where(self.possible("c", "a_low", "a_high", "b_low", "b_high")), "candidates")
+        # what two sets share beyond the last common first member stands after it in both
+        rest = F.least(F.col("a_high") - F.col("a_pos"), F.col("b_high") - F.col("b_pos")) - 1
+        enough = F.col("c") + rest + _SLACK >= self.t / (1 + self.t) * (F.col("a_low") + F.col("b_low"))
+        near = table(pairs.where(self.possible("c", "a_low", "a_high", "b_low", "b_high") & enough), "candidates")
         checked = self.verify(near.select(F.col("a_centre").alias("x"), F.col("a_n").alias("nx"), F.col("b_centre").alias("y"), F.col("b_n").alias("ny")))
         judged = table(
             near.join(checked.select(F.col("x").alias("a_centre"), F.col("y").alias("b_centre"), "distance", "linked"), ["a_centre", "b_centre"]),
@@ -316,38 +347,127 @@ class NgramJoin:
         reach = 1 - self.t + F.col("a_radius") + F.col("b_radius") + _SLACK
         open_ = judged.where(~F.col("linked") & (F.col("a_size") + F.col("b_size") > 2) & (F.col("distance") <= reach))
 
-        # 4. set by set
-        inner = self._compare(open_, shared, members, away, info)
-        bridges = judged.where("linked").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(inner)
+        # 5. set by set
+        bridges = judged.where("linked").select(F.col("a").alias("x"), F.col("b").alias("y"))
+        bridges = bridges.unionByName(inner).unionByName(self._compare(open_, members, known))
         merged = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("merged"))
-        whole = members.join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label"))
+        whole = members.select("node", "label").join(merged, "label", "left").withColumn("label", F.coalesce("merged", "label"))
         return table(whole.select("node", "label"), "node-labels")
 
-    def _compare(self, open_: DataFrame, shared: DataFrame, members: DataFrame, away: DataFrame, info: DataFrame) -> DataFrame:
-        """Component pairs that a pair of their sets links; a member too near to its centre to reach the other one is left out."""
-        at = members.select("node", "label", "n").join(
-            away.select(F.col("x").alias("node"), "distance"), "node", "left"
-        ).select("node", "label", "n", F.coalesce("distance", F.lit(0.0)).alias("off"))
-        open_ = table(open_.select("a", "b", "distance", "a_radius", "b_radius"), "open")
-        sides = []
-        for side, other, out in (("a", "b", "x"), ("b", "a", "y")):
-            rows = at.join(open_, at["label"] == open_[side])
-            rows = rows.where(F.col("off") + F.col(f"{other}_radius") + 1 - self.t + _SLACK >= F.col("distance"))
-            sides.append(rows.select("a", "b", F.col("node").alias(out), F.col("n").alias(f"n{out}")))
-        left = sides[0].join(shared.withColumnRenamed("node", "x"), "x")
-        right = sides[1].join(shared.withColumnRenamed("node", "y"), "y")
-        pairs = left.join(right, ["a", "b", "token"]).groupBy("a", "b", "x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("c"))
-        pairs = table(pairs.where(self.possible("c", "nx", "nx", "ny", "ny")), "set-pairs")
-        linked = self.verify(pairs).where("linked").select("x", "y")
-        return pairs.join(linked, ["x", "y"]).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-
-
-def _shared(tokens: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    def _families(self, members: DataFrame) -> DataFrame:
+        """Component pairs, ``x`` and ``y``, linked by sets of one family. Runs jobs."""
+        split = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), (F.min("label") < F.max("label")).alias("several"))
+        split = split.where("several").select("family", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+        rows = members.join(split, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        # a set meets its own block and, once, every other one: as the left side of later, the right side of earlier blocks
+        left = F.transform(F.sequence("own", F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+        right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("own")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
+        placed = rows.select(F.col("family").alias("g"), "node", "label", "n", F.inline(F.concat(left, right)))
+        return self._in_blocks(placed)
+
+    def _compare(self, open_: DataFrame, members: DataFrame, known: DataFrame) -> DataFrame:
+        """Component pairs, ``x`` and ``y``, of ``open_`` that some pair of their sets links. Runs jobs.
+
+        The sets of the larger component meet all sets of the components it is open to.
+        """
+        turn = F.col("a_size") < F.col("b_size")
+        sides = open_.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("g"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("label"))
+        sides = table(sides, "open")
+        others = members.join(sides, "label").select("g", "label", "node", "n")
+        counted = others.groupBy("g").agg(F.count(F.lit(1)).alias("ys")).join(known.select(F.col("label").alias("g"), F.col("size").alias("xs")), "g")
+        grid = table(counted.select("g", *[F.ceil(F.col(c) / BLOCK).alias(c) for c in ("xs", "ys")]), "grid")
+
+        def at(count: str):
+            return F.pmod(F.xxhash64("node"), F.col(count))
+
+        def every(count: str):
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+        own = members.select("label", F.col("label").alias("g"), "node", "n").join(grid, "g")
+        own = own.select("g", "node", "label", "n", at("xs").alias("i"), every("ys").alias("j"), F.lit(0).alias("side"))
+        others = others.join(grid, "g").select("g", "node", "label", "n", every("xs").alias("i"), at("ys").alias("j"), F.lit(1).alias("side"))
+        return self._in_blocks(own.unionByName(others))
+
+    def _in_blocks(self, placed: DataFrame) -> DataFrame:
+        """``g``, ``i``, ``j`` (a block of the grid), ``side``, node, label, n to pairs of linked labels. Runs jobs.
+
+        A task holds ``BLOCK`` sets of either side, more or less, and returns a spanning forest of the labels that it finds linked.
+        """
+        placed = table(placed, "placed-sets")
+        sets = self._sets_of(placed.select("node"))
+        whole = sets.groupBy("node").agg(F.collect_list(F.struct("fragment", "members")).alias("parts"))
+        rows = placed.join(whole, "node").select("g", "i", "j", "side", "node", "label", "n", "parts")
+        t = self.threshold
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, sides = None, ([], [])
+            for batch in batches:
+                for at, (*key, side, node, label, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True)):
+                    if key != block:
+                        yield _linked_labels(*sides, t)
+                        block, sides = key, ([], [])
+                    parts = {p["fragment"].as_py(): p["members"].values.to_numpy() for p in batch.column(7)[at]}
+                    sides[side].append((label, n, parts))
+            yield _linked_labels(*sides, t)
+
+        in_order = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+        return table(in_order.mapInArrow(run, "x bigint, y bigint").distinct(), "bridges")
+
+
+def _linked_labels(xs: list, ys: list, t: tuple[int, int]) -> pa.RecordBatch:
+    """Pairs that connect the labels which some set of ``xs`` and some set of ``ys`` link: one less than labels, at most.
+
+    Overlaps are counted by fragment and summed.
+    """
+    found = []
+    if xs and ys:
+        overlap = np.zeros((len(ys), len(xs)))
+        for fragment in {f for *_, parts in ys for f in parts}:
+            y_parts = [parts.get(fragment, _NOTHING) for *_, parts in ys]
+            x_parts = [parts.get(fragment, _NOTHING) for *_, parts in xs]
+            tokens = np.unique(np.concatenate(y_parts))
+            y_rows = _incidence(y_parts, tokens)
+            for at in range(0, len(x_parts), 128):
+                overlap[:, at : at + 128] += y_rows @ _incidence(x_parts[at : at + 128], tokens).T
+        (x_label, x_n), (y_label, y_n) = (np.array([s[:2] for s in side], np.int64).T for side in (xs, ys))
+        linked = t[1] * overlap >= t[0] * (y_n[:, None] + x_n[None, :] - overlap)
+        linked &= y_label[:, None] != x_label[None, :]
+        root: dict[int, int] = {}
+
+        def top(label: int) -> int:
+            while root.setdefault(label, label) != label:
+                label = root[label]
+            return label
+
+        for y, x in np.argwhere(linked):
+            a, b = top(int(x_label[x])), top(int(y_label[y]))
+            if a != b:
+                root[a] = b
+                found.append((int(x_label[x]), int(y_label[y])))
+    return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["x", "y"])
+
+
+def _incidence(parts: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """One row per set, one column per token, 1 where the set has it."""
+    out = np.zeros((len(parts), len(tokens)), np.float32)
+    flat = np.concatenate(parts)
+    at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    there = tokens[at] == flat
+    out[row[there], at[there]] = 1
+    return out
+
+
+_NOTHING = np.empty(0, np.int64)
+
+
+def _shared(tokens: np.ndarray, nodes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     same = tokens[1:] == tokens[:-1] if len(tokens) else np.empty(0, bool)
     keep = np.zeros(len(tokens), bool)
     keep[1:] |= same
     keep[:-1] |= same
-    return pa.RecordBatch.from_arrays([pa.array(tokens[keep], pa.int64()), pa.array(nodes[keep], pa.int64())], names=["token", "node"])
+    columns = [pa.array(tokens[keep], pa.int64()), pa.array(nodes[keep], pa.int64()), pa.array(places[keep].astype(np.int32), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "node", "pos"])
 
 
 def jaccard_components(

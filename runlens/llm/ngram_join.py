@@ -49,7 +49,7 @@ FRAGMENTS = 4
 BLOCK = 256
 #: A set joins its leader's family if one in so many of its members is known to be common.
 FAMILY_SHARE = 50
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 _SLACK = 1e-9
 _WORDS: dict[bytes, int] = {}
 _ODD = [np.uint64(xxhash.xxh3_64_intdigest(b"place %d" % j) | 1) for j in range(64)]

@@ -40,7 +40,7 @@ from runlens.llm.common import row_key, table, text_bytes
 MARK = "▁"
 CHUNK_CHARS = 32_768
 FAN = 128
-CACHED_UNITS = 500_000
+CACHED_UNITS = 250_000
 LONGEST_CACHED = 64
 NONE = -np.inf
 _MODELS: dict[str, "Model"] = {}

@@ -1,6 +1,14 @@
-"""SentencePiece encoding and decoding, with a max-plus parallel scan for giant documents.
+"""SentencePiece encoding and decoding; giant documents are encoded in chunks.
 
-Encoding is the segmentation of largest total score under the model's pieces and scores. Best scores follow a
+The type of the model file says what its ids are.
+
+**BPE.** Merges are replayed: of all neighbours that join to a piece, those of the highest score are joined first, the
+leftmost of equal ones. Neither scores nor order add up along a path, so no max-plus scan gives these ids. But two characters that
+are next to each other in no piece are never joined, and what happens between two such places depends on nothing
+outside. Texts are cut there, and chunks end at the first such place after their nominal end. A stretch without such a place
+(letters without blanks, mostly) is replayed in one task, in n log n steps and some 60 bytes a character, however long.
+
+**Unigram.** Encoding is the segmentation of largest total score under the model's pieces and scores. Best scores follow a
 recurrence that reaches back as far as the longest piece has characters (``width``), so what a chunk needs from
 the text before it is one vector: the best score of a piece boundary 0, 1, ... width-1 characters
 before its start. A chunk maps that vector linearly in max-plus algebra, by a matrix of width x width:
@@ -18,7 +26,7 @@ Where no piece reaches across (before a run of word marks), best paths of both s
 chunk, units between such places are solved on their own; a worker remembers the first ``CACHED_UNITS``.
 
 Supported models have an identity normaliser; characters without a piece become bytes if the model has byte pieces,
-else the unknown id. A model file of type BPE is read as pieces with scores as well (merge order is not replayed).
+else the unknown id. BPE models must have byte pieces, and no user-defined or unused ones; others are refused.
 
 Defined cases: null and empty texts have no ids. Repeated rows are encoded alike. Rows whose ids are null
 keep them. An empty table gives an empty result. Other columns pass through; one that is called like an output is replaced.
@@ -29,6 +37,8 @@ from __future__ import annotations
 import struct
 from array import array
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -42,10 +52,12 @@ CHUNK_CHARS = 32_768
 FAN = 128
 CACHED_UNITS = 250_000
 LONGEST_CACHED = 64
+LONGEST_IN_LISTS = 48
 NONE = -np.inf
 _MODELS: dict[str, "Model"] = {}
 _KEY = "__key"
-NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
+NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
+UNIGRAM, BPE = 1, 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,6 +101,13 @@ class Model:
         if normal.get(2) or normal.get(4, 1):
             raise ValueError("only identity normalisers that keep white space are supported")
         self.prefix = bool(normal.get(3, 1))
+        trainer = dict(next((_fields(v) for n, v in parts if n == 2), ()))
+        kind = trainer.get(3, UNIGRAM)
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError("only models of type unigram and BPE are supported")
+        self.merges = kind == BPE
+        if self.merges and (BYTE not in kinds or USER_DEFINED in kinds or UNUSED in kinds):
+            raise ValueError("BPE models must have byte pieces, and no user-defined or unused ones")
         usable = [i for i, k in enumerate(kinds) if k in (NORMAL, USER_DEFINED)]
         scale = 1 if all(float(scores[i]).is_integer() for i in usable) else 1 << 20
         self.piece = {pieces[i]: (i, round(scores[i] * scale)) for i in usable}
@@ -110,6 +129,10 @@ class Model:
             self.prefix_score[text] = score
         # two characters that are next to each other in no piece have a certain boundary between them
         self.inside = {p[i : i + 2] for p in self.piece for i in range(len(p) - 1)}
+        # merges in order: equal scores share a rank
+        order = {x: n for n, x in enumerate(sorted({scores[i] for i in usable}, reverse=True))}
+        self.rank = {pieces[i]: order[scores[i]] for i in usable if len(pieces[i]) > 1} if self.merges else {}
+        self.never = len(order)
         self.known: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
 
@@ -173,6 +196,62 @@ class Model:
         return got
 
     def _part(self, text: str) -> bytes:
+        if not self.merges:
+            ends = self._best_ends(text)
+        elif len(text) <= LONGEST_IN_LISTS:
+            ends = self._merged_ends(text)
+        else:
+            ends = self._merged_ends_of_long(text)
+        got = self.ids(text, ends)
+        if len(text) <= LONGEST_CACHED and len(self.known_parts) < CACHED_UNITS:
+            self.known_parts[text] = got
+        return got
+
+    def _merged_ends(self, text: str) -> list[int]:
+        """Boundaries after all merges; every step looks at all neighbours."""
+        rank_of, never = self.rank.get, self.never
+        now = list(text)
+        ranks = [rank_of(a + b, never) for a, b in zip(now, now[1:], strict=False)]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            now[i : i + 2] = [now[i] + now[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(now[i - 1] + now[i], never)
+            if i < len(ranks):
+                ranks[i] = rank_of(now[i] + now[i + 1], never)
+        return [0, *accumulate(map(len, now))]
+
+    def _merged_ends_of_long(self, text: str) -> list[int]:
+        """The same with a heap of (rank, start) in one number; what stands there by now tells which entries still hold."""
+        n, width, rank_of = len(text), self.width, self.rank.get
+        end = array("q", range(1, n + 1))  # of the symbol that starts here; 0 if none does
+        before = array("q", range(-1, n - 1))
+        found = ((rank_of(text[i : i + 2]), i) for i in range(n - 1))
+        heap = [r * n + i for r, i in found if r is not None]
+        heapify(heap)
+        while heap:
+            rank, left = divmod(heappop(heap), n)
+            right = end[left]
+            if not right or right == n:
+                continue
+            stop = end[right]
+            if stop - left > width or rank_of(text[left:stop]) != rank:
+                continue
+            end[left], end[right] = stop, 0
+            if stop < n:
+                before[stop] = left
+                if (r := rank_of(text[left : end[stop]])) is not None:
+                    heappush(heap, r * n + left)
+            first = before[left]
+            if first >= 0 and (r := rank_of(text[first:stop])) is not None:
+                heappush(heap, r * n + first)
+        ends = [0]
+        while ends[-1] < n:
+            ends.append(end[ends[-1]])
+        return ends
+
+    def _best_ends(self, text: str) -> list[int]:
         """``forward`` over the whole of a part, in plain lists."""
         n, score_of = len(text), self.prefix_score
         best, back = [NONE] * (n + 1), [0] * (n + 1)
@@ -195,10 +274,7 @@ class Model:
         ends = [n]
         while ends[-1]:
             ends.append(back[ends[-1]])
-        got = self.ids(text, ends[::-1])
-        if n <= LONGEST_CACHED and len(self.known_parts) < CACHED_UNITS:
-            self.known_parts[text] = got
-        return got
+        return ends[::-1]
 
     def units(self, text: str) -> list[str]:
         """Cut before every run of marks."""
@@ -231,6 +307,16 @@ class Model:
 
     # -- chunks ------------------------------------------------------------------------------
 
+    def certain_cuts(self, text: str, places: list[int]) -> list[int]:
+        """The first certain boundary at or after each of some ascending places."""
+        inside, out, at = self.inside, [], 0
+        for place in places:
+            at = max(at, place)
+            while 0 < at < len(text) and text[at - 1 : at + 1] in inside:
+                at += 1
+            out.append(at)
+        return out
+
     def cuts(self, text: str, lead: int) -> tuple[int, int] | None:
         """First and last place at or after ``lead`` where a boundary is certain."""
         if not self.separable:
@@ -394,10 +480,12 @@ def _chunk_rows(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = m.normal(body.decode("utf-8", "replace"))
                 starts = range(0, len(text), chunk)
+                cuts = m.certain_cuts(text, [*starts, len(text)]) if m.merges else []
                 for n, at in enumerate(starts):
-                    lead = min(at, m.width - 1)
+                    lead = 0 if m.merges else min(at, m.width - 1)
+                    part = text[cuts[n] : cuts[n + 1]] if m.merges else text[at - lead : at + chunk]
                     yield pa.RecordBatch.from_pylist(
-                        [{"a": key["a"], "b": key["b"], "n": n, "last": len(starts) - 1, "lead": lead, "text": text[at - lead : at + chunk]}],
+                        [{"a": key["a"], "b": key["b"], "n": n, "last": len(starts) - 1, "lead": lead, "text": part}],
                         schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("lead", pa.int32()), ("text", pa.string())]),
                     )
 
@@ -423,8 +511,10 @@ def _per_chunk(chunks: DataFrame, path: str, work: Callable, kind: str) -> DataF
 
 
 def _scanned_ids(long: DataFrame, path: str, width: int, chunk: int, fan: int) -> DataFrame:
-    """``__key``, ids, n_chunks of documents that are cut into chunks. Runs jobs."""
+    """``__key``, ids, n_chunks of documents that are cut into chunks. Runs jobs for unigram models."""
     spread = _chunk_rows(long.dropDuplicates([_KEY]), path, chunk).repartition("a", "b", "n")
+    if model(path).merges:
+        return _joined(_per_chunk(spread, path, lambda m, r: list(array("I", m.encode(r["text"]))), "int"))
     chunks = table(spread, "chunks")
     matrices = table(_per_chunk(chunks, path, lambda m, r: m.matrix(r["text"], r["lead"]).ravel().tolist(), "double"), "matrices")
     first = [0.0] + [NONE] * (width - 1)
@@ -439,6 +529,11 @@ def _scanned_ids(long: DataFrame, path: str, width: int, chunk: int, fan: int) -
     coded = _per_chunk(
         both, path, lambda m, r: list(array("I", m.encode_chunk(r["text"], r["lead"], np.asarray(r["state"]), int(r["exit"][0])))), "int"
     )
+    return _joined(coded)
+
+
+def _joined(coded: DataFrame) -> DataFrame:
+    """Ids of chunks to ids of documents."""
     parts = coded.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("parts"))
     return parts.select(
         F.struct("a", "b").alias(_KEY), F.flatten("parts.value").alias("__ids"), F.size("parts").alias("__n_chunks")
@@ -474,7 +569,7 @@ def int_lists(packed: list[bytes]) -> pa.ListArray:
 def encode(
     docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id", chunk_chars: int = CHUNK_CHARS, fan: int = FAN
 ) -> DataFrame:
-    """All columns of ``docs``, and ``ids`` (array<int>) and ``n_chunks``. Runs jobs for long documents."""
+    """All columns of ``docs``, and ``ids`` (array<int>) and ``n_chunks``. Runs jobs for long documents of unigram models."""
     m = model(path)
     if chunk_chars < m.width:
         raise ValueError(f"chunks must be as long as the longest piece, {m.width} characters")

@@ -263,6 +263,16 @@ class NgramJoin:
         enough = F.col(c) + _SLACK > F.least(needed(x_high, y_low), needed(y_high, x_low))
         return enough & self._fit(x_low, x_high, y_low, y_high)
 
+    def _reachable(self):
+        """Whether components ``a`` and ``b`` can be linked, by the place of their last common first member.
+
+        What two sets share beyond it stands after it in both. A place found over several sets bounds none of them: the set
+        that links may have its last one earlier, and share what stands between beyond its own first members.
+        """
+        after = F.least(F.col("a_high") - F.col("a_pos"), F.col("b_high") - F.col("b_pos")) - 1
+        rest = F.when(F.col("a_size") + F.col("b_size") == 2, after).otherwise(F.least("a_high", "b_high"))
+        return F.col("c") + rest + _SLACK >= self.t / (1 + self.t) * (F.col("a_low") + F.col("b_low"))
+
     def _fit(self, x_low: str, x_high: str, y_low: str, y_high: str):
         """Whether the sizes alone allow a link."""
         return (F.col(x_high) + _SLACK >= self.t * F.col(y_low)) & (F.col(y_high) + _SLACK >= self.t * F.col(x_low))
@@ -335,10 +345,7 @@ class NgramJoin:
         pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("a_pos").alias("a_pos"), F.max("b_pos").alias("b_pos"))
         for side in "ab":
             pairs = pairs.join(known.select(*[F.col(c).alias(side if c == "label" else f"{side}_{c}") for c in known.columns]), side)
-        # what two sets share beyond the last common first member stands after it in both
-        rest = F.least(F.col("a_high") - F.col("a_pos"), F.col("b_high") - F.col("b_pos")) - 1
-        enough = F.col("c") + rest + _SLACK >= self.t / (1 + self.t) * (F.col("a_low") + F.col("b_low"))
-        near = table(pairs.where(self.possible("c", "a_low", "a_high", "b_low", "b_high") & enough), "candidates")
+        near = table(pairs.where(self.possible("c", "a_low", "a_high", "b_low", "b_high") & self._reachable()), "candidates")
         checked = self.verify(near.select(F.col("a_centre").alias("x"), F.col("a_n").alias("nx"), F.col("b_centre").alias("y"), F.col("b_n").alias("ny")))
         judged = table(
             near.join(checked.select(F.col("x").alias("a_centre"), F.col("y").alias("b_centre"), "distance", "linked"), ["a_centre", "b_centre"]),

@@ -27,9 +27,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays, that of the smallest id; documents without words stay."""
-    joined = ngram_join.jaccard_components(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    # rows that agree in id and text have the same component and are one document
+    """One document of each group of linked ones stays, that of the smallest id, also if ids are null or tied; documents without words stay."""
+    joined = ngram_join.jaccard_components(docs, first="__first").where("__first")
+    # rows that agree in id and text are one document
     return joined.withColumn("__key", row_key()).dropDuplicates(["__key"]).select(*docs.columns)
 
 

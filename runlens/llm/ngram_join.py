@@ -478,17 +478,22 @@ def _shared(tokens: np.ndarray, nodes: np.ndarray, places: np.ndarray) -> pa.Rec
 
 
 def jaccard_components(
-    docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 5, threshold: tuple[int, int] = (80, 100)
+    docs: DataFrame, text: str = "text", id_column: str = "doc_id", words: int = 5, threshold: tuple[int, int] = (80, 100), first: str | None = None
 ) -> DataFrame:
-    """All columns of ``docs``, n_shingles (size of the set) and component_id. Runs jobs."""
+    """All columns of ``docs``, n_shingles (size of the set) and component_id. Runs jobs.
+
+    ``first`` names a further column: whether the row is the component's document of smallest id, nulls last, and smallest
+    row key. Rows equal in id and text are one document. Rows without words are the first of their own.
+    """
     join = NgramJoin(docs, text, id_column, words, threshold)
     rows = join.read()
     labels = join.labels()
     named = rows.join(labels, "node", "left").select("key", "n", F.coalesce("label", "node").alias("label"))
     named = table(named.distinct(), "named")
     ids = docs.select(row_key(id_column, text).alias("key"), F.col(id_column).alias("id")).distinct()
-    first = named.join(ids, "key").groupBy("label").agg(F.min("id").alias("component"))
-    found = table(named.join(first, "label").select("key", "n", "component"), "found")
+    least = named.join(ids, "key").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("key").alias("of"))).alias("least"))
+    found = named.join(least, "label").select("key", "n", F.col("least.id").alias("component"), (F.col("key") == F.col("least.of")).alias("first"))
+    found = table(found, "found")
     columns = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], row_key(id_column, text).alias("key"))
     joined = keyed.join(found.hint("shuffle_hash"), "key", "left")
@@ -496,4 +501,5 @@ def jaccard_components(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)],
         F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"),
         F.coalesce("component", F.col(f"c{columns.index(id_column)}")).alias("component_id"),
+        *([F.coalesce("first", F.lit(True)).alias(first)] if first else []),
     )

@@ -1,5 +1,8 @@
 """Bounds of the n-gram join, and what the pipeline keeps of its groups."""
 
+import re
+
+import corpus_pipeline
 from runlens.llm import ngram_join
 
 COUNTED = "c int, a_pos int, b_pos int, a_size int, b_size int, a_low int, a_high int, b_low int, b_high int"
@@ -22,3 +25,19 @@ def test_a_place_bounds_only_pairs_of_single_sets(spark, odd):
     got = spark.createDataFrame(rows, COUNTED).select(join._reachable().alias("r")).collect()
     # the single pair can share 2 + 63 members of the 80 it needs
     assert [r.r for r in got] == [True, False]
+
+
+def test_one_document_of_a_group_stays_whatever_its_ids(spark, odd):
+    """Tied ids, null ids, null and tied ids, other ids; each group has three near copies and an exact one of the first."""
+    texts, ids = [None, "", " "], [1, 2, 2]
+    for n, group in enumerate([[5, 5, 5], [None, None, None], [None, 7, 7], [8, 6, 9]]):
+        body = " ".join(f"g{n}w{i}" for i in range(60))
+        texts += [body, body + " more", "less " + body, body]
+        ids += [*group, group[0]]
+    docs = odd(*texts, ids=ids)
+    rows = corpus_pipeline.join_near_duplicates(spark, docs, "").collect()
+    kept = [(re.search(r"g(\d)w", r.text)[1], r.doc_id) for r in rows if (r.text or "").strip()]
+    assert sorted(kept) == [("0", 5), ("1", None), ("2", 7), ("3", 6)]
+    # documents without words stay
+    assert sorted(r.doc_id for r in rows if not (r.text or "").strip()) == [1, 2, 2]
+    assert set(rows[0].asDict()) == set(docs.columns)

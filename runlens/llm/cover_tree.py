@@ -8,8 +8,8 @@ A node covers its points within its radius; its children's centres lie more than
 so the pair is dropped if that is below the worst k-th score among the queries of Q. Pairs whose nodes
 hold few points, and points that are a child of their own, are scored with one matrix product.
 
-The queries come in waves of at most ``WAVE_ROWS``, hashed by id; a wave is broadcast, so it is what
-bounds the broadcast. Each task indexes its data in blocks of ``BLOCK_ROWS`` and carries the scores
+The queries come in waves of some ``WAVE_ROWS`` or, if vectors are wide, as many as take ``WAVE_BYTES``, hashed by id and
+vector. A wave passes the driver and is broadcast, so that bounds both; its broadcast goes when what it found is written. Each task indexes its data in blocks of ``BLOCK_ROWS`` and carries the scores
 found from block to block. First a sample of ``SEED_ROWS`` rows is searched: its k-th scores are a lower bound
 that every task starts from and below which it returns nothing.
 
@@ -35,6 +35,7 @@ BASE = 2.0
 LEAF = 64
 BLOCK_ROWS = 4096
 WAVE_ROWS = 65_536
+WAVE_BYTES = 128 << 20
 SEED_ROWS = 16_384
 
 
@@ -220,24 +221,34 @@ def _search(data: DataFrame, queries, k: int) -> DataFrame:
     return data.mapInArrow(run, "number int, query_id bigint, vec_id bigint, score double")
 
 
+def _found(data: DataFrame, queries: tuple, k: int, label: str) -> DataFrame:
+    """What ``_search`` finds, written; nothing of the queries stays on the executors. Runs a job."""
+    sent = data.sparkSession.sparkContext.broadcast(queries)
+    try:
+        return table(_search(data, sent, k), label)
+    finally:
+        sent.destroy()
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, wave_rows: int = WAVE_ROWS, seed_rows: int = SEED_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score for frames as ``usable`` makes them. Runs jobs."""
     spark = vectors.sparkSession
     asked = table(queries.dropDuplicates(["id", "v"]), "queries")
-    rows, waves = vectors.count(), -(-asked.count() // wave_rows)
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    rows, waves = vectors.count(), -(-n // max(1, min(wave_rows, WAVE_BYTES // (8 * max(1, width or 0)))))
     out = []
     for w in range(waves):
-        got = asked.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == w).toArrow().combine_chunks()
+        got = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(waves)) == w).toArrow().combine_chunks()
         if not got.num_rows:
             continue
         ids, points = got.column("id").to_numpy(), _matrix(got.column("v").chunk(0))
         floor = np.full(len(ids), -np.inf)
         if rows > 2 * seed_rows:
             seen = vectors.sample(seed_rows / rows, seed=11)
-            first = _ranked(_search(seen, spark.sparkContext.broadcast((ids, points, floor)), k), k).where(F.col("rank") == k)
+            first = _ranked(_found(seen, (ids, points, floor), k, "seeds"), k).where(F.col("rank") == k)
             known = first.select("number", "score").toArrow()
             floor[known.column("number").to_numpy()] = known.column("score").to_numpy()
-        found = _search(vectors, spark.sparkContext.broadcast((ids, points, floor)), k)
+        found = _found(vectors, (ids, points, floor), k, "wave")
         out.append(found.withColumn("wave", F.lit(w)))
     if not out:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")

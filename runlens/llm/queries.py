@@ -8,8 +8,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from runlens.llm import chat_format, cover_tree, fair_mix, line_dedup, ngram_join, quality, sentencepiece_scan, suffix_dedup, token_files, token_rollup
-from runlens.llm.common import documents
+from runlens.llm import (
+    chat_format, cover_tree, fair_mix, lexical_search, line_dedup, ngram_join, periodic_runs, quality, sentencepiece_scan, suffix_dedup,
+    token_files, token_rollup, url_filter,
+)
+from runlens.llm.common import WORD, documents
 from runlens.llm.sql import SQL
 from runlens.session import work_path
 
@@ -128,11 +131,56 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return lexical_search.top_k(documents(spark, folder), items, k=20)
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Texts of one document in ten, by the checksum of the id, with a tail of words that repeats."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"))
+    n, g, words = F.size("words").cast("long"), F.col("g"), F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    # words are cut only where they are needed
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("a", F.when(n > 0, g % n))
+    p = 1 + F.floor((n - F.col("a")) / (3 + g % 8)).cast("long")
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), n - 1 - F.col("a")), lambda i: F.get("words", (F.col("a") + i % p).cast("int")))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return docs.select("doc_id", F.when(F.size("words") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_periods(documents(spark, folder)))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[x].cast("string") for x in ("start", "length", "period")]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    return found.withColumn("best", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: The rules of the query: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_sentencepiece, op3_ngram_join, op4_token_files, op5_token_counts, op6_cover_tree, op7_fair_mix,
-        op8_suffix_dedup, op9_line_dedup, op10_quality_rules,
+        op8_suffix_dedup, op9_line_dedup, op10_quality_rules, op11_lexical_search, op12_periodic_runs, op13_url_filter,
     )
 }
 

@@ -6,6 +6,12 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Checksum of the decimal id, bit by bit: -1 stands for a shift.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295)"""
+
 
 def _escaped(column: str) -> str:
     out = f"replace({column}, '\\', '\\\\')"
@@ -137,4 +143,76 @@ SQL = {
             NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
                 OR n_dup_lines >= 3 AND 2 * n_dup_lines > n_lines) AS kept
         FROM judged""",
+    "op11_lexical_search": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, unnest({_TERMS}) AS term FROM documents
+        ), counted AS (
+            SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM docs GROUP BY r, term
+        ), sized AS (
+            SELECT r, sum(tf)::BIGINT AS size FROM counted GROUP BY r
+        ), corpus AS (
+            SELECT count(*) AS n_docs, sum(size)::BIGINT AS n_terms FROM sized
+        ), items AS (
+            SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS term FROM benchmark
+        ), asked AS (
+            SELECT i, item_id, term, count(*) AS c FROM items GROUP BY ALL
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM counted, corpus GROUP BY term, n_docs
+        ), scored AS (
+            SELECT i, item_id, r, doc_id,
+                sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * size * n_docs) // n_terms))))::BIGINT AS score
+            FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN sized USING (r), corpus GROUP BY i, item_id, r, doc_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
+    "op12_periodic_runs": f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words, len({_WORDS})::BIGINT AS n, {_CRC32} AS h FROM documents
+        ), cut AS (
+            SELECT *, h // 10 % n AS a, 1 + (n - h // 10 % n) // (3 + h // 10 % 8) AS p FROM docs
+        ), changed AS (
+            SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+                THEN list_transform(range(0, n), lambda i: words[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % p + 1 END]) ELSE words END AS words
+            FROM cut
+        ), placed AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(words) AS w FROM changed),
+        equal AS (
+            SELECT x.r, x.i, y.i - x.i AS q FROM placed x JOIN placed y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+        ), stretches AS (
+            SELECT r, q, min(i) AS start, count(*) + q AS length FROM (
+                SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal) GROUP BY r, q, island
+        ), runs AS (
+            SELECT r, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length
+        ), best AS (
+            SELECT * FROM runs x WHERE NOT EXISTS (
+                SELECT 1 FROM runs y WHERE x.r = y.r AND (y.length * x.period > x.length * y.period
+                    OR y.length * x.period = x.length * y.period AND (y.start, y.period) < (x.start, x.period)))
+        ), listed AS (
+            SELECT r, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+            FROM runs GROUP BY r
+        ), kept AS (
+            SELECT r, string_agg(w, ' ' ORDER BY i) AS text FROM placed p
+            WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.r = p.r AND p.i >= x.start + x.period AND p.i < x.start + x.length) GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+            (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+            sha256(coalesce(text, '')) AS collapsed_sha256
+        FROM changed LEFT JOIN best USING (r) LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)""",
+    "op13_url_filter": f"""
+        WITH rests AS (
+            SELECT row_number() OVER () AS r, page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages
+        ), parts AS (
+            SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+        ), rules(rule_host, rule_path, says) AS (
+            VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+        )
+        SELECT any_value(page_id) AS page_id, any_value(host) AS host, any_value(path) AS path,
+            arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+            coalesce(arg_max(says, length(rule_host || rule_path)), 'allow') AS verdict
+        FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        GROUP BY r""",
 }

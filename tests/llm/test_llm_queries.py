@@ -38,7 +38,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_registered_once_for_each_operator():
     names = [n for n in entry_points.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry_points.queries()
 
 

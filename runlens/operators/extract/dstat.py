@@ -63,13 +63,32 @@ def last_position(names: Column, name: str) -> Column:
     return F.when(back > 0, F.size(names) - back + 1).otherwise(0)
 
 
+def is_header_row(value: Column) -> Column:
+    """Quoted lines that are no banner."""
+    return value.startswith('"') & ~value.rlike(BANNER)
+
+
+def is_sample(value: Column) -> Column:
+    return (value != "") & ~value.startswith('"')
+
+
+def parse_headers(rows: DataFrame) -> DataFrame:
+    """(file, host, names, cols, clock_at) of (file, groups, columns), the two header rows of files."""
+    split = evaluated(rows, g=header_names(F.col("groups")), c=header_names(F.col("columns")))
+    named = evaluated(split, names=column_names(F.col("g"), F.col("c"))).where(F.size("names") > 0)
+    host = F.regexp_extract(F.substring_index("file", "/", -1), f"(?:^|=){FILE_NAME}$", 2)
+    return evaluated(named, cols=value_columns(F.col("names"))).select(
+        "file", host.alias("host"), "names", "cols", last_position(F.col("names"), CLOCK).alias("clock_at")
+    )
+
+
 def headers(lines: DataFrame) -> DataFrame:
     """(file, host, names, cols, clock_at): one row per file that has both header rows.
 
     Keeping the first two rows of a ranking is done before the shuffle as well (group limit), so a
     file of quoted lines only does not end up in one task.
     """
-    candidates = lines.where(F.col("value").startswith('"') & ~F.col("value").rlike(BANNER))
+    candidates = lines.where(is_header_row(F.col("value")))
     order = [c for c in ("part", "block", "record_key") if c in lines.columns]
     ranked = candidates.select(
         "file", "value",
@@ -79,12 +98,7 @@ def headers(lines: DataFrame) -> DataFrame:
         F.max(F.when(F.col("n") == 1, F.col("value"))).alias("groups"),
         F.max(F.when(F.col("n") == 2, F.col("value"))).alias("columns"),
     ).where(F.col("columns").isNotNull())
-    split = evaluated(rows, g=header_names(F.col("groups")), c=header_names(F.col("columns")))
-    named = evaluated(split, names=column_names(F.col("g"), F.col("c"))).where(F.size("names") > 0)
-    host = F.regexp_extract(F.substring_index("file", "/", -1), f"(?:^|=){FILE_NAME}$", 2)
-    return evaluated(named, cols=value_columns(F.col("names"))).select(
-        "file", host.alias("host"), "names", "cols", last_position(F.col("names"), CLOCK).alias("clock_at")
-    )
+    return parse_headers(rows)
 
 
 def extract_samples(lines: DataFrame) -> DataFrame:
@@ -92,13 +106,17 @@ def extract_samples(lines: DataFrame) -> DataFrame:
 
     Headers are looked up first, which runs a job; there is one per file, so they are broadcast unless
     there are very many files, and samples are not shuffled.
+    """
+    return sample_events(lines.where(is_sample(F.col("value"))), broadcast_if_small(cut_lineage(headers(lines))))
+
+
+def sample_events(data: DataFrame, heads: DataFrame) -> DataFrame:
+    """Events of samples by the header of their file; samples of a file without one are rejects.
 
     A row shorter than its header uses the columns it has. Names are looked at once per file; per
     row everything is plain arithmetic on indexes, which stays inside generated code.
     """
-    keep = ["file", "record_key", *context_columns(lines)]
-    data = lines.where((F.col("value") != "") & ~F.col("value").startswith('"'))
-    heads = broadcast_if_small(cut_lineage(headers(lines)))
+    keep = ["file", "record_key", *context_columns(data)]
     named = data.alias("d").join(heads.alias("h"), F.col("d.file") == F.col("h.file"), "left").select(*[F.col(f"d.{c}") for c in keep], "d.value", "h.names", "h.host", "h.cols", "h.clock_at")
     split = named.withColumn("cells", F.split("value", ",")).withColumn("n", F.size("cells"))
     whole = F.col("n") >= F.size("names")

@@ -1,3 +1,3 @@
 from runlens.plans.queries import (  # noqa: F401
-    datagen, design, extraction, graph, results, scans, settings, store, streams, workloads,
+    datagen, derived, design, extraction, graph, results, scans, settings, store, streams, workloads,
 )

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from runlens.session import broadcast_if_small, cut_lineage
 
-# Accuracy of the rank sketch that brackets a median: rank error is at most rows / accuracy.
-SKETCH_ACCURACY = 100_000
+# Bars of the histograms that narrow a median down.
+BUCKETS = 4_096
 SALTS = 64
-# Rows of a group that one task may hold.
+# Distinct values of a group that one task may hold.
 MAX_GROUP = 1_000_000
 # Distinct keys a combining task may hold before it hands its rows on.
 COMBINE_ROWS = 100_000
@@ -106,71 +106,91 @@ def reduce_per_key(
     return buckets.repartition(key).sortWithinPartitions(key).mapInArrow(finish, schema)
 
 
+def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, n): how often each value occurs, as a table. Combines before it shuffles; the one pass over the rows.
+
+    Nulls do not count. Runs a job.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    return cut_lineage(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "counted")
+
+
 def exact_median(
     df: DataFrame, keys: Sequence[str], value: str, out: str = "median", max_group: int = MAX_GROUP
 ) -> DataFrame:
-    """Exact median (mean of the two middle values) per group; nulls do not count.
+    """Exact median (mean of the two middle values) per group; nulls do not count. Runs jobs.
+
+    Rows are read once, to count their values.
+    """
+    return median_of_counts(counted_values(df, keys, value), keys, value, out, max_group)
+
+
+def median_of_counts(
+    counted: DataFrame, keys: Sequence[str], value: str, out: str = "median", max_group: int = MAX_GROUP
+) -> DataFrame:
+    """Median per group of values that occur ``n`` times.
 
-    The built-in median holds the values of a group in one task, so it gets the groups of at most
-    ``max_group`` rows only. Larger ones, of which there are few, go through ``_bracketed_median``.
-    Runs a job to size the input and, if that is large, one to find the large groups.
+    The built-in percentile holds the distinct values of a group in one task, so it gets the groups of at most
+    ``max_group`` of them; those of others are narrowed down by histograms. Runs a job to find the latter.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    if rows.count() <= max_group:
-        return _plain_median(rows, keys, value, out)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = cut_lineage(sizes.where(F.col("__n") > max_group).select(*keys))
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_group).select(*keys)
+    hot = cut_lineage(sizes)
     if hot.isEmpty():
-        return _plain_median(rows, keys, value, out)
+        return _plain_median(counted, keys, value, out)
     side, cond = broadcast_if_small(hot).alias("s"), _same_keys(keys)
-    cold_rows = rows.alias("r").join(side, cond, "left_anti")
-    hot_rows = rows.alias("r").join(side, cond, "left_semi")
-    return _plain_median(cold_rows, keys, value, out).unionByName(_bracketed_median(hot_rows, keys, value, out))
+    cold_rows = counted.alias("r").join(side, cond, "left_anti")
+    hot_rows = counted.alias("r").join(side, cond, "left_semi")
+    return _plain_median(cold_rows, keys, value, out).unionByName(_narrowed_median(hot_rows, keys, value, out))
 
 
 def _same_keys(keys: Sequence[str]) -> Column:
     return functools.reduce(Column.__and__, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
 
 
-def _plain_median(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.median(value).alias(out))
+def _plain_median(counted: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    return counted.groupBy(*keys).agg(F.percentile(value, 0.5, F.col("n")).alias(out))
 
 
-def _bracketed_median(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Median of large groups, with bounded state.
+def _narrowed_median(counted: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Median of groups with many distinct values: a histogram of ``BUCKETS`` between bounds that enclose the middle, until the
+    middle ranks are found.
 
-    A rank sketch gives two values that enclose the middle; one more pass counts what lies below
-    them and the distinct values between, and the middle ranks are looked up there. Should a bracket
-    miss (the sketch promises it does not), its group gets the built-in median.
+    Where both middle ranks fall into one bucket, its least and largest value are the next bounds; else they are the last value of
+    one bucket and the first of the next. Groups are few, and have one row per bucket.
     """
-    slack = 2.0 / SKETCH_ACCURACY
-    bracket = F.percentile_approx(value, [0.5 - slack, 0.5 + slack], SKETCH_ACCURACY)
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), bracket.alias("__b"))
-    stats = stats.select(
-        *keys, F.col("__b")[0].alias("__lo"), F.col("__b")[1].alias("__hi"),
-        F.floor((F.col("__n") + 1) / 2).alias("__r1"), F.floor(F.col("__n") / 2 + 1).alias("__r2"),
-    )
-    ranks = ["__r1", "__r2"]
-    v = F.col(f"r.{value}")
-    # few groups are large: their brackets fit everywhere
-    near = rows.alias("r").join(broadcast_if_small(cut_lineage(stats)).alias("s"), _same_keys(keys)).where(
-        v <= F.col("__hi")
-    ).select(*[F.col(f"r.{k}") for k in keys], *ranks, F.when(v >= F.col("__lo"), v).alias("__v"))
-    # one row per distinct value of the bracket, plus one (null) for everything below it
-    counted = near.groupBy(*keys, *ranks, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    upto = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first())
-    ranked = counted.withColumn("__cum", F.sum("__c").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    first, second = (F.min(F.when(F.col("__cum") >= F.col(r), F.col("__v"))) for r in ranks)
-    below = F.max(F.when(F.col("__v").isNull(), F.col("__c")).otherwise(0))
-    found = ranked.groupBy(*keys, *ranks).agg(
-        first.alias("__a"), second.alias("__z"), below.alias("__below"), F.max("__cum").alias("__last")
+    rank = lambda x: F.floor((F.sum("n") + x) / 2)
+    open_ = counted.groupBy(*keys).agg(
+        F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"), F.lit(0).cast("long").alias("__below"),
+        rank(1).alias("__r1"), rank(2).alias("__r2"),
     )
-    hit = (F.col("__below") < F.col("__r1")) & (F.col("__last") >= F.col("__r2"))
-    middle = (F.col("__a").cast("double") + F.col("__z").cast("double")) / 2
-    good = found.where(hit).select(*keys, middle.alias(out))
-    missed = found.where(~hit).select(*keys)
-    again = rows.alias("r").join(missed.alias("s"), _same_keys(keys), "left_semi")
-    return good.unionByName(_plain_median(again, keys, value, out))
+    bounds, done = ["__lo", "__hi", "__below", "__r1", "__r2"], []
+    while True:
+        open_ = cut_lineage(open_, "bounds")
+        done.append(open_.where("__lo = __hi").select(*keys, F.col("__lo").alias(out)))
+        left = open_.where("__lo < __hi")
+        if left.isEmpty():
+            break
+        v = F.col(f"r.{value}").cast("double")
+        near = counted.alias("r").join(broadcast_if_small(left).alias("s"), _same_keys(keys)).where(v.between(F.col("__lo"), F.col("__hi")))
+        # halves first: the difference of two doubles can overflow
+        place = (v / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2)
+        bucket = F.least(F.floor(place * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
+        placed = near.select(*[F.col(f"r.{k}") for k in keys], *bounds, v.alias("__v"), "n", bucket.alias("__bucket"))
+        bars = placed.groupBy(*keys, *bounds, "__bucket").agg(F.sum("n").alias("__n"), F.min("__v").alias("__first"), F.max("__v").alias("__last"))
+        upto = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+        summed = bars.withColumn("__upto", F.col("__below") + F.sum("__n").over(upto))
+        of = lambda r, x: F.min_by(x, F.when(F.col("__upto") >= F.col(r), F.col("__bucket")))
+        found = summed.groupBy(*keys, "__r1", "__r2").agg(
+            of("__r1", F.struct("__bucket", "__first", "__last", (F.col("__upto") - F.col("__n")).alias("below"))).alias("__a"),
+            of("__r2", F.struct("__bucket", "__first", "__last")).alias("__z"),
+        )
+        found = cut_lineage(found, "middle")
+        apart = F.col("__a.__bucket") < F.col("__z.__bucket")
+        done.append(found.where(apart).select(*keys, ((F.col("__a.__last") + F.col("__z.__first")) / 2).alias(out)))
+        open_ = found.where(~apart).select(
+            *keys, F.col("__a.__first").alias("__lo"), F.col("__a.__last").alias("__hi"), F.col("__a.below").alias("__below"), "__r1", "__r2"
+        )
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def per_group_stats(events: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from runlens.operators.aggregates import MAX_GROUP, exact_median
+from runlens.operators.aggregates import MAX_GROUP, counted_values, median_of_counts
 from runlens.session import broadcast_if_small, cut_lineage, key_side
 from runlens.sources.store import PARENT_FIRST, ResultsStore
 
@@ -58,11 +58,13 @@ def _folded(runs: DataFrame, experiments: DataFrame) -> DataFrame:
     )
 
 
-def _named_times(relations: dict[str, DataFrame]) -> DataFrame:
-    """(suite, name, time) of every run; experiments are broadcast while they are few."""
-    named = broadcast_if_small(cut_lineage(relations["experiment"].select("id", "suite", "name")))
-    runs = relations["experiment_run"].select("experiment_id", "time")
-    return runs.join(named, runs.experiment_id == named.id).select("suite", "name", "time")
+def _counted_times(relations: dict[str, DataFrame]) -> DataFrame:
+    """(suite, name, time, n): run times are counted per experiment id before anything is joined, in one pass over the runs."""
+    counted = counted_values(relations["experiment_run"].select("experiment_id", "time"), ["experiment_id"], "time")
+    named = relations["experiment"].select("id", "suite", "name")
+    joined = counted.join(named, counted.experiment_id == named.id)
+    # ids are folded again: a (suite, name) may have several
+    return joined.groupBy("suite", "name", "time").agg(F.sum("n").alias("n"))
 
 
 @register_query("runtimes_for_suite")
@@ -86,28 +88,26 @@ def runtimes_for_suite(relations: dict[str, DataFrame], suite: str) -> DataFrame
 
 @register_query("median_runtime")
 def median_runtime(relations: dict[str, DataFrame]) -> DataFrame:
-    """True median run time (ms) per experiment, which is a (suite, name), whatever ids it has."""
-    return exact_median(_named_times(relations), ["suite", "name"], "time")
+    """True median run time (ms) per experiment, which is a (suite, name), whatever ids it has. Reads the runs once."""
+    return median_of_counts(cut_lineage(_counted_times(relations)), ["suite", "name"], "time")
 
 
 @register_query("runtime_summary")
 def runtime_summary(relations: dict[str, DataFrame]) -> DataFrame:
     """Average, median, longest and shortest run time in seconds and the number of runs.
 
-    While no experiment has more runs than one task may hold, one pass over the runs computes everything. How
-    many the largest has is known from a count of ids before.
+    The runs are read once; all figures come from the counts of their times.
     """
-    times = _named_times(relations)
-    counts = times.groupBy("suite", "name").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.agg(F.max("n")).first()[0] or 0
+    times, by = cut_lineage(_counted_times(relations)), ["suite", "name"]
     folds = [
-        F.min("time").alias("min_time"), F.max("time").alias("max_time"), F.sum("time").alias("sum_time"),
-        F.count(F.lit(1)).alias("n_runs"),
+        F.min("time").alias("min_time"), F.max("time").alias("max_time"), F.sum(F.col("time") * F.col("n")).alias("sum_time"),
+        F.sum("n").alias("n_runs"),
     ]
+    largest = times.groupBy(*by).agg(F.count(F.lit(1)).alias("values")).agg(F.max("values")).first()[0] or 0
     if largest <= MAX_GROUP:
-        joined = times.groupBy("suite", "name").agg(*folds, F.median("time").alias("median"))
+        joined = times.groupBy(*by).agg(*folds, F.percentile("time", 0.5, F.col("n")).alias("median"))
     else:
-        joined = times.groupBy("suite", "name").agg(*folds).join(exact_median(times, ["suite", "name"], "time"), ["suite", "name"])
+        joined = times.groupBy(*by).agg(*folds).join(median_of_counts(times, by, "time"), by)
     seconds = F.lit(1000.0)
     average = F.round(F.col("sum_time") / F.col("n_runs") / seconds, 2).cast("decimal(18,2)")
     return joined.select(

@@ -72,3 +72,20 @@ def test_tier_members(spark, rows):
     items = spark.range(1, 12)
     found = design.tier_members(items, "id", 2)
     assert rows(found.groupBy("tier").count()) == [("all", 11), ("top002", 2), ("top004", 4), ("top008", 8)]
+
+
+def test_the_runs_are_scanned_once(spark, monkeypatch):
+    """Figures of all experiments come from one pass over the runs, and few jobs."""
+    from runlens.plans import analytics
+
+    read, whole = [], analytics.counted_values
+    monkeypatch.setattr(analytics, "counted_values", lambda df, *a: read.append(df) or whole(df, *a))
+    experiment = spark.createDataFrame([(1, "e", "s", "x")], "id int, name string, suite string, system string")
+    run = spark.createDataFrame([(i, 1, i, 0, i * i) for i in range(9)], "id int, experiment_id int, run int, exit int, time bigint")
+    relations = {"experiment": experiment, "experiment_run": run}
+    for name, column, want in (("runtime_summary", "median", 0.016), ("median_runtime", "median", 16.0)):
+        found = run_query(name, relations)
+        # the runs are not in the plan of the result: it reads the counts that were written
+        assert len(read) == 1 and "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.first()[column] == want
+        read.clear()

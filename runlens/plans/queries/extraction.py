@@ -7,6 +7,7 @@ from runlens.operators.extract import accepted, rejected
 from runlens.operators.extract.dstat import extract_samples
 from runlens.operators.extract.flink import extract_task_states
 from runlens.operators.extract.spark_tasks import extract_task_ends
+from runlens.operators.extract.table_functions import register_table_functions
 from runlens.operators.ordering import by_key, forward_fill, position_within
 from runlens.plans import adapters as a, etl
 from runlens.plans.catalog import query
@@ -37,6 +38,19 @@ def extract_flink_v2(t: a.Tables) -> DataFrame:
     return events.select("file", "name", "task", "task_instance", _at())
 
 
+@query(f"""SELECT 'jm-' || event_type AS file, event_id AS record_key, 'state_change_' || lower({sql.STATE}) AS name,
+       CASE WHEN event_id % 2 = 0 THEN event_type ELSE md5(CAST(event_id AS VARCHAR)) || ' (Map (' || event_type || '))' END AS task,
+       CAST(user_id AS INTEGER) AS task_instance, {sql.CSV_TIME} AS at
+FROM events WHERE event_id % 5 < 4""")
+def extract_by_table_function(t: a.Tables) -> DataFrame:
+    """Lines of both formats through the extractor's table function, in SQL."""
+    register_table_functions(t.spark)
+    value = F.when(F.col("event_id") % 2 == 0, a.flink_v1_line()).otherwise(a.flink_v2_line())
+    a.flink_lines(t, value).createOrReplaceTempView("job_manager_lines")
+    events = t.spark.sql("SELECT * FROM task_states(TABLE(job_manager_lines))")
+    return accepted(events).select("file", "record_key", "name", "task", "task_instance", _at())
+
+
 _TASKS = f"""SELECT 'app-' || event_type AS file, change AS name, 'stage-' || user_id || '#0' AS task,
        CAST(event_id % 2000000000 AS INTEGER) AS task_instance, event_id % 64 AS v_long,
        {sql.MILLIS} + CASE WHEN change = 'state_change_finished' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END AS at_ms

@@ -9,6 +9,7 @@ from runlens.plans.queries import sql
 from runlens.schemas import LISTENER_EVENT
 from runlens.session import work_path
 from runlens.sources import files as src
+from runlens.sources.checksums import tree_checksums
 from runlens.sources.event_csv import read_key_values
 from runlens.sources.files import scan_lines as read_lines
 
@@ -143,3 +144,18 @@ def checksum_files(t: a.Tables) -> DataFrame:
     path = work_path(t.spark, "sums")
     t.nation.select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("nation")).write.partitionBy("nation").text(path)
     return src.checksum_files(t.spark, path).select(F.element_at(F.split("path", "/"), -2).alias("folder"), "md5")
+
+
+@query("""WITH lines AS (SELECT o_orderkey // 1000 AS file, string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderstatus || chr(10), '' ORDER BY o_orderkey) AS text FROM orders GROUP BY 1),
+blocks AS (SELECT file, length(text) AS bytes, unnest(range(0, greatest((length(text) + 511) // 512, 1))) AS node, text FROM lines),
+level0 AS (SELECT file, bytes, count(*) OVER (PARTITION BY file) AS n, node, md5(substr(text, node * 512 + 1, 512)) AS h FROM blocks),
+level1 AS (SELECT file, bytes, n, node // 16 AS node, CASE WHEN n > 1 THEN md5(string_agg(h, '' ORDER BY node)) ELSE max(h) END AS h FROM level0 GROUP BY file, bytes, n, node // 16)
+SELECT file, bytes, n AS n_blocks, CASE WHEN n > 16 THEN md5(string_agg(h, '' ORDER BY node)) ELSE max(h) END AS md5 FROM level1 GROUP BY file, bytes, n""")
+def checksum_blocks(t: a.Tables) -> DataFrame:
+    """Files of a thousand orders, summed up in blocks of 512 bytes by trees of fan-out 16."""
+    path = work_path(t.spark, "block-sums")
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("o_orderkey", "o_custkey", "o_orderstatus")])
+    lines = t.orders.select(F.expr("o_orderkey div 1000").alias("file"), "o_orderkey", line.alias("value"))
+    lines.repartition("file").sortWithinPartitions("file", "o_orderkey").select("file", "value").write.partitionBy("file").text(path)
+    sums = tree_checksums(t.spark, path, block_bytes=512, fan=16)
+    return sums.select(F.regexp_extract("path", "file=([0-9]+)/", 1).cast("long").alias("file"), "bytes", "n_blocks", "md5")

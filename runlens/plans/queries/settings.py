@@ -62,3 +62,37 @@ def flatten_config(t: a.Tables) -> DataFrame:
         ).alias("customer")).alias("config"),
     )
     return config.flatten_config(nested, "config", ["c_custkey"], "customer")
+
+
+@query("""SELECT c_custkey, key, value FROM (
+  SELECT c_custkey, unnest(['name', 'home.nation', 'home."1"', 'balance']) AS key,
+         unnest([c_name, CAST(c_nationkey AS VARCHAR), CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END, CAST(c_custkey % 100 AS VARCHAR)]) AS value
+  FROM customer) WHERE value IS NOT NULL""")
+def flatten_environment(t: a.Tables) -> DataFrame:
+    """Settings as for environment files: numbers in keys stay quoted."""
+    home = F.struct(F.col("c_nationkey").alias("nation"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_mktsegment")).alias('"1"'))
+    tree = F.struct(F.struct(
+        F.struct(F.col("c_name").alias("_root_")).alias("name"), home.alias("home"), (F.col("c_custkey") % 100).alias("balance"),
+    ).alias("customer"))
+    return config.flatten_config(t.customer.select("c_custkey", tree.alias("config")), "config", ["c_custkey"], "customer", unquote=False)
+
+
+def _order_settings(t: a.Tables) -> DataFrame:
+    """Prices by priority, date and number of the order; a few rows set a priority itself, which is an object."""
+    by = F.concat(F.lit("orders."), "o_orderpriority")
+    deep = F.concat(by, F.lit('."'), F.col("o_orderdate").cast("string"), F.lit('".'), F.col("o_orderkey").cast("string"))
+    rows = t.orders.select("o_custkey", deep.alias("key"), F.col("o_totalprice").cast("string").alias("value"))
+    return rows.unionByName(t.orders.where("o_orderkey % 50 = 0").select("o_custkey", by.alias("key"), F.lit("x").alias("value")))
+
+
+@query("""SELECT o_custkey, 'orders.' || o_orderpriority || '.' || CASE WHEN contains(CAST(o_orderdate AS VARCHAR), '.') THEN '"' || o_orderdate || '"' ELSE CAST(o_orderdate AS VARCHAR) END || '.' || o_orderkey AS key,
+o_totalprice AS price FROM orders""")
+def nest_settings(t: a.Tables) -> DataFrame:
+    """Dotted settings put together as one object per customer, and taken apart again."""
+    trees, _ = config.nest_config(_order_settings(t), "o_custkey")
+    return config.unnest_config(trees, "o_custkey").select("o_custkey", "key", F.col("value").cast("double").alias("price"))
+
+
+@query("""SELECT o_custkey, 'orders.' || o_orderpriority AS key, 'a value and an object' AS reason FROM orders WHERE o_orderkey % 50 = 0 GROUP BY ALL""")
+def nest_rejects(t: a.Tables) -> DataFrame:
+    return config.nest_config(_order_settings(t), "o_custkey")[1]

@@ -3,10 +3,13 @@
 The type of the model file says what its ids are.
 
 **BPE.** Merges are replayed: of all neighbours that join to a piece, those of the highest score are joined first, the
-leftmost of equal ones. Neither scores nor order add up along a path, so no max-plus scan gives these ids. But two characters that
-are next to each other in no piece are never joined, and what happens between two such places depends on nothing
-outside. Texts are cut there, and chunks end at the first such place after their nominal end. A stretch without such a place
-(letters without blanks, mostly) is replayed in one task, in n log n steps and some 60 bytes a character, however long.
+leftmost of equal ones. Two characters that are next to each other in no piece are never joined, so texts are cut there and
+the parts replayed. A giant document goes through the scan below: a segmentation is the one of the merges exactly if any two neighbouring
+pieces, taken as a text, encode as these two (``fits``). For the first merge over a boundary is, in the whole text as in the
+two pieces, the first in order of what can be joined there, after the same merges inside them. That is a max-plus system
+with the weights 0 (they fit) and minus infinity over states (characters since the last boundary, length of the piece
+before it); from the begin of the text there is one path to each boundary at most. Transfer matrices are sparse and
+hold their finite entries only.
 
 **Unigram.** Encoding is the segmentation of largest total score under the model's pieces and scores. Best scores follow a
 recurrence that reaches back as far as the longest piece has characters (``width``), so what a chunk needs from
@@ -133,6 +136,7 @@ class Model:
         order = {x: n for n, x in enumerate(sorted({scores[i] for i in usable}, reverse=True))}
         self.rank = {pieces[i]: order[scores[i]] for i in usable if len(pieces[i]) > 1} if self.merges else {}
         self.never = len(order)
+        self.fitting: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
 
@@ -151,6 +155,37 @@ class Model:
                 self._relax(text, start, best, back, low, high)
         return back
 
+    def fits(self, left: str, right: str) -> bool:
+        """Whether the merges leave two pieces as they are; a single piece if ``left`` is empty."""
+        found = self.fitting.get((left, right))
+        if found is None:
+            want = [0, len(left), len(left) + len(right)] if left else [0, len(right)]
+            found = self._merged_ends(left + right) == want
+            if len(self.fitting) < CACHED_UNITS:
+                self.fitting[left, right] = found
+        return found
+
+    def follow(self, text: str, low: int, high: int, states: dict[int, dict[int, int]]) -> None:
+        """Add boundaries low < p <= high to ``states``: boundary to lengths of the piece before it, each with a set of origins (bits).
+
+        A length of 0 stands for a boundary that is certain, so that any piece fits after it.
+        """
+        score_of = self.prefix_score
+        for start in [*sorted(p for p in states if p <= low), *range(low + 1, high)]:
+            if not (here := states.get(start)):
+                continue
+            end, score = start + 1, 0
+            while end <= high and score is not None:
+                if end > low and (end == start + 1 or score > NONE):
+                    piece, origins = text[start:end], 0
+                    for length, bits in here.items():
+                        if bits & ~origins and self.fits(text[start - length : start], piece):
+                            origins |= bits
+                    if origins:
+                        states.setdefault(end, {})[end - start] = origins
+                end += 1
+                score = score_of.get(text[start:end])
+
     def _relax(self, text, start, best, back, low, high):
         """Try all pieces that begin at ``start``; a character without a piece is unknown."""
         value, score_of, end = best[start], self.prefix_score, start + 1
@@ -307,16 +342,6 @@ class Model:
 
     # -- chunks ------------------------------------------------------------------------------
 
-    def certain_cuts(self, text: str, places: list[int]) -> list[int]:
-        """The first certain boundary at or after each of some ascending places."""
-        inside, out, at = self.inside, [], 0
-        for place in places:
-            at = max(at, place)
-            while 0 < at < len(text) and text[at - 1 : at + 1] in inside:
-                at += 1
-            out.append(at)
-        return out
-
     def cuts(self, text: str, lead: int) -> tuple[int, int] | None:
         """First and last place at or after ``lead`` where a boundary is certain."""
         if not self.separable:
@@ -329,6 +354,41 @@ class Model:
             last -= 1
         return first, max(first, last)
 
+    def transfer(self, text: str, lead: int) -> np.ndarray:
+        """What ``matrix`` is for BPE models: (boundary, length) before text[lead:] to (boundary, length) before its end, four numbers each.
+
+        ``text`` begins with the 2 * width - 1 characters before, if there are as many.
+        """
+        w, n, cut = self.width, len(text), self.cuts(text, lead)
+        entries, states = [], {}
+        for s in range(min(w - 1, lead) + 1):
+            at = lead - s
+            for length in range(min(w, at) + 1):
+                piece = text[at - length : at]
+                if length < 2 or piece in self.rank and self.fits("", piece):
+                    states.setdefault(at, {})[length] = 1 << len(entries)
+                    entries.append((s, length))
+        if not cut:
+            self.follow(text, lead, n, states)
+            ends = [(bits, n - p, m) for p, d in states.items() if p > lead and n - p < w for m, bits in d.items()]
+        else:
+            if cut[0] > lead:
+                self.follow(text, lead, cut[0], states)
+            through = 0
+            for bits in states.get(cut[0], {}).values():
+                through |= bits
+            tail = {cut[1]: {0: 1}}
+            self.follow(text, cut[1], n, tail)
+            ends = [(through, n - p, m) for p, d in tail.items() if n - p < w for m in d]
+        return np.array([[*e, t, m] for bits, t, m in ends for i, e in enumerate(entries) if bits >> i & 1], np.float64).reshape(-1, 4)
+
+    def _backs(self, text: str, low: int, high: int, best: dict) -> dict[int, int]:
+        """Where every boundary came from; ``best`` gets the boundaries that are reached."""
+        if not self.merges:
+            return self.forward(text, low, high, best)
+        self.follow(text, low, high, best)
+        return {p: p - next(iter(d)) for p, d in best.items() if p > low}
+
     def matrix(self, text: str, lead: int) -> np.ndarray:
         """Max-plus matrix of text[lead:]; text[:lead] is what precedes it, ``width`` - 1 characters at most.
 
@@ -361,16 +421,21 @@ class Model:
     def walk(self, text: str, lead: int, entry: np.ndarray, exits: list[int]) -> list[list[int]]:
         """Boundaries of the best paths to every exit (characters before the end), from the entry boundary on."""
         n, cut = len(text), self.cuts(text, lead)
-        start = {lead - s: entry[s] for s in range(len(entry)) if entry[s] > NONE and lead - s >= 0}
+        if self.merges:
+            start = {lead - s: {int(m): 1} for s, m in enumerate(entry) if m >= 0 and lead - s >= 0}
+            certain = {0: 1}
+        else:
+            start = {lead - s: entry[s] for s in range(len(entry)) if entry[s] > NONE and lead - s >= 0}
+            certain = 0
         if not cut:
             best = dict(start)
-            back = self.forward(text, lead, n, best)
+            back = self._backs(text, lead, n, best)
             return [_path(back, n - t, lead) if n - t in back else [] for t in exits]
         head = dict(start)
-        back = self.forward(text, lead, cut[0], head) if cut[0] > lead else {}
+        back = self._backs(text, lead, cut[0], head) if cut[0] > lead else {}
         begin = _path(back, cut[0], lead)
-        tail = {cut[1]: 0}
-        after = self.forward(text, cut[1], n, tail)
+        tail = {cut[1]: certain}
+        after = self._backs(text, cut[1], n, tail)
         return [begin + [-1] + _path(after, n - t, cut[1]) if n - t in tail else [] for t in exits]
 
     def encode_chunk(self, text: str, lead: int, entry: np.ndarray, exit_state: int) -> bytes:
@@ -419,6 +484,26 @@ def _apply(vector: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (vector[:, None] + m).max(axis=0)
 
 
+def _sparse_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of ``transfer`` matrices: their finite entries are 0, so it holds the pairs that meet."""
+    left, right = ({} for _ in range(2))
+    for *e, t, m in a.reshape(-1, 4).tolist():
+        left.setdefault((t, m), []).append(e)
+    for *e, t, m in b.reshape(-1, 4).tolist():
+        right.setdefault(tuple(e), []).append([t, m])
+    met = {(*e, *x) for k in left.keys() & right.keys() for e in left[k] for x in right[k]}
+    return np.array(sorted(met), np.float64).ravel()
+
+
+def _sparse_apply(vector: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Length of the piece before each boundary, -1 if that is none."""
+    out = np.full(len(vector), -1.0)
+    for s, length, t, after in m.reshape(-1, 4).tolist():
+        if vector[int(s)] == length:
+            out[int(t)] = after
+    return out
+
+
 def _chain(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Maps are looked up: a state goes through ``first``, then ``second``."""
     return np.where(first >= 0, second[np.maximum(first, 0).astype(int)], -1)
@@ -480,10 +565,9 @@ def _chunk_rows(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = m.normal(body.decode("utf-8", "replace"))
                 starts = range(0, len(text), chunk)
-                cuts = m.certain_cuts(text, [*starts, len(text)]) if m.merges else []
                 for n, at in enumerate(starts):
-                    lead = 0 if m.merges else min(at, m.width - 1)
-                    part = text[cuts[n] : cuts[n + 1]] if m.merges else text[at - lead : at + chunk]
+                    lead = min(at, 2 * m.width - 1 if m.merges else m.width - 1)
+                    part = text[at - lead : at + chunk]
                     yield pa.RecordBatch.from_pylist(
                         [{"a": key["a"], "b": key["b"], "n": n, "last": len(starts) - 1, "lead": lead, "text": part}],
                         schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("lead", pa.int32()), ("text", pa.string())]),
@@ -511,14 +595,17 @@ def _per_chunk(chunks: DataFrame, path: str, work: Callable, kind: str) -> DataF
 
 
 def _scanned_ids(long: DataFrame, path: str, width: int, chunk: int, fan: int) -> DataFrame:
-    """``__key``, ids, n_chunks of documents that are cut into chunks. Runs jobs for unigram models."""
+    """``__key``, ids, n_chunks of documents that are cut into chunks. Runs jobs."""
     spread = _chunk_rows(long.dropDuplicates([_KEY]), path, chunk).repartition("a", "b", "n")
-    if model(path).merges:
-        return _joined(_per_chunk(spread, path, lambda m, r: list(array("I", m.encode(r["text"]))), "int"))
+    merges = model(path).merges
     chunks = table(spread, "chunks")
-    matrices = table(_per_chunk(chunks, path, lambda m, r: m.matrix(r["text"], r["lead"]).ravel().tolist(), "double"), "matrices")
-    first = [0.0] + [NONE] * (width - 1)
-    entry = table(scan(matrices, first, _times, _apply, True, fan), "entries")
+    if merges:
+        matrices = _per_chunk(chunks, path, lambda m, r: m.transfer(r["text"], r["lead"]).ravel().tolist(), "double")
+        first, rule = [0.0] + [-1.0] * (width - 1), (_sparse_times, _sparse_apply, False)
+    else:
+        matrices = _per_chunk(chunks, path, lambda m, r: m.matrix(r["text"], r["lead"]).ravel().tolist(), "double")
+        first, rule = [0.0] + [NONE] * (width - 1), (_times, _apply, True)
+    entry = table(scan(table(matrices, "matrices"), first, *rule, fan), "entries")
     entered = table(chunks.join(entry, ["a", "b", "n"]), "entered")
     maps = _per_chunk(entered, path, lambda m, r: [float(x) for x in m.entries(r["text"], r["lead"], np.asarray(r["state"]))], "double")
     # from the right: the exit boundary of a chunk is the entry boundary of the next one
@@ -569,7 +656,7 @@ def int_lists(packed: list[bytes]) -> pa.ListArray:
 def encode(
     docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id", chunk_chars: int = CHUNK_CHARS, fan: int = FAN
 ) -> DataFrame:
-    """All columns of ``docs``, and ``ids`` (array<int>) and ``n_chunks``. Runs jobs for long documents of unigram models."""
+    """All columns of ``docs``, and ``ids`` (array<int>) and ``n_chunks``. Runs jobs for long documents."""
     m = model(path)
     if chunk_chars < m.width:
         raise ValueError(f"chunks must be as long as the longest piece, {m.width} characters")

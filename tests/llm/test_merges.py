@@ -79,3 +79,28 @@ def test_chunks_of_a_unigram_model(spark, odd, tmp_path, chunk, fan):
     texts = [None, *TEXTS, "the quick brown fox. " * 20, "nospaceatall" * 30]
     got = sentencepiece_scan.encode(odd(*texts), str(path), chunk_chars=chunk, fan=fan).collect()
     assert {r.doc_id: r.ids for r in got} == {i: list(array("I", model.encode(model.normal(t or "")))) for i, t in enumerate(texts)}
+
+
+def test_letters_without_blanks_in_many_chunks(spark, library):
+    """A million letters that no certain boundary cuts: every chunk needs the ones before it."""
+    rnd = random.Random(7)
+    words = ["the", "ing", "tion", "er", "an", "s", "q", "re", "straße", "x"]
+    text = "".join(rnd.choice(words) for _ in range(400_000))[:1_000_000]
+    docs = spark.createDataFrame([(1, text), (2, "x" * 100_000)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in sentencepiece_scan.encode(docs, tokenizer_path(PIECES), chunk_chars=8_192, fan=16).collect()}
+    assert got[1].n_chunks == 123 and got[2].n_chunks == 13
+    for i, t in ((1, text), (2, "x" * 100_000)):
+        assert got[i].ids == library.encode(t)
+
+
+def test_neighbours_tell_the_merges(library, model):
+    """The merges' pieces fit their neighbours, and from the begin no boundary has two pieces before it."""
+    rnd = random.Random(3)
+    for t in [*TEXTS, *("".join(rnd.choice("abetn re") for _ in range(rnd.randint(1, 120))) for _ in range(50))]:
+        normal, states = model.normal(t), {0: {0: 1}}
+        model.follow(normal, 0, len(normal), states)
+        assert all(len(d) == 1 for d in states.values())
+        ends = [len(normal)]
+        while ends[-1]:
+            ends.append(ends[-1] - next(iter(states[ends[-1]])))
+        assert list(array("I", model.ids(normal, ends[::-1]))) == library.encode(t), t

@@ -22,6 +22,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -99,12 +100,15 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """doc_id and ids (array<int>)."""
+def encode_texts(
+    docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, text: str = "text", id_column: str = "doc_id", cuts: list[int] | None = None
+) -> DataFrame:
+    """doc_id and ids (array<int>); with ``cuts`` also ``file``, how many of these ascending ids are below the document's."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
         end = b"" if end_id is None else array("I", [end_id]).tobytes()
+        bounds = None if cuts is None else np.array(cuts, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -113,12 +117,14 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, t
                 offsets = [0]
                 for p in packed:
                     offsets.append(offsets[-1] + len(p) // 4)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], names=["doc_id", "ids"]
-                )
+                columns = {"doc_id": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)}
+                if bounds is not None:  # nulls come first, in the first file
+                    ids = part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                    columns["file"] = pa.array(np.searchsorted(bounds, ids).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     body = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_bytes(text).alias("body"))
-    return body.mapInArrow(rows, "doc_id bigint, ids array<int>")
+    return body.mapInArrow(rows, "doc_id bigint, ids array<int>" + ("" if cuts is None else ", file int"))
 
 
 def _bounds(ids: DataFrame, files: int) -> list[int]:
@@ -130,23 +136,22 @@ def _bounds(ids: DataFrame, files: int) -> list[int]:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, text: str = "text", id_column: str = "doc_id", files: int | None = None) -> None:
     """Write ``path``/tokens (ORC, one file per range of ids) and ``path``/files (ids per file). Runs jobs.
 
-    Ranges come from the ids alone, so texts are read once and encoded once.
+    Ranges come from the ids alone, so texts are read once and encoded once. What is there is replaced, so a job that was cut
+    short can be done again.
     """
     spark = docs.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = _bounds(docs.select(F.col(id_column).cast("long").alias("doc_id")), n)
-    encoded = encode_texts(docs, tokenizer_path, end_id, text, id_column)
-    # nulls come first, in the first file
-    number = F.coalesce(sum((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(0)) if cuts else F.lit(0)
-    dealt = encoded.withColumn("file", number.cast("int")).repartitionById(len(cuts) + 1, "file")
+    encoded = encode_texts(docs, tokenizer_path, end_id, text, id_column, cuts)
+    dealt = encoded.repartitionById(len(cuts) + 1, "file")
     inside = Window.partitionBy("file").orderBy("doc_id", "ids").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("at", F.coalesce(F.sum(F.size("ids").cast("long")).over(inside), F.lit(0)))
     with shuffle_files_dropped(spark):
-        placed.write.options(**ORC).partitionBy("file").orc(f"{path}/tokens")
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "static").options(**ORC).partitionBy("file").orc(f"{path}/tokens")
     totals = read_tokens(spark, path).groupBy("file").agg(F.max(F.col("at") + F.size("ids")).alias("n_ids"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("file", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("before"))
-    before.coalesce(1).write.orc(f"{path}/files")
+    before.coalesce(1).write.mode("overwrite").orc(f"{path}/files")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -62,6 +62,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     return placed.select("source", "source_size", target.alias("target"))
 
 
+def _shuffled(seed: str, text: str, id_column: str) -> Column:
+    """Place in the shuffled order of a source. The text counts as well: rows without an id, or of one id, are spread too."""
+    name, body = F.coalesce(F.col(id_column).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name, F.lit(":"), F.md5(body.cast("binary"))).cast("binary"))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -78,11 +84,11 @@ def mix(
             F.col(id_column).alias("doc_id"),
             "source",
             word_count(text).alias("size"),
-            F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_column).cast("string"), F.lit("-"))).cast("binary")).alias("shuffled"),
+            _shuffled(seed, text, id_column).alias("shuffled"),
         ),
         "sizes",
     )
-    timed = table(_finish_times(sizes, weights, share), "finish-times")
+    timed = table(_finish_times(sizes, weights, share, float(copies)), "finish-times")
     last = _last_served(timed, copies, share)
     served = sum(
         (F.when(_ticket(k) <= F.col("last"), 1).otherwise(0) for k in range(1, copies)),
@@ -109,7 +115,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
-def _finish_times(sizes: DataFrame, weights: Sequence[int], share: float) -> DataFrame:
+def _finish_times(sizes: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
     n = sizes.count()
     digits = 0
     while n > CHUNK_ROWS * 16**digits:
@@ -122,7 +128,7 @@ def _finish_times(sizes: DataFrame, weights: Sequence[int], share: float) -> Dat
     totals = chunked.groupBy(part).agg(F.sum("size").alias("total"))
     earlier = Window.partitionBy("part.source").orderBy("part.chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
-    wide = source_targets(sizes, weights, share, 2.0).select(F.struct("source").alias("named"), "source_size", "target")
+    wide = source_targets(sizes, weights, share, most).select(F.struct("source").alias("named"), "source_size", "target")
     placed = rows.join(before, "part").withColumn("named", F.struct(F.col("part.source").alias("source")))
     joined = placed.join(broadcast_if_small(table(wide, "targets")), "named")
     words = (F.col("words") + F.col("before")).alias("words")

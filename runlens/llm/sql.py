@@ -78,7 +78,7 @@ SQL = {
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op7_fair_mix": f"""
         WITH sizes AS (
-            SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '-')) AS shuffled FROM documents
+            SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, ''))) AS shuffled FROM documents
         ), weighed AS (
             SELECT *, most / weight AS full_at FROM (
                 SELECT source, sum(size)::BIGINT AS source_size, sum(size) * 2.0::DOUBLE AS most,

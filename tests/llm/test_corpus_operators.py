@@ -313,3 +313,20 @@ def test_stages_work_on_what_was_kept(spark, odd):
     last = corpus_pipeline.STAGES[-1][1](spark, kept[3], "").collect()
     assert Counter(r.doc_id for r in last) == times and all(r.n_tokens == len(r.ids) > 0 for r in last)
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_rows_without_ids_are_shuffled_by_their_texts(spark, monkeypatch):
+    """A third of the rows and more without an id, or of one id, fill many chunks, not one."""
+    monkeypatch.setattr(fair_mix, "CHUNK_ROWS", 100)
+    n = 6_000
+    docs = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, F.when(F.col("id") % 4 == 0, F.lit(7).cast("long"))).otherwise(F.col("id")).alias("doc_id"),
+        F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"),
+    )
+    sizes = docs.select(F.lit("k").alias("key"), "doc_id", "source", F.lit(3).cast("long").alias("size"), fair_mix._shuffled("mix", "text", "doc_id").alias("shuffled"))
+    parts = sizes.groupBy(F.substring("shuffled", 1, 2)).count().collect()
+    assert len(parts) > 200 and max(r["count"] for r in parts) < 100
+    out = fair_mix.mix(docs)
+    assert out.count() == n and out.agg(F.sum("taken")).first()[0] <= 1.5 * 3 * n
+    three = fair_mix.mix(docs, copies=3, share=2.5)
+    assert three.agg(F.max("target")).first()[0] == 2.5 * 3 * n and {r.copies for r in three.collect()} == {2, 3}

@@ -2,8 +2,8 @@
 
 A rule rejects a document by a condition over features of its text. Features are built on demand, in
 stages: what a rule does not need is not computed for a document that an earlier rule has rejected.
-Cost (work units per document, from the declared unit costs of the features a rule needs) and
-selectivity (share rejected) are measured on a sample, and rules run in order of rejections per cost.
+The cost of each feature (seconds that it takes on a sample, beyond those of reading it) and the
+selectivity of each rule (share rejected) are measured on that sample, and rules run in order of rejections per cost.
 The order changes the work, never the verdict, which is the conjunction of all rules.
 
 Defined cases: null text has no words; it fails the word count rule. Repeated rows are judged alike. An
@@ -13,17 +13,20 @@ like a feature or like ``kept`` are replaced by the computed ones.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from runlens.functions.once import evaluated
-from runlens.llm.common import WORD
+from runlens.llm.common import WORD, table
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
 SAMPLE_ROWS = 2000
+#: Seconds below which the clock tells nothing.
+LEAST_COST = 0.001
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -46,10 +49,6 @@ RULES = (
 )
 BASE = RULES[:2]
 
-#: Work units per character of text, relative to one pass of a regular expression.
-UNIT_COST = {"n_words": 1.0, "word_chars": 1.0, "n_symbols": 1.0, "n_lines": 1.5, "n_dup_lines": 2.0, "n_repeat_words": 8.0}
-
-
 def _body(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
@@ -118,30 +117,43 @@ def _without_features(df: DataFrame) -> DataFrame:
     return df.drop(*FEATURES)
 
 
+def _seconds(rows: DataFrame) -> float:
+    """Time to compute all columns of some rows; the shorter of two runs, as the first one compiles."""
+    spent = []
+    for _ in range(2):
+        began = time.perf_counter()
+        rows.write.format("noop").mode("overwrite").save()
+        spent.append(time.perf_counter() - began)
+    return min(spent)
+
+
+def feature_costs(sample: DataFrame, text: str, features: Sequence[str]) -> dict[str, float]:
+    """Seconds that each feature takes on a sample that was written. Runs jobs."""
+    idle = _seconds(sample.select(F.char_length(_body(text)).alias("n")))
+    return {f: max(_seconds(add_feature(sample, f, text).select(f)) - idle, LEAST_COST) for f in features}
+
+
 def order_rules(docs: DataFrame, text: str, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejected share per work unit, most first; both averaged over a sample. Runs a job.
+    """Rules by rejected share per second, most first; both measured on a sample. Runs jobs.
 
     A feature that an earlier rule has computed costs nothing more, so rules are picked one by one.
     """
     n = docs.count()
-    rows = _without_features(docs.select(text))
-    rows = rows.sample(min(1.0, sample_rows / n), seed=7) if n > sample_rows else rows
-    for name in FEATURES:
-        if any(name in r.needs for r in rules):
-            rows = add_feature(rows, name, text)
-    measured = rows.agg(
-        F.avg(F.char_length(_body(text)) + F.lit(1)).alias("chars"),
-        *[F.avg(F.expr(r.fails).cast("double")).alias(f"r{i}") for i, r in enumerate(rules)],
-    ).first()
-    if measured["chars"] is None:
+    rows = docs.select(F.col(f"`{text}`").alias("__text"))
+    sample = table(rows.sample(min(1.0, sample_rows / n), seed=7) if n > sample_rows else rows, "sample")
+    features = [f for f in FEATURES if any(f in r.needs for r in rules)]
+    costs, measured = feature_costs(sample, "__text", features), sample
+    for name in features:
+        measured = add_feature(measured, name, "__text")
+    shares = measured.agg(*[F.avg(F.expr(r.fails).cast("double")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
+    if shares is None or shares["r0"] is None:
         return list(rules)
     left, known, ordered = list(enumerate(rules)), set(), []
     while left:
 
         def gain(entry):
             i, rule = entry
-            cost = sum(UNIT_COST[f] for f in rule.needs if f not in known) * measured["chars"]
-            return measured[f"r{i}"] / (cost + 1.0)
+            return shares[f"r{i}"] / (sum(costs[f] for f in rule.needs if f not in known) + LEAST_COST)
 
         best = max(left, key=gain)
         left.remove(best)
@@ -156,16 +168,18 @@ def cascade(
     rules: Sequence[Rule] = RULES,
     sample_rows: int = SAMPLE_ROWS,
     measured: Sequence[str] = (),
+    sample_of: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``kept`` (boolean) and ``rejected_by`` (the first rule in running order that fails, or null).
 
-    ``measured`` names features that ``docs`` already has as columns. Runs jobs on a sample.
+    ``measured`` names features that ``docs`` already has as columns; rules are then ordered on ``sample_of``, the documents
+    without them, so that no feature is computed for the sample's sake. Runs jobs on a sample.
     """
     columns = [c for c in docs.columns if c not in ("kept", "rejected_by")]
     named = {c: c if c in measured else f"c{i}" for i, c in enumerate(columns)}
     out = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], F.lit(None).cast("string").alias("__by"))
     known = set(measured)
-    for rule in order_rules(docs, text, rules, sample_rows):
+    for rule in order_rules(docs if sample_of is None else sample_of, text, rules, sample_rows):
         going_on = F.col("__by").isNull()
         for feature in rule.needs:
             if feature not in known:

@@ -126,7 +126,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     measured = quality.with_features(docs)
     failed = F.expr(" or ".join(f"({r.fails})" for r in quality.BASE))
-    return quality.cascade(measured, measured=quality.FEATURES).select(
+    return quality.cascade(measured, measured=quality.FEATURES, sample_of=docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept"
     )
 

@@ -138,6 +138,25 @@ def test_cheap_and_selective_rules_run_first(odd):
     assert [r.name for r in quality.order_rules(docs.limit(0), "text", quality.RULES)] == [r.name for r in quality.RULES]
 
 
+def test_costs_are_measured_and_set_the_order(spark, odd, monkeypatch):
+    docs = odd(*[PROSE + " # | $ % & * < >", "short"] * 5, *[PROSE] * 10)
+    monkeypatch.setattr(quality, "feature_costs", lambda sample, text, names: dict.fromkeys(names, 1.0) | {"n_words": 50.0})
+    names = [r.name for r in quality.order_rules(docs, "text", quality.RULES[:1] + quality.RULES[3:4])]
+    # both need the words; the symbols cost more on top, and half of their rejections are as many
+    assert names == ["few_words", "symbols"]
+    monkeypatch.undo()
+    costs = quality.feature_costs(odd(*[PROSE * 40] * 200).select("text").repartition(1), "text", ["n_symbols", "n_repeat_words"])
+    assert costs["n_repeat_words"] > costs["n_symbols"] >= quality.LEAST_COST
+
+
+def test_the_sample_computes_no_feature_of_all_rows(odd, monkeypatch):
+    docs, seen = odd(PROSE, "short"), []
+    whole = quality.order_rules
+    monkeypatch.setattr(quality, "order_rules", lambda d, *a: seen.append(d) or whole(d, *a))
+    quality.cascade(quality.with_features(docs), measured=quality.FEATURES, sample_of=docs)
+    assert seen == [docs]
+
+
 # -- token files ---------------------------------------------------------------------------------
 
 
@@ -166,6 +185,23 @@ def test_files_hold_ascending_ranges_and_are_pruned(spark, odd, tmp_path):
     assert "EqualTo(doc_id,7)" in plan
 
 
+def test_thousands_of_files_written_twice(spark, tmp_path):
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(docs.where("doc_id < 50"), path, tokenizer_path(), files=3)
+    token_files.write_tokens(docs.where("doc_id % 100 = 0"), path, tokenizer_path(), files=3_000)
+    rows = token_files.with_starts(spark, path).orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows] == list(range(0, 4_000, 100)) and [r.start for r in rows] == [sum(len(x.ids) for x in rows[:i]) for i in range(40)]
+    assert len(token_files._bounds(docs, 3_000)) > 2_500
+
+
+def test_documents_of_one_id_share_a_file(spark, odd, tmp_path):
+    path = str(tmp_path / "tokens")
+    token_files.write_tokens(odd("b c d", "a", "a", "x", ids=[5, 5, 5, 6]), path, tokenizer_path(), files=4)
+    rows = token_files.with_starts(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [5, 5, 5, 6] and len({r.file for r in rows[:3]}) == 1 and rows[0].ids == rows[1].ids
+
+
 def test_token_files_of_no_documents(spark, empty, tmp_path):
     path = str(tmp_path / "none")
     token_files.write_tokens(empty, path, tokenizer_path())

@@ -2,10 +2,17 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents.
 Rows are documents; mixing returns a document once for each time it is taken.
+
+Defined cases, in all stages: an empty table gives an empty one. Columns of documents come through under their names with
+their values, also if an operator makes a column of that name. Null texts are empty ones: they fail the quality rules. Rows that agree in id and text
+are one document from the n-gram join on, before it they are judged one by one, alike. Of linked documents with equal or null ids the one of the smallest
+row key stays. A document that loses all its lines stays as an empty one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runlens.llm import fair_mix, line_dedup, ngram_join, quality, sentencepiece_scan
@@ -13,24 +20,36 @@ from runlens.llm.common import documents, row_key, table
 from runlens.llm.queries import PIECES, tokenizer_path
 
 
+def _set_aside(docs: DataFrame, made: Iterable[str]) -> DataFrame:
+    """Columns that are called like what an operator makes, out of its way."""
+    return docs.withColumnsRenamed({c: f"__given_{c}" for c in docs.columns if c in made})
+
+
+def _as_given(done: DataFrame, docs: DataFrame, made: Iterable[str]) -> DataFrame:
+    return done.select(*[F.col(f"`__given_{c}`" if c in made else f"`{c}`").alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return quality.cascade(docs).where("kept").select(*docs.columns)
+    made = ("kept", "rejected_by", *quality.FEATURES)
+    return _as_given(quality.cascade(_set_aside(docs, made)).where("kept"), docs, made)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in ten documents or more go; ``n_chars`` follows the text."""
-    kept = line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=1)
+    made = ("n_lines", "n_dropped")
+    kept = _as_given(line_dedup.drop_frequent_lines(_set_aside(docs, made), min_docs=10, min_chars=1), docs, made)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast("long"))
-    return kept.select(*docs.columns)
+    return kept
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays, that of the smallest id, also if ids are null or tied; documents without words stay."""
-    joined = ngram_join.jaccard_components(docs, first="__first").where("__first")
+    made = ("n_shingles", "component_id")
+    joined = ngram_join.jaccard_components(_set_aside(docs, made), first="__first").where("__first")
     # rows that agree in id and text are one document
-    return joined.withColumn("__key", row_key()).dropDuplicates(["__key"]).select(*docs.columns)
+    return _as_given(joined.withColumn("__key", row_key()).dropDuplicates(["__key"]), docs, made)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ HEADLINE = [
     "tier_members",
 ]
 # Long jobs that write: one warm-up, one run.
-WRITING = ["all_events", "suite_refresh", "store_append", "stream_extract"]
+WRITING = ["all_events", "suite_refresh", "store_append", "stream_extract", "derived_host_use", "derived_task_durations", "checksum_blocks"]
 RUNS = 3
 WORDS = 10_000_000
 PAIRS = 20_000_000

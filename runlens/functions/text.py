@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -42,20 +42,37 @@ def template_keys(template: Column) -> Column:
     return F.array_distinct(F.transform(marked, lambda m: F.regexp_replace(m, r"^(?:__|\$\{)|(?:__|\})$", "")))
 
 
-def substitute(template: Column, values: Mapping[str, Column]) -> Column:
-    """Replace every ``__key__`` and ``${key}`` by its value, in one pass: values are not searched for keys."""
-    # the text is cut at every mark of a known key; the pieces alternate with the keys that stood between them
-    known = "|".join(re.escape(k) for k in sorted(values, key=len, reverse=True))
+def cut_template(template: Column, keys: Sequence[str]) -> Column:
+    """(pieces, keys): a template cut at every mark of a known key, and the numbers of the keys between the pieces.
+
+    Cut once, a template is filled as often as needed (``fill_template``).
+    """
+    known = "|".join(re.escape(k) for k in sorted(keys, key=len, reverse=True))
     if not known:
-        return template
+        return F.struct(F.array(template).alias("pieces"), F.array().cast("array<int>").alias("keys"))
     mark = rf"__(?:{known})__|\$\{{(?:{known})\}}"
-    pieces = F.split(template, mark)
-    keys = F.transform(F.regexp_extract_all(template, F.lit(mark), F.lit(0)), lambda m: F.regexp_replace(m, r"^(?:__|\$\{)|(?:__|\})$", ""))
-    named = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))])
-    filled = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(named, F.get(keys, i)), F.lit(""))))
+    marks = F.regexp_extract_all(template, F.lit(mark), F.lit(0))
+    names = F.transform(marks, lambda m: F.regexp_replace(m, r"^(?:__|\$\{)|(?:__|\})$", ""))
+    order = F.array(*[F.lit(k) for k in keys])
+    numbers = F.transform(names, lambda n: (F.array_position(order, n) - 1).cast("int"))
+    return F.struct(F.split(template, mark).alias("pieces"), numbers.alias("keys"))
+
+
+def fill_template(cut: Column, values: Sequence[Column]) -> Column:
+    """A cut template with its keys' values, in the order in which the keys were given; values are not searched for keys."""
+    pieces, numbers = cut["pieces"], cut["keys"]
+    if not values:
+        return F.get(pieces, F.lit(0))
+    given = F.array(*[F.coalesce(v.cast("string"), F.lit("")) for v in values])
+    filled = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(given, F.get(numbers, i)), F.lit(""))))
     return F.array_join(filled, "")
 
 
+def substitute(template: Column, values: Mapping[str, Column]) -> Column:
+    """Replace every ``__key__`` and ``${key}`` by its value, in one pass."""
+    return fill_template(cut_template(template, list(values)), list(values.values()))
+
+
 def unknown_keys(template: Column, values: Mapping[str, Column]) -> Column:
     """Keys that a template names and nothing fills."""
     return F.array_except(template_keys(template), F.array(*[F.lit(k) for k in values]).cast("array<string>"))

@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from runlens.functions.text import substitute, unknown_keys
+from runlens.functions.text import cut_template, fill_template, unknown_keys
 from runlens.operators.ordering import by_key, by_range, position_within
 from runlens.session import cut_lineage
 
@@ -25,12 +25,11 @@ ValueList = Sequence[Any] | DataFrame
 def indexed_values(df: DataFrame, column: str) -> DataFrame:
     """(index, value): the distinct values of a column, numbered from 0 in order. Runs jobs."""
     values = cut_lineage(df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct())
-    if values.count() <= SINGLE_TASK_ROWS:
-        numbered = values.select((F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("index"), "value")
-    else:
-        placed = position_within(by_range(values, ["value"]), [], ["value"], "__p")
-        numbered = placed.select((F.col("__p") - 1).alias("index"), "value")
-    return numbered
+    n = values.count()
+    if n <= SINGLE_TASK_ROWS:
+        return values.select((F.row_number().over(Window.orderBy("value")) - 1).cast("long").alias("index"), "value")
+    placed = position_within(by_range(values, ["value"], rows=n), [], ["value"], "__p")
+    return placed.select((F.col("__p") - 1).alias("index"), "value")
 
 
 def _sizes(parameters: Mapping[str, ValueList]) -> dict[str, int]:
@@ -80,26 +79,33 @@ def grid_zipped(spark: SparkSession, parameters: Mapping[str, ValueList]) -> Dat
     return points
 
 
-def expand(
-    prototypes: DataFrame, parameters: Mapping[str, ValueList], template: str, out: str = "experiment"
-) -> tuple[DataFrame, DataFrame]:
-    """(experiments, rejects): every prototype at every crossed grid point, ``__key__`` and ``${key}`` filled in.
+def expand_flagged(
+    prototypes: DataFrame, parameters: Mapping[str, ValueList], template: str, out: str = "experiment", flag: str = "rejected"
+) -> DataFrame:
+    """Every prototype at every crossed grid point, ``__key__`` and ``${key}`` filled in, and whether it is a reject.
 
-    A template is judged by the keys it names, before any value is put in; a null template is a reject too. Grid points unfold in
-    two steps, so no row ever holds a list of all of them.
+    A template is judged by the keys it names, before any value is put in; a null template is a reject too. Both that and
+    the cutting of the template are done once per prototype. Grid points unfold in two steps, so no row ever holds a list of all of them.
     """
     sizes = _sizes(parameters)
     total = math.prod(sizes.values())
-    values = {p: F.col(p) for p in parameters}
-    sound = F.col(template).isNotNull() & (F.size(unknown_keys(F.col(template), values)) == 0)
+    unsound = F.col(template).isNull() | (F.size(unknown_keys(F.col(template), {p: F.col(p) for p in parameters})) > 0)
+    judged = prototypes.select("*", unsound.alias(flag), cut_template(F.col(template), list(parameters)).alias("__cut"))
     # steps keep the list that one row unfolds short, whatever the number of points
-    steps = prototypes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((total - 1) // POINTS_AT_ONCE).cast("long"))).alias("__step"))
+    steps = judged.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((total - 1) // POINTS_AT_ONCE).cast("long"))).alias("__step"))
     first = F.col("__step") * POINTS_AT_ONCE
     last = F.least(first + POINTS_AT_ONCE, F.lit(total).cast("long")) - 1
     points = steps.select("*", F.explode(F.sequence(first, last)).alias("point")).drop("__step")
     flat = _attach_crossed(points, parameters, sizes)
-    filled = flat.withColumn(out, substitute(F.col(template), values))
-    return filled.where(sound), filled.where(~sound)
+    return flat.withColumn(out, fill_template(F.col("__cut"), [F.col(p) for p in parameters])).drop("__cut")
+
+
+def expand(
+    prototypes: DataFrame, parameters: Mapping[str, ValueList], template: str, out: str = "experiment"
+) -> tuple[DataFrame, DataFrame]:
+    """(experiments, rejects) of ``expand_flagged``. A frame that takes both in is better made from that one."""
+    flagged = expand_flagged(prototypes, parameters, template, out, "__rejected")
+    return flagged.where(~F.col("__rejected")).drop("__rejected"), flagged.where("__rejected").drop("__rejected")
 
 
 def tier_sizes(total: int, unit: int) -> list[int]:

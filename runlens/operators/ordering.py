@@ -2,7 +2,7 @@
 
 A plain window over a hot group sorts that group in a single task. Here rows are first cut into
 chunks that follow the order, chunks are numbered on their own, and the (few) chunk totals carry the
-offsets across. ``by_key`` cuts on a unique integral key; ``by_range`` takes any
+offsets across. ``by_key`` cuts on a unique integral key, while that comes out even; ``by_range`` takes any
 columns, range-partitions on them and writes the result, so that a row's chunk can not change later.
 """
 
@@ -19,22 +19,34 @@ CHUNK = "__chunk"
 CHUNK_ROWS = 1 << 20
 
 
+# Chunks of keys may be this many times as full as evenly spread keys would make them.
+UNEVEN = 4
+
+
 def by_key(df: DataFrame, key: str, width: int | None = None) -> DataFrame:
     """Chunk by ranges of a unique integral key.
 
-    The width is chosen so that evenly spread keys come to ``CHUNK_ROWS`` rows per chunk, which takes
-    a job over the key column. For keys that cluster, use ``by_range``.
+    The width is chosen so that evenly spread keys come to ``CHUNK_ROWS`` rows per chunk, and the fullest chunk is
+    measured: keys that cluster are cut by ``by_range`` instead, on quantiles. Takes jobs over the key column.
     """
     if width is None:
         low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
         width = max(1, (high - low + 1) * CHUNK_ROWS // n) if n else 1
+        if n > UNEVEN * CHUNK_ROWS:
+            counted = df.groupBy(F.expr(f"`{key}` div {width}")).agg(F.count(F.lit(1)).alias("n"))
+            if counted.agg(F.max("n")).first()[0] > UNEVEN * CHUNK_ROWS:
+                return by_range(df, [key], rows=n)
     return df.withColumn(CHUNK, F.expr(f"`{key}` div {width}"))
 
 
-def by_range(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
-    """Chunk by range of ``order``, which must be unique to be cut evenly. Runs a job."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn(CHUNK, F.spark_partition_id().cast("long"))
+def by_range(df: DataFrame, order: Sequence[str], parts: int | None = None, rows: int | None = None) -> DataFrame:
+    """Chunk by range of ``order``, which must be unique to be cut evenly. Runs a job.
+
+    With ``rows``, the number of rows, there are as many chunks as keep each near ``CHUNK_ROWS``.
+    """
+    if parts is None:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if rows is None else max(1, -(-rows // CHUNK_ROWS))
+    ranged = df.repartitionByRange(parts, *order).withColumn(CHUNK, F.spark_partition_id().cast("long"))
     return cut_lineage(ranged)
 
 

@@ -9,14 +9,12 @@ from runlens.operators import design, ordering
 from runlens.plans import adapters as a
 from runlens.plans.catalog import query
 from runlens.plans.queries import sql
+from runlens.session import spread
 
 
-def _lists(t: a.Tables) -> dict[str, DataFrame]:
-    return {
-        "region": design.indexed_values(t.region, "r_name"),
-        "segment": design.indexed_values(t.customer, "c_mktsegment"),
-        "priority": design.indexed_values(t.orders, "o_orderpriority"),
-    }
+def _lists(t: a.Tables, *names: str) -> dict[str, DataFrame]:
+    columns = {"region": (t.region, "r_name"), "segment": (t.customer, "c_mktsegment"), "priority": (t.orders, "o_orderpriority")}
+    return {n: design.indexed_values(*columns[n]) for n in names or columns}
 
 
 _LISTS = """regions AS (SELECT row_number() OVER (ORDER BY v) - 1 AS i, v FROM (SELECT DISTINCT r_name AS v FROM region)),
@@ -50,13 +48,9 @@ FROM part, segment s, priority p""")
 def grid_experiments(t: a.Tables) -> DataFrame:
     """A template per part, some of which name an unknown parameter."""
     tail = F.when(F.col("p_size") % 10 == 0, ".__host__").otherwise("")
-    prototypes = t.part.select("p_partkey", F.concat("p_brand", F.lit(".__segment__.__priority__"), tail).alias("template"))
-    lists = _lists(t)
-    good, bad = design.expand(prototypes, {n: lists[n] for n in ("segment", "priority")}, "template")
-    columns = ["p_partkey", "segment", "priority", "experiment"]
-    return good.select(*columns, F.lit(False).alias("rejected")).unionByName(
-        bad.select(*columns, F.lit(True).alias("rejected"))
-    )
+    prototypes = spread(t.part, "p_partkey").select("p_partkey", F.concat("p_brand", F.lit(".__segment__.__priority__"), tail).alias("template"))
+    found = design.expand_flagged(prototypes, _lists(t, "segment", "priority"), "template")
+    return found.select("p_partkey", "segment", "priority", "experiment", "rejected")
 
 
 @query("""WITH r AS (SELECT c_custkey, c_nationkey, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer),

@@ -185,8 +185,32 @@ def test_grids(spark):
             design.grid_zipped(spark, bad)
 
 
+def test_keys_that_cluster_are_cut_on_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 50)
+    n = 1000
+    even = spark.range(n).withColumn("k", F.col("id") * 7)
+    dense = spark.range(n).withColumn("k", F.when(F.col("id") == 0, -(10**12)).otherwise(F.col("id")))
+    for df in (even, dense):
+        chunked = ordering.by_key(df, "k")
+        assert max(r["count"] for r in chunked.groupBy(ordering.CHUNK).count().collect()) <= ordering.UNEVEN * 50
+        placed = ordering.position_within(chunked, [], ["k"])
+        assert placed.where(F.col("pos") == F.col("id") + 1).count() == n
+
+
+def test_templates_are_cut_once_per_prototype(spark, rows):
+    prototypes = table(spark, "t string", ("a.__x__.${y}.__x__",), ("__y__",), ("plain",), ("",), ("__z__",), (None,))
+    out = design.expand_flagged(prototypes, {"x": ["1", "__y__"], "y": [None, "q"]}, "t")
+    below = out._jdf.queryExecution().optimizedPlan().toString()
+    assert below.index("Generate explode") < below.index("regexp_extract_all")
+    assert out.where("rejected").count() == 8
+    assert rows(out.where("not rejected"), "t", "point", "experiment") == sorted(
+        [("a.__x__.${y}.__x__", i, f"a.{x}.{y}.{x}") for i, (x, y) in enumerate((x, y) for x in ("1", "__y__") for y in ("", "q"))]
+        + [("__y__", i, ("", "q")[i % 2]) for i in range(4)] + [(t, i, t) for t in ("plain", "") for i in range(4)], key=repr)
+
+
 def test_value_lists_beyond_one_task(spark, monkeypatch):
     monkeypatch.setattr(design, "SINGLE_TASK_ROWS", 2)
+    monkeypatch.setattr(ordering, "CHUNK_ROWS", 2)
     values = table(spark, "v string", *[(c,) for c in "dbacadb"], (None,))
     assert sorted(map(tuple, design.indexed_values(values, "v").collect())) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
 

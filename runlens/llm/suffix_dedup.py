@@ -17,8 +17,10 @@ Equal windows have equal anchors, so no repeat crosses anchors. Consecutive wind
 
 Defined cases: null text is empty. Texts shorter than ``length`` keep everything. Repeated rows repeat each other, so they lose
 all of a text that is long enough. Kept bytes may end inside a character, so they come as binary. An
-empty table gives an empty result. Other columns pass through; those called like an output are replaced. A run of one byte
-costs one pass per byte of the run in its shard.
+empty table gives an empty result. Other columns pass through; those called like an output are replaced.
+
+A run of one byte is shortened to twice ``length`` before all this, as sorting takes a pass per byte of it. That changes no verdict: what
+lies inside the run repeats before and after, all of the run goes, and a string that reaches beyond it holds less than ``length`` of its bytes.
 """
 
 from __future__ import annotations
@@ -64,6 +66,23 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - n)], x[width - n :]) if width > n else x
 
 
+def squeezed(body: bytes, length: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text whose runs of one byte are no longer than twice ``length``, where longer ones began, and by how much they were cut."""
+    raw, none = np.frombuffer(body, np.uint8), np.empty(0, np.int64)
+    # a run that long holds all of some aligned block; most blocks are ruled out by three of their bytes
+    blocks = raw[: len(raw) // length * length].reshape(-1, length)
+    even = np.flatnonzero((blocks[:, 0] == blocks[:, length // 2]) & (blocks[:, 0] == blocks[:, -1]))
+    if not len(even) or not (blocks[even] == blocks[even, :1]).all(1).any():
+        return body, none, none
+    edges = np.concatenate([[0], np.flatnonzero(raw[1:] != raw[:-1]) + 1, [len(raw)]])
+    long = np.flatnonzero(np.diff(edges) > 2 * length)
+    starts, ends = edges[long], edges[long + 1]
+    if not len(starts):
+        return body, none, none
+    cuts = zip(np.concatenate([[0], ends]).tolist(), [*(starts + 2 * length).tolist(), len(raw)], strict=True)
+    return b"".join(body[a:b] for a, b in cuts), starts, ends - starts - 2 * length
+
+
 def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """anchor, content hash, first window, number of windows, and whether the anchor may occur twice inside.
 
@@ -94,7 +113,7 @@ def _find_segments(bodies: DataFrame, length: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = [segments(x, length) for x in batch.column(1).to_pylist()]
+                found = [segments(squeezed(x, length)[0], length) for x in batch.column(1).to_pylist()]
                 owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
                 a, b = (batch.column(0).field(i).take(owner) for i in (0, 1))
                 anchor, content, first, count, twice = (pa.array(np.concatenate(c)) for c in zip(*found, strict=True))
@@ -110,6 +129,14 @@ def _cut_out(bodies: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     lists = wanted.groupBy("a", "b").agg(F.collect_list(F.struct("anchor", "whole", "k", "first", "count")).alias("list"))
     lists = lists.select(F.struct("a", "b").alias("key"), "list")
     met = bodies.join(lists.hint("shuffle_hash"), "key").dropDuplicates(["key"])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("body")
+            short = pa.array([squeezed(x, length)[0] for x in batch.column(at).to_pylist()], pa.binary())
+            yield batch.set_column(at, "body", short)
+
+    met = met.mapInArrow(squeeze, met.schema)
     each = met.select("key.a", "key.b", "body", F.explode("list").alias("s")).select("a", "b", "body", "s.*")
     return each.select(
         "a", "b", "anchor", "whole", "k", "first", "count",
@@ -240,11 +267,13 @@ def remove_repeats(
 def _cut(body: bytes, spans: list[dict] | None, length: int) -> tuple[int, int, int, bytes]:
     if not spans:
         return len(body), 0, 0, body
-    depth = np.zeros(len(body) + 1, np.int64)
+    short, _, excess = squeezed(body, length)
+    depth = np.zeros(len(short) + 1, np.int64)
     first = np.array([s["first"] for s in spans])
     np.add.at(depth, first, 1)
     np.add.at(depth, first + np.array([s["count"] for s in spans]) + length - 1, -1)
     gone = np.cumsum(depth[:-1]) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
-    return len(body), int(gone.sum()), runs, kept
+    kept = np.frombuffer(short, np.uint8)[~gone].tobytes()
+    # all of a shortened run is gone
+    return len(body), int(gone.sum() + excess.sum()), runs, kept

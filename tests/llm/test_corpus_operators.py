@@ -1,6 +1,7 @@
 """N-gram join, token rollups, cover-tree search, mixing, suffix dedup and the pipeline: small cases and brute force."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -158,6 +159,32 @@ def test_tree_covers_and_prunes():
     assert nodes > 4 and sorted(tree.order) == list(range(1600))
 
 
+def test_clustered_vectors_are_mostly_not_scored(monkeypatch):
+    rnd = np.random.default_rng(7)
+    centres = rnd.normal(0, 1, (40, 16))
+    centres *= 1000 / np.linalg.norm(centres, axis=1)[:, None]
+    points = np.floor(np.repeat(centres, 200, axis=0) + rnd.normal(0, 4, (8000, 16)))
+    rnd.shuffle(points)
+    ids, scored = np.arange(8000), []
+    score = cover_tree.Search._score
+
+    def counting(self, q_low, q_high, data, ids, d_low, d_high):
+        scored.append((q_high - q_low) * (d_high - d_low))
+        return score(self, q_low, q_high, data, ids, d_low, d_high)
+
+    monkeypatch.setattr(cover_tree.Search, "_score", counting)
+    search = cover_tree.Search(ids[::20], points[::20], 5)
+    for at in range(0, 8000, 4096):
+        search.add(ids[at : at + 4096], points[at : at + 4096])
+    row, found, got = search.results()
+    assert sum(scored) < 0.5 * 400 * 8000
+    for q in range(400):
+        s = points @ points[q * 20]
+        s[q * 20] = -np.inf
+        want = sorted(zip(-s, ids))[:5]
+        assert sorted((-g, f) for g, f in zip(got[row == q], found[row == q])) == want
+
+
 def test_vectors_that_take_no_part_and_waves(spark, rows):
     data = [(1, [1.0, 2.0]), (2, [3.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [1.0, 2.0, 9.0]),
             (9, [1.0, 2.0]), (9, [1.0, 2.0]), (None, [5.0, 5.0])]
@@ -281,6 +308,27 @@ def test_every_repeat_goes_and_nothing_else(odd, group):
     assert [got[i] for i in range(len(texts))] == removed(texts, 64)
 
 
+def test_long_runs_of_one_byte(odd):
+    rnd = random.Random(4)
+    noise = lambda n: "".join(rnd.choice("abcd") for _ in range(n))
+    left, right = noise(40), noise(40)
+    texts = [" " * n for n in (39, 40, 41, 80, 81, 500)]
+    texts += [left + " " * 100 + right, left + " " * 700 + right, noise(30) + "x" * 81 + "y" * 300 + noise(30), left[-20:] + " " * 19 + noise(20)]
+    texts += [noise(50) + "z" * 40 + noise(50), "\u20ac" * 200, left[-5:] + " " * 90 + noise(9) + " " * 200 + right[:7]]
+    out = suffix_dedup.remove_repeats(odd(*texts), length=40).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out}
+    assert [got[i] for i in range(len(texts))] == removed(texts, 40)
+
+
+def test_a_run_of_fifty_megabytes_is_cheap():
+    body = b"head" + b" " * (50 << 20) + b"tail"
+    started = time.perf_counter()
+    short, starts, excess = suffix_dedup.squeezed(body, 200)
+    assert (short, starts.tolist(), excess.tolist()) == (b"head" + b" " * 400 + b"tail", [4], [(50 << 20) - 400])
+    assert suffix_dedup._cut(body, [{"first": 4, "count": 201}], 200) == (len(body), 50 << 20, 1, b"headtail")
+    assert time.perf_counter() - started < 20
+
+
 def test_repeated_rows_and_no_rows(odd, empty):
     texts = ["x".join(str(i) for i in range(60))] * 2
     out = suffix_dedup.remove_repeats(odd(*texts, ids=[4, 4]), length=40).collect()

@@ -18,6 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(),
         "edges",
     )
+    if both.isEmpty():
+        return both.select(F.col("x").alias("node"), F.col("y").alias("label"))
     labels = table(both.groupBy("x").agg(F.least("x", F.min("y")).alias("label")).withColumnRenamed("x", "node"), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))

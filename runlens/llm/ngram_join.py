@@ -1,7 +1,8 @@
 """Exact Jaccard join on word n-grams with a vertically partitioned count, and its connected components.
 
 A document's set holds the hashes of its distinct word n-grams; documents with equal sets form a class, and
-classes are what is joined (as nodes, by a 64-bit hash of the set). Two sets that are similar enough share one of
+classes are what is joined (as nodes, numbered by 64 bits of a 128-bit hash of the set; sets whose numbers agree but
+whose other 64 bits do not are numbered anew). Two sets that are similar enough share one of
 the first p = n - ceil(t n) + 1 members of each, under any common order. The order used here has the n-grams that
 many sets share last, the most frequent at the very end, so lists of sets with a common member stay short.
 
@@ -23,6 +24,9 @@ Large groups of near copies would still give all pairs of their members. They ar
 
 So no link between different components can be missed, and pairs inside one are not enumerated.
 
+N-grams are told apart by 64-bit hashes. Two different ones that share a hash count as one: among the m n-grams that one pair of
+documents has, that takes place with a chance of about m^2 / 2^65, and it moves an overlap by one.
+
 Defined cases: null or blank text has an empty set, which is linked with nothing. Fewer words than n: the whole sequence is the
 one member. Repeated rows are one class; so are texts that differ but have equal sets. component_id is
 the smallest id of the component, ignoring null ids; null if all are. An empty table gives an empty result. Other columns pass
@@ -89,9 +93,10 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(_mixed(grams).view(np.int64))
 
 
-def node_of(members: np.ndarray) -> int:
-    """A class's number: a hash of its set."""
-    return xxhash.xxh3_64_intdigest(members.tobytes()) - 2**63
+def node_of(members: np.ndarray) -> tuple[int, int]:
+    """A class's number and what tells it from other classes of that number: a 128-bit hash of its set."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(members.tobytes()), 2**64)
+    return low - 2**63, high - 2**63
 
 
 def prefix_length(n: int, t: tuple[int, int]) -> int:
@@ -105,28 +110,29 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def _scan(docs: DataFrame, words: int, row, fields: str) -> DataFrame:
-    """Key, node, n and what ``row`` makes of a set, a tuple of arrays, for every document that has one."""
-    names = ["key", "node", "n", *[f.split()[0] for f in fields.split(", ")]]
+    """Key, node, twin, n and what ``row`` makes of a set, a tuple of arrays, for every document that has one."""
+    names = ["key", "node", "twin", "n", *[f.split()[0] for f in fields.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                place, node, n, made = [], [], [], []
+                place, numbers, n, made = [], [], [], []
                 for i, body in enumerate(batch.column(1).to_pylist()):
                     members = shingles(body, words)
                     if len(members):
                         place.append(i)
-                        node.append(node_of(members))
+                        numbers.append(node_of(members))
                         n.append(len(members))
                         made.append(row(members))
-                columns = [_lists(list(c)) for c in zip(*made, strict=True)] if made else [_lists([])] * (len(names) - 3)
+                columns = [_lists(list(c)) for c in zip(*made, strict=True)] if made else [_lists([])] * (len(names) - 4)
+                node, twin = (pa.array([x[i] for x in numbers], pa.int64()) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(place, pa.int64())), pa.array(node, pa.int64()), pa.array(n, pa.int64()), *columns],
+                    [batch.column(0).take(pa.array(place, pa.int64())), node, twin, pa.array(n, pa.int64()), *columns],
                     names=names,
                 )
 
-    schema = f"key struct<a:bigint,b:bigint>, node bigint, n bigint, {fields}"
+    schema = f"key struct<a:bigint,b:bigint>, node bigint, twin bigint, n bigint, {fields}"
     return docs.mapInArrow(run, schema)
 
 
@@ -160,13 +166,33 @@ class NgramJoin:
         self.t = threshold[0] / threshold[1]
         self.bodies = docs.select(row_key(id_column, text).alias("key"), text_bytes(text).alias("body"))
         self.sets: list[DataFrame] = []
+        self.twins: DataFrame | None = None
+
+    def _scan(self, docs: DataFrame, row, fields: str) -> DataFrame:
+        """As the function of this name, with a number of its own for every class."""
+        found = _scan(docs, self.words, row, fields)
+        if self.twins is not None:
+            found = found.join(self.twins, ["node", "twin"], "left").withColumn("node", F.coalesce("own", "node")).drop("own")
+        return found.drop("twin")
+
+    def _find_twins(self, rows: DataFrame) -> None:
+        """Classes that share their number, with one of their own. N classes have some N^2 / 2^65 pairs of these. Runs a job."""
+        told = rows.groupBy("node").agg((F.min("twin") < F.max("twin")).alias("several")).where("several")
+        told = table(told.select("node"), "twins")
+        if not told.isEmpty():
+            classes = rows.join(broadcast_if_small(told), "node").select("node", "twin").distinct()
+            self.twins = broadcast_if_small(table(classes.withColumn("own", F.xxhash64("node", "twin")), "twins"))
 
     # -- sets and their first members --------------------------------------------------------
 
     def read(self) -> DataFrame:
         """key, node and n of every document with a set; fixes the order and keeps first members."""
         t = self.threshold
-        self.rows = table(_scan(self.bodies, self.words, lambda s: (s[: prefix_length(len(s), t)],), "first array<bigint>"), "sets")
+        read = table(_scan(self.bodies, self.words, lambda s: (s[: prefix_length(len(s), t)],), "first array<bigint>"), "sets")
+        self._find_twins(read)
+        if self.twins is not None:
+            read = table(read.join(self.twins, ["node", "twin"], "left").withColumn("node", F.coalesce("own", "node")), "sets")
+        self.rows = read.select("key", "node", "n", "first")
         one = self.rows.groupBy("node").agg(F.first("first").alias("first"))
         counted = one.select(F.explode("first").alias("token")).groupBy("token").count()
         order = _Order(counted)
@@ -178,7 +204,7 @@ class NgramJoin:
             light, frequent = shared.value.split(members)
             return light[:p], frequent[: max(0, p - len(light))]
 
-        second = _scan(self.bodies, self.words, ordered, "light array<bigint>, frequent array<bigint>")
+        second = self._scan(self.bodies, ordered, "light array<bigint>, frequent array<bigint>")
         firsts = second.groupBy("node").agg(F.first(F.struct("n", "light", "frequent")).alias("v"))
         self.firsts = table(firsts.select("node", "v.*"), "firsts")
         return self.rows.select("key", "node", "n")
@@ -224,7 +250,7 @@ class NgramJoin:
         bodies = self.bodies.join(broadcast_if_small(table(wanted, "wanted")), "key")
         # rows that agree in id and text have one key
         columns = [f"f{i}" for i in range(FRAGMENTS + 1)]
-        read = _scan(bodies, self.words, fragments, ", ".join(f"{c} array<bigint>" for c in columns))
+        read = self._scan(bodies, fragments, ", ".join(f"{c} array<bigint>" for c in columns))
         parts = F.array(*[F.struct(F.lit(i).alias("fragment"), F.col(c).alias("members")) for i, c in enumerate(columns)])
         each = read.select("node", F.explode(parts).alias("p")).where(F.size("p.members") > 0)
         self.sets.append(table(each.select("node", "p.*").dropDuplicates(["node", "fragment"]), "fragments"))
@@ -236,6 +262,8 @@ class NgramJoin:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """``x``, ``y`` and their sizes ``nx``, ``ny``: adds overlap, distance and linked. Runs jobs."""
         pairs = table(pairs.select("x", "y", "nx", "ny").distinct(), "pairs")
+        if pairs.isEmpty():
+            return pairs.withColumns({"overlap": F.lit(0).cast("long"), "distance": F.lit(1.0), "linked": F.lit(False)})
         sets = self._sets_of(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))))
         left = sets.select(F.col("node").alias("x"), "fragment", F.col("members").alias("mx"))
         right = sets.select(F.col("node").alias("y"), "fragment", F.col("members").alias("my"))
@@ -282,6 +310,8 @@ class NgramJoin:
     def labels(self) -> DataFrame:
         """node, label for every node that is linked with another one. Runs jobs."""
         shared = self.shared_members()
+        if shared.isEmpty():
+            return shared.select("node", F.col("node").alias("label"))
         sizes = self.firsts.select("node", "n", (F.size("light") + F.size("frequent")).alias("p"))
         met = shared.groupBy("node").agg(F.count(F.lit(1)).alias("met"))
         info = table(met.join(sizes, "node").select("node", "n", F.floor(1000 * (F.col("p") - F.col("met")) / F.col("p")).alias("alone")), "info")
@@ -364,7 +394,9 @@ class NgramJoin:
     def _families(self, members: DataFrame) -> DataFrame:
         """Component pairs, ``x`` and ``y``, linked by sets of one family. Runs jobs."""
         split = members.groupBy("family").agg(F.count(F.lit(1)).alias("size"), (F.min("label") < F.max("label")).alias("several"))
-        split = split.where("several").select("family", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+        split = table(split.where("several").select("family", F.ceil(F.col("size") / BLOCK).alias("blocks")), "families")
+        if split.isEmpty():
+            return split.select(F.col("family").alias("x"), F.col("family").alias("y"))
         rows = members.join(split, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
         # a set meets its own block and, once, every other one: as the left side of later, the right side of earlier blocks
         left = F.transform(F.sequence("own", F.col("blocks") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side")))
@@ -380,6 +412,8 @@ class NgramJoin:
         turn = F.col("a_size") < F.col("b_size")
         sides = open_.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("g"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("label"))
         sides = table(sides, "open")
+        if sides.isEmpty():
+            return sides.select(F.col("g").alias("x"), F.col("label").alias("y"))
         others = members.join(sides, "label").select("g", "label", "node", "n")
         counted = others.groupBy("g").agg(F.count(F.lit(1)).alias("ys")).join(known.select(F.col("label").alias("g"), F.col("size").alias("xs")), "g")
         grid = table(counted.select("g", *[F.ceil(F.col(c) / BLOCK).alias(c) for c in ("xs", "ys")]), "grid")

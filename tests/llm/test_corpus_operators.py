@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -78,6 +79,25 @@ def test_join_without_rows_and_with_null_or_repeated_ids(odd, empty):
     assert got == sorted([(None, 26, 5), (5, 26, 5), (5, 27, 5), (None, 1, None), (3, 0, 3)], key=repr)
 
 
+def test_classes_that_share_their_number(odd, monkeypatch):
+    """Numbers of three values only: what is left of the hash tells the classes apart."""
+
+    def poor(members):
+        return len(members) % 3, xxhash.xxh3_64_intdigest(members.tobytes()) - 2**63
+
+    monkeypatch.setattr(ngram_join, "node_of", poor)
+    rnd = random.Random(5)
+    texts = [None, "a b", *family(rnd, 12, 4), *family(rnd, 6, 2, 50), "a B", *[f"x{i} y z u v w" for i in range(9)]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd(*texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_class_numbers_are_halves_of_one_hash():
+    members = ngram_join.shingles(b"one two three four five six seven")
+    low, high = ngram_join.node_of(members)
+    assert (high + 2**63) * 2**64 + low + 2**63 == xxhash.xxh3_128_intdigest(members.tobytes())
+
+
 def test_components_of_a_long_chain(spark, rows):
     edges = spark.range(1, 60).select((F.col("id") * 7 % 61).alias("x"), ((F.col("id") + 1) * 7 % 61).alias("y"))
     assert rows(components(edges).select("label").distinct()) == [(1,)]

@@ -17,6 +17,7 @@ from runlens.sources.files import (
     decode_path, hidden_names, is_marked_tree, literal_path, path_exists, scan_files, scan_lines, split_positions,
     suite_folders, with_line_numbers,
 )
+from runlens.sources.hidden import has_hidden_name, readable, scan_hidden_lines
 from runlens.sources.states import scan_run_states
 from runlens.sources.store import ResultsStore
 
@@ -89,6 +90,7 @@ def files_of_successful_runs(files: DataFrame, runs: DataFrame) -> DataFrame:
     located = files.select(
         "source",
         "path",
+        "bytes",
         parts[0].alias("suite"),
         F.try_element_at(parts, F.lit(2)).alias("run_name"),
         F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), "/").alias("rel"),
@@ -99,7 +101,7 @@ def files_of_successful_runs(files: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def extract_routed(
-    spark: SparkSession, routed: DataFrame, extractors: dict[str, Extractor], marked: bool
+    spark: SparkSession, root: str, routed: DataFrame, extractors: dict[str, Extractor], marked: bool
 ) -> DataFrame | None:
     """Events and rejects of all routed files, with suite and run of their file; None without files.
 
@@ -107,15 +109,24 @@ def extract_routed(
 
     The routed list steers which paths are opened at all, as Spark's own file listing would. Each
     extractor scans its files once, and a file's run is looked up after extraction, when few rows
-    are left.
+    are left. Files with hidden names do not go through Spark's reader.
     """
     paths: dict[str, list[str]] = {}
-    wanted = routed.select("extractor", literal_path(decode_path(F.col("source"))).alias("p")).distinct()
+    unseen: set[str] = set()
+    hidden = has_hidden_name(F.col("source")) & F.lit(not marked)
+    wanted = routed.select("extractor", F.when(~hidden, literal_path(decode_path(F.col("source")))).alias("p")).distinct()
     for row in wanted.toLocalIterator():
-        paths.setdefault(row["extractor"], []).append(row["p"])
-    if not paths:
+        if row["p"] is None:
+            unseen.add(row["extractor"])
+        else:
+            paths.setdefault(row["extractor"], []).append(row["p"])
+    if not paths and not unseen:
         return None
     scans = {n: scan_lines(spark, sorted(p), marked) for n, p in sorted(paths.items())}
+    for n in sorted(unseen):
+        files = routed.where(hidden & (F.col("extractor") == n)).select("source", "bytes")
+        lines = scan_hidden_lines(files.distinct(), root)
+        scans[n] = scans[n].unionByName(lines) if n in scans else lines
     rows = functools.reduce(DataFrame.unionByName, [extractors[n].extract(lines) for n, lines in scans.items()])
     splits = [split_positions(lines).withColumn("extractor", F.lit(n)) for n, lines in scans.items()]
     positions = broadcast_if_small(cut_lineage(functools.reduce(DataFrame.unionByName, splits)))
@@ -139,7 +150,7 @@ def extract_counts(
 ) -> DataFrame:
     """Number of events per suite and extractor."""
     extractors = extractors or registered()
-    extracted = extract_routed(spark, routed_files(spark, root, runs, extractors), extractors, is_marked_tree(spark, root))
+    extracted = extract_routed(spark, root, routed_files(spark, root, runs, extractors), extractors, is_marked_tree(spark, root))
     if extracted is None:
         return spark.createDataFrame([], "suite string, extractor string, n bigint")
     return accepted(extracted).groupBy("suite", "extractor").agg(F.count(F.lit(1)).alias("n"))
@@ -169,10 +180,10 @@ def read_suites(
         unnamed.select("file", "suite", "name", F.lit("no run number in name").alias("reason"))
     ).unionByName(clashes)
     marked = is_marked_tree(spark, root)
-    if not marked and (hidden := hidden_names(spark, root, suites)):
+    if not marked and not readable(spark, root) and (hidden := hidden_names(spark, root, suites)):
         below_root = [(p, *_suite_and_run(p, root), "hidden name, not read") for p in hidden]
         rejects = rejects.unionByName(spark.createDataFrame(below_root, "file string, suite string, name string, reason string"))
-    extracted = extract_routed(spark, routed, extractors, marked)
+    extracted = extract_routed(spark, root, routed, extractors, marked)
     if extracted is None:
         columns = [*[f"{n} {t}" for n, t in ATTRIBUTES.items()]]
         schema = "id bigint, experiment_run_id int, " + ", ".join(columns) + ", suite string"

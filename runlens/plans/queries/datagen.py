@@ -12,6 +12,14 @@ _K = 1000
 _U, _U_LAST = sql.uniform("events", "event_id", "u")
 
 
+@query("""WITH c AS (SELECT (count(*) + 7) // 8 AS k FROM lineitem)
+SELECT n, CAST((n - 1) // k AS INTEGER) AS task FROM (SELECT unnest(range(1, 8 * k + 1)) AS n, k FROM c)""")
+def row_numbers(t: a.Tables) -> DataFrame:
+    """As many numbers as there are line items, in eight equal tasks."""
+    each = (t.lineitem.count() + 7) // 8
+    return gen.row_numbers(t.spark, 8, each).select(F.col("id").alias("n"), F.spark_partition_id().alias("task"))
+
+
 @query(f"WITH {_U} SELECT event_id, u FROM {_U_LAST}")
 def ranhash(t: a.Tables) -> DataFrame:
     return with_uniform(t.events.select("event_id"), F.col("event_id"), "u")

@@ -12,6 +12,7 @@ from runlens.sources import files as src
 from runlens.sources.checksums import tree_checksums
 from runlens.sources.event_csv import read_key_values
 from runlens.sources.files import scan_lines as read_lines
+from runlens.sources.hidden import scan_hidden_lines
 
 
 @query(f"""SELECT {sql.LOG_TIME} || chr(9) || event_type || '(' || user_id || '/200) switched to ' || {sql.STATE} || ' ' AS value
@@ -100,6 +101,19 @@ def appended_lines(t: a.Tables) -> DataFrame:
     )
 
 
+@query("SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_no FROM events")
+def hidden_lines(t: a.Tables) -> DataFrame:
+    """A file of event ids for each type below a folder that Spark's readers pass over, read in splits of 4 kB with line numbers."""
+    root = work_path(t.spark, "tree")
+    numbered = t.events.select(F.col("event_id").cast("string").alias("value"), "event_type").repartition("event_type")
+    numbered.sortWithinPartitions("event_type", F.col("value").cast("bigint")).write.partitionBy("event_type").text(f"{root}/_kept")
+    files = src.scan_files(t.spark, root).where(F.col("file_name").startswith("part-")).select("source", "bytes")
+    lines = src.number_lines(scan_hidden_lines(files, root, split_bytes=4096))
+    return lines.select(
+        F.regexp_extract("file", "event_type=([^/]+)/", 1).alias("event_type"), F.col("value").cast("bigint").alias("event_id"), "line_no"
+    )
+
+
 def _log_files(t: a.Tables) -> DataFrame:
     path = F.concat(F.lit("app-"), F.col("event_type"), F.lit("-"), F.col("event_id").cast("string"))
     return t.events.select("user_id", path.alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("modified"))

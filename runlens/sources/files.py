@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from runlens.session import broadcast_if_small, cut_lineage
+from runlens.sources.hidden import hidden_files, readable
 
 
 def decode_path(path: Column) -> Column:
@@ -164,7 +165,7 @@ def path_exists(spark: SparkSession, pattern: str) -> bool:
 
 
 def hidden_names(spark: SparkSession, root: str, suites: Sequence[str] | None = None) -> list[str]:
-    """Paths below the root whose names start with ``_`` or ``.``: Spark's readers pass over those.
+    """Paths below the root whose names start with ``_`` or ``.``, for roots whose files ``hidden.readable`` can not open.
 
     Level by level inside the file system; only the names found come back.
     """
@@ -177,10 +178,10 @@ def hidden_names(spark: SparkSession, root: str, suites: Sequence[str] | None =
 
 
 def scan_files(spark: SparkSession, root: str, suites: Sequence[str] | None = None) -> DataFrame:
-    """(source, path, rel, file_name, n_parts, bytes, modified) of all regular files below ``root``.
+    """(source, path, rel, file_name, n_parts, bytes, modified) of all regular files below ``root``, hidden ones included.
 
     Only listing columns are read: the content column is pruned, so no file is opened. With
-    ``suites``, only their folders are listed.
+    ``suites``, only their folders are listed. In a marked tree, hidden files are Spark's own and stay out.
     """
     marked = is_marked_tree(spark, root)
     folder = _literal(root) if suites is None else suite_folders(root, suites)
@@ -190,6 +191,8 @@ def scan_files(spark: SparkSession, root: str, suites: Sequence[str] | None = No
         "length",
         F.col("modificationTime").alias("modified"),
     )
+    if not marked and readable(spark, root):
+        parts = parts.unionByName(hidden_files(spark, root, suites))
     files = parts.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_parts"), F.sum("length").alias("bytes"), F.max("modified").alias("modified")
     )

@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -32,7 +32,7 @@ BLOCK = 4 << 20
 TAIL = 64 << 10
 SPLIT_BYTES = 64 << 20
 SPLITS_PER_FILE = 8
-_COMPRESSED = (".gz", ".bz2", ".zst", ".xz", ".snappy", ".deflate", ".lz4")
+COMPRESSED = (".gz", ".bz2", ".zst", ".xz", ".snappy", ".deflate", ".lz4")
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -46,7 +46,19 @@ def spark_uri(path: str, root: str) -> str:
     """What ``_metadata.file_path`` says of a file below ``root``."""
     plain = re.sub(r"[\x00-\x7f]+", lambda m: quote(m[0], safe="/_-!.~'()*,;:$&+=@"), path)
     scheme = re.match(r"([a-z][\w+.-]*)://([^/]*)", root)
-    return f"{scheme[1]}://{scheme[2]}{plain}" if scheme and scheme[1] != "file" else f"file:{plain}"
+    if not scheme or scheme[1] == "file":
+        return f"file:{plain}"
+    # object stores have the bucket as the first part of a path
+    return f"{scheme[1]}://{scheme[2]}{plain}" if plain.startswith("/") else f"{scheme[1]}://{plain}"
+
+
+def plain_path(uri: str, root: str) -> str:
+    """The path that ``spark_uri`` was given, or that of a file that Spark has listed."""
+    path = unquote(uri)
+    if "://" not in root or root.startswith("file:"):
+        return re.sub("^file:/*", "/", path)
+    rest = path.split("://", 1)[-1]
+    return "/" + rest.partition("/")[2] if file_system(root)[1].startswith("/") else rest
 
 
 class _Ends:
@@ -62,7 +74,7 @@ class _Ends:
         self.after_cr = block[-1:] == b"\r"
 
 
-def _blocks(file, start: int, end: int) -> Iterator[bytes]:
+def blocks(file, start: int, end: int) -> Iterator[bytes]:
     file.seek(start)
     while start < end:
         block = file.read(min(BLOCK, end - start))
@@ -72,12 +84,12 @@ def _blocks(file, start: int, end: int) -> Iterator[bytes]:
         yield block
 
 
-def _line_start(file, at: int, first: int, end: int) -> int:
+def line_start(file, at: int, first: int, end: int) -> int:
     """Where the first line at or after ``at`` begins, of a stretch from ``first`` to ``end`` of whole lines."""
     if at <= first:
         return first
     place = at - 1
-    for block in _blocks(file, place, end):
+    for block in blocks(file, place, end):
         found = block.find(b"\n")
         if found >= 0:
             return place + found + 1
@@ -131,7 +143,7 @@ class GrowingFilesReader(DataSourceStreamReader):
 
     @staticmethod
     def _passed_over(below: str) -> bool:
-        return any(part[:1] in ("_", ".") for part in below.split("/")) or below.endswith(_COMPRESSED)
+        return any(part[:1] in ("_", ".") for part in below.split("/")) or below.endswith(COMPRESSED)
 
     def _complete(self, fs: pafs.FileSystem, path: str, size: int) -> int:
         """End of the last whole line that this trigger takes."""
@@ -149,7 +161,7 @@ class GrowingFilesReader(DataSourceStreamReader):
                     return low + found + 1
                 at = low
             # a line longer than a trigger takes: all of it, once it has ended
-            later = _line_start(file, end + 1, begin, size) if end < size else begin
+            later = line_start(file, end + 1, begin, size) if end < size else begin
             if later == size and size > begin:
                 file.seek(size - 1)
                 return size if file.read(1) == b"\n" else begin
@@ -189,14 +201,14 @@ class GrowingFilesReader(DataSourceStreamReader):
         fs, _ = file_system(self.root)
         name = spark_uri(split.path, self.root)
         with fs.open_input_file(split.path) as file:
-            begin = _line_start(file, split.at, split.first, split.end)
-            stop = split.end if split.until == split.end else _line_start(file, split.until, split.first, split.end)
+            begin = line_start(file, split.at, split.first, split.end)
+            stop = split.end if split.until == split.end else line_start(file, split.until, split.first, split.end)
             known = dict(map(tuple, self._noted(split.path)))
             ends, lines = _Ends(), known.get(split.first)
-            for block in _blocks(file, split.first if lines is not None else 0, begin):
+            for block in blocks(file, split.first if lines is not None else 0, begin):
                 ends.add(block)
             number, rest = (lines or 0) + ends.lines, b""
-            for block in _blocks(file, begin, stop):
+            for block in blocks(file, begin, stop):
                 cut = block.rfind(b"\n") + 1
                 if not cut:
                     rest += block
@@ -230,4 +242,4 @@ def growing_lines(
     return spark.readStream.format("growing_files").options(**options).load(folder)
 
 
-__all__ = ["GrowingFiles", "file_system", "growing_lines", "spark_uri"]
+__all__ = ["COMPRESSED", "GrowingFiles", "blocks", "file_system", "growing_lines", "line_start", "plain_path", "spark_uri"]

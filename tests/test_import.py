@@ -1,12 +1,17 @@
 """Run folders with names that mean something to Spark, line numbers, and ids that stay."""
 
+import dataclasses
+import gzip
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.operators.extract.flink import FLINK_TASKS
 from runlens.plans import etl
 from runlens.sources import files
+from runlens.sources.growing import plain_path, spark_uri
+from runlens.sources.hidden import scan_hidden_lines
 from runlens.sources.states import scan_run_states
 
 STATE = {"command": "c", "runnerID": "flink-1.0", "runnerName": "flink", "runnerVersion": "1.0", "runExitCode": 0, "runTime": 10}
@@ -38,15 +43,72 @@ def test_names_mean_what_they_say(spark, tmp_path, rows):
     assert rows(one.events.groupBy("suite").count()) == [("s{1},[2]*", 3)]
 
 
-def test_hidden_names_are_rejected(spark, tmp_path, rows):
-    run_folder(tmp_path, "s", "_e.run01")
-    run_folder(tmp_path, "s", "e.run01")
-    (tmp_path / "s" / "e.run01" / "logs" / "flink" / ".flink-u-jobmanager-x.log").write_text(LOG)
+def hidden_tree(root):
+    run_folder(root, "s", "_e.run01")
+    run_folder(root, "s", "e.run01", [NAME, ".x y.log", "_x.log"])
+    run_folder(root, "_t", "f.run01")
+    (root / "s" / "e.run01" / "logs" / "flink" / ".z.log.gz").write_bytes(gzip.compress(LOG.encode()))
+    (root / "s" / "e.run01" / "logs" / "flink" / "_empty.log").write_text("")
+
+
+#: Takes logs whose names Spark's readers do not open.
+ANY_LOG = dataclasses.replace(FLINK_TASKS, patterns=(r".+\.log", r".+\.log\.gz"))
+
+
+def test_hidden_names_are_read(spark, tmp_path, rows):
+    hidden_tree(tmp_path)
     found = etl.read_suites(spark, str(tmp_path))
+    assert rows(found.events.groupBy("suite").count()) == [("_t", 3), ("s", 6)]
+    assert found.rejects.isEmpty()
+    listed = files.scan_files(spark, str(tmp_path), ["s"])
+    assert rows(listed.where("rel like '%.log%'"), "rel", "bytes") == sorted(
+        [
+            ("s/_e.run01/logs/flink/" + NAME, len(LOG)),
+            *[("s/e.run01/logs/flink/" + n, len(LOG)) for n in (NAME, ".x y.log", "_x.log")],
+            ("s/e.run01/logs/flink/.z.log.gz", len(gzip.compress(LOG.encode()))),
+            ("s/e.run01/logs/flink/_empty.log", 0),
+        ],
+        key=repr,
+    )
+    assert files.scan_files(spark, str(tmp_path), ["_t"]).count() == 2
+    own = etl.read_suites(spark, str(tmp_path), ["s"], {"flink_tasks": ANY_LOG})
+    # one reading of each log, hidden or not
+    assert own.events.count() == 15 and own.rejects.isEmpty()
+    assert own.events.select("id").distinct().count() == 15
+
+
+def test_hidden_names_of_unknown_file_systems_are_rejects(spark, tmp_path, rows, monkeypatch):
+    hidden_tree(tmp_path)
+    for module in (etl, files):
+        monkeypatch.setattr(module, "readable", lambda *_: False)
+    found = etl.read_suites(spark, str(tmp_path), ["s"])
+    assert {r["reason"] for r in found.rejects.collect()} == {"hidden name, not read"}
     assert found.events.count() == 3
-    assert rows(found.rejects, "suite", "name", "reason") == [
-        ("s", "_e.run01", "hidden name, not read"), ("s", "e.run01", "hidden name, not read")
-    ]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_hidden_files_in_splits(spark, tmp_path, rows, end):
+    """The same lines and numbers as those of an open file, however small the splits."""
+    lines = [f"line {i} " + "x" * (i % 37) for i in range(300)]
+    lines[20] = lines[-2] = ""
+    (tmp_path / "s").mkdir()
+    for name in (".log", "log"):
+        (tmp_path / "s" / name).write_text(end.join(lines), newline="")
+    listed = files.scan_files(spark, str(tmp_path))
+    open_, hidden = (listed.where(F.col("file_name") == n) for n in ("log", ".log"))
+    plain = files.number_lines(files.scan_lines(spark, str(tmp_path / "s" / "log")))
+    for size in (64, 1000, 1 << 20):
+        read = files.number_lines(scan_hidden_lines(hidden.select("source", "bytes"), str(tmp_path), size))
+        assert rows(read, "line_no", "value") == rows(plain, "line_no", "value")
+    assert rows(open_, "bytes") == rows(hidden, "bytes")
+
+
+@pytest.mark.parametrize("root", ["/data", "file:///data", "file:/data"])
+def test_names_of_files_by_scheme(root):
+    for path in ("/data/a b/%41+é=1.log", "/data/_x/[1].log"):
+        assert plain_path(spark_uri(path, root), root) == path
+    assert spark_uri("bucket/a b/x", "s3://bucket/a b") == "s3://bucket/a%20b/x"
+    assert spark_uri("/a/x", "hdfs://host:8020/a") == "hdfs://host:8020/a/x"
 
 
 def test_an_absent_root_is_an_error(spark, tmp_path):

@@ -35,7 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from runlens.llm.common import table, text_bytes
+from runlens.llm.common import shuffle_files_dropped, table, text_bytes
+from runlens.session import work_path
 
 ITEM_BYTES = 128 << 10
 SAMPLE_DOCS = 4_096
@@ -54,6 +55,9 @@ SEGMENT = (
     "doc_ids array<bigint>, ptr array<int>, terms array<int>, impacts array<int>, list_term array<int>, list_coords array<int>, "
     "list_blocks array<int>, coords array<int>, block_docs array<int>, docs array<int>, maxima array<int>"
 )
+#: A segment as a table holds it: its columns as one compressed value, which only tasks that search it unpack.
+PACKED = "doc_ids array<bigint>, body binary"
+PACKED_GROUP = 16 << 20
 HITS = "item int, doc_id bigint, score bigint"
 
 
@@ -241,7 +245,21 @@ def _blocks(vectors: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     return order, np.flatnonzero(np.concatenate(([True], np.diff(nearest[order]) > 0)))
 
 
-def index_segments(held: DataFrame, items, bars: np.ndarray) -> DataFrame:
+def pack(segment: pa.RecordBatch) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, segment.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(segment)
+    return pa.RecordBatch.from_arrays([segment.column("doc_ids"), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["doc_ids", "body"])
+
+
+def unpack(body: pa.Scalar) -> dict[str, np.ndarray]:
+    with pa.ipc.open_stream(body.as_buffer()) as stream:
+        (segment,) = stream
+    flat = {x: c.flatten() for x, c in zip(segment.schema.names, segment.columns)}
+    return {x: _ids(v) if x == "doc_ids" else v.to_numpy() for x, v in flat.items()}
+
+
+def index_segments(held: DataFrame, items, bars: np.ndarray, packed: bool = False) -> DataFrame:
     """One row per segment: its vectors, and the blocks of each list that is essential to some item."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +291,19 @@ def index_segments(held: DataFrame, items, bars: np.ndarray) -> DataFrame:
             flat = {x: np.concatenate(v).astype(np.int32) if v else np.zeros(0, np.int32) for x, v in out.items()}
             columns = {"doc_ids": ids, "ptr": ptr.astype(np.int32), "terms": terms.astype(np.int32), "impacts": values.astype(np.int32)} | flat
             one = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in columns.values()]
-            yield pa.RecordBatch.from_arrays(one, names=list(columns))
+            segment = pa.RecordBatch.from_arrays(one, names=list(columns))
+            yield pack(segment) if packed else segment
+
+    return held.mapInArrow(rows, PACKED if packed else SEGMENT)
+
 
-    return held.mapInArrow(rows, SEGMENT)
+def _segment_table(segments: DataFrame) -> DataFrame:
+    """Packed segments as a table. Rows are megabytes, so a row group is closed by its bytes after any row. Runs a job."""
+    path, options = work_path(segments.sparkSession, "segments"), {"parquet.block.size": str(PACKED_GROUP)}
+    options |= {f"parquet.{x}.size.row.check.{y}": "1" for x in ("block", "page") for y in ("min", "max")}
+    with shuffle_files_dropped(segments.sparkSession):
+        segments.write.options(**options).parquet(path)
+    return segments.sparkSession.read.schema(PACKED).parquet(path)
 
 
 @dataclass
@@ -329,11 +357,10 @@ def _searched(segments: DataFrame, items, bars: np.ndarray, k: int) -> DataFrame
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         looked = Looked()
         for batch in batches:
-            for r in range(batch.num_rows):
-                one = {x: _ids(c.slice(r, 1).flatten()) if x == "doc_ids" else c.slice(r, 1).flatten().to_numpy() for x, c in zip(batch.schema.names, batch.columns)}
-                yield _hits(search_segment(items.value, one, bars, k, looked))
+            for body in batch.column(0):
+                yield _hits(search_segment(items.value, unpack(body), bars, k, looked))
 
-    return segments.mapInArrow(rows, HITS)
+    return segments.select("body").mapInArrow(rows, HITS)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -365,7 +392,7 @@ def search_block(docs: DataFrame, texts: list[bytes], k: int, text: str = "text"
     share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
     drawn = F.pmod(F.xxhash64("doc_id", "n", "terms"), F.lit(1 << 20)) < int(share * (1 << 20))
     bars = _bars(_scored_in_full(held.where(drawn), weighed, k), k, np.ones(len(texts), np.int64))
-    segments = table(index_segments(held, weighed, bars), "segments")
+    segments = _segment_table(index_segments(held, weighed, bars, packed=True))
     for part in EARLY_SHARES:
         some = segments.where(F.pmod(F.xxhash64("doc_ids"), F.lit(1 << 20)) < int(part * (1 << 20)))
         bars = _bars(_searched(some, weighed, bars, k), k, bars)

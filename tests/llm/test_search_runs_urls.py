@@ -4,6 +4,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,24 @@ def test_blocks_are_skipped(spark):
     assert looked.skipped > 0.25 * looked.blocks and looked.scored < 0.1 * len(texts) * len(items.texts)
 
 
+def test_segments_are_read_a_few_at_a_time(spark, monkeypatch):
+    """A task that searches holds row groups of bounded size, whose segments stay compressed outside of Python."""
+    monkeypatch.setattr(search, "PACKED_GROUP", 1)
+    items = search.Items([t.encode() for _, t in some_texts(5, seed=8)])
+    held = search.vectors(spark.createDataFrame(some_texts(640), "doc_id bigint, text string"), spark.sparkContext.broadcast(items), "text", "doc_id")
+    items.weigh(640, 12_000, np.full(len(items.number), 9))
+    sent, bars = spark.sparkContext.broadcast(items), np.ones(5, np.int64)
+    held = held.repartition(10, "doc_id")
+    plain = search.index_segments(held, sent, bars).collect()
+    kept = search._segment_table(search.index_segments(held, sent, bars, packed=True).coalesce(1))
+    assert len(plain) == kept.count() == 10
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in kept.inputFiles()]
+    assert all(g.num_row_groups == g.num_rows for g in groups)
+    found = {tuple(r.doc_ids): search.unpack(pa.scalar(bytes(r.body), pa.binary())) for r in kept.collect()}
+    for r in plain:
+        assert all(np.array_equal(found[tuple(r.doc_ids)][c], r[c]) for c in r.asDict())
+
+
 # --- periodic runs
 
 

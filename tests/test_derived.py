@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.operators import intervals
 from runlens.operators.intervals import pair_attempts, within_intervals
 from runlens.streaming.windows import dropped_rows, newest_totals, stream_totals, window_totals
 
@@ -38,6 +39,30 @@ def test_no_loop_over_points_and_intervals(spark):
     assert within_intervals(points, spans.limit(0), ["host"], "t", "v", "s", "e").isEmpty()
 
 
+def test_rows_of_intervals_do_not_grow_with_the_points(spark, monkeypatch):
+    """What is shuffled per interval is some rows for each host, however many points it covers; large values add up exactly."""
+    monkeypatch.setattr(intervals, "ROWS_PER_CHUNK", 500)
+    monkeypatch.setattr(intervals, "ROWS_PER_TASK", 100)
+    made = []
+    whole = intervals._within
+
+    def watched(points, spans, *rest):
+        made.append((points.count(), spans.count()))
+        return whole(points, spans, *rest)
+
+    monkeypatch.setattr(intervals, "_within", watched)
+    points = spark.range(20_000).select(
+        F.when(F.col("id") % 2 == 0, "a").alias("host"), (F.col("id") % 10_000).alias("t"), (F.col("id") * 1e17 - 1e20 + 0.25).alias("v")
+    )
+    spans = spark.range(300).select("id", F.col("id").alias("s"), (F.col("id") * 30 + 5).alias("e"))
+    got = {tuple(r) for r in within_intervals(points, spans, ["host"], "t", "v", "s", "e").collect()}
+    want = spans.join(points, F.col("t").between(F.col("s"), F.col("e"))).groupBy(*(spans[c] for c in spans.columns), "host").agg(
+        F.count("v"), F.sum(F.col("v").cast("decimal(28,6)")), F.min("v"), F.max("v")
+    )
+    assert got == {tuple(r) for r in want.collect()} and len(got) == 600
+    assert made[0] == (10_000, 300) and all(p <= 100 and s <= 300 for p, s in made[1:])
+
+
 def test_retries_and_missing_ends(spark, rows):
     moves = [
         ("t1", "start", 1, 10), ("t1", "end", 2, 15), ("t1", "start", 3, 20), ("t1", "end", 4, 29), ("t1", "start", 5, 30),

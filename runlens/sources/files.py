@@ -81,6 +81,21 @@ def _text(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.text(paths, recursiveFileLookup=True)
 
 
+#: Splits smaller than this are read several to a task.
+TASK_BYTES = 32 << 20
+_SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
+
+
+def _in_tasks(spark: SparkSession, scan: DataFrame) -> DataFrame:
+    """Many small splits in few tasks; every split is still read on its own, one after the other."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_SPLIT_BYTES))
+    if size >= TASK_BYTES:
+        return scan
+    splits = scan.rdd.getNumPartitions()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-splits * size // TASK_BYTES))
+    return scan.coalesce(tasks) if tasks < splits else scan
+
+
 def scan_lines(spark: SparkSession, paths: str | Sequence[str], marked: bool = False) -> DataFrame:
     """(file, part, block, record_key, value): one row per line; gzip and other codecs by extension.
 
@@ -88,13 +103,13 @@ def scan_lines(spark: SparkSession, paths: str | Sequence[str], marked: bool = F
     ``record_key`` follows the line order inside a split and is the same again when a lost task is redone;
     ``number_lines`` makes it a line number of the file.
     """
-    return _text(spark, paths).select(
+    lines = _text(spark, paths).select(
         source_of(F.col("_metadata.file_path"), marked).alias("file"),
         F.substring_index("_metadata.file_path", "/", -1).alias("part"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("record_key"),
         "value",
     )
+    return _in_tasks(spark, lines).select("file", "part", "block", F.monotonically_increasing_id().alias("record_key"), "value")
 
 
 SPLIT = ("file", "part", "block")

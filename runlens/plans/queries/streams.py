@@ -51,15 +51,21 @@ def stream_extract_dstat(t: a.Tables) -> DataFrame:
     return events.select("name", "host", "v_double", F.unix_millis("v_timestamp").alias("at_ms"))
 
 
-# Bytes of a file that one trigger takes in the queries below.
+# Bytes of a file that one trigger takes at least in the queries below, and how many triggers the longest file is taken in then.
 PIECE = 128 << 10
+TRIGGERS = 8
 
 
 def _piece_by_piece(t: a.Tables, folder: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
-    """Run a stream over growing files again and again, from its checkpoint, until nothing is new."""
+    """Run a stream over growing files again and again, from its checkpoint, until nothing is new.
+
+    A trigger takes seconds, however little it reads; so longer files come in larger pieces, not in more triggers.
+    """
     notes = work_path(t.spark, "line-notes")
+    listed = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    piece = max(PIECE, (listed.agg(F.max("length")).first()[0] or 0) // TRIGGERS)
     while True:
-        run = start(growing_lines(t.spark, folder, notes, split_bytes=PIECE // 4, splits_per_file=4))
+        run = start(growing_lines(t.spark, folder, notes, split_bytes=piece // 4, splits_per_file=4))
         run.awaitTermination()
         if not sum(p["numInputRows"] for p in run.recentProgress):
             return

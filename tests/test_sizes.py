@@ -28,3 +28,19 @@ def test_small_splits_share_tasks(spark, tmp_path):
     finally:
         spark.conf.set(setting, before)
     assert len(numbered) == 5000 and all(r.value == f"line {r.line_no}" for r in numbered)
+
+
+def test_longer_files_take_no_more_triggers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "PIECE", 512)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("".join(f"{i}\n" for i in range(6000)))
+    started = []
+
+    def start(lines):
+        started.append(1)
+        assert len(started) <= 12
+        writer = lines.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        return writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+
+    streams._piece_by_piece(SimpleNamespace(spark=spark), str(tmp_path / "in"), start)
+    assert {(r.record_key, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(i + 1, str(i)) for i in range(6000)}

@@ -115,16 +115,21 @@ def nest_config(rows: DataFrame, entity: str, key: str = "key", value: str = "va
     clash = marks.where(reason.isNotNull()).select("e", "k", reason.alias("reason"))
     nodes = marks.where(reason.isNull()).select("e", "path", F.to_json(F.array("v")).alias("json"))
     nodes = nodes.withColumn("json", F.substring("json", F.lit(2), F.length("json") - 2))  # a JSON string
-    depth = nodes.agg(F.max(F.size("path"))).first()[0] or 0
+    # each level takes its own leaves and what the level below put together, so the plan has every level once
+    nodes = cut_lineage(nodes.withColumn("level", F.size("path")), "nodes")
+    depth = nodes.agg(F.max("level")).first()[0] or 0
+    whole = nodes.where("level = 0").select("e", "path", "json")
     for level in range(depth, 0, -1):
+        here = nodes.where(F.col("level") == level).select("e", "path", "json")
+        here = here if level == depth else here.unionByName(whole)
         name = F.element_at("path", -1)
         quoted = F.to_json(F.array(name))
         member = F.struct(name.alias("n"), F.concat(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(":"), F.col("json")).alias("m"))
         members = F.transform(F.array_sort(F.collect_list(member)), lambda x: x["m"])
-        whole = nodes.where(F.size("path") == level).groupBy("e", F.slice("path", 1, level - 1).alias("path")).agg(
+        whole = here.groupBy("e", F.slice("path", 1, level - 1).alias("path")).agg(
             F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")).alias("json")
         )
-        nodes = nodes.where(F.size("path") < level).unionByName(whole)
+    nodes = whole
     trees = nodes.select(F.col("e").alias(entity), F.col("json").alias("tree"))
     return trees, bad.unionByName(clash).select(F.col("e").alias(entity), F.col("k").alias(key), "reason")
 

@@ -44,3 +44,10 @@ def test_longer_files_take_no_more_triggers(spark, tmp_path, monkeypatch):
 
     streams._piece_by_piece(SimpleNamespace(spark=spark), str(tmp_path / "in"), start)
     assert {(r.record_key, r.value) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(i + 1, str(i)) for i in range(6000)}
+
+
+def test_nested_plan_has_every_level_once(spark):
+    rows = spark.range(40).select((F.col("id") % 3).alias("id"), F.concat(F.lit("a.b.c.d.e.f.k"), "id").alias("key"), F.lit("v").alias("value"))
+    trees, rejects = config.nest_config(rows, "id")
+    assert trees._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 8
+    assert trees.count() == 3 and rejects.isEmpty() and config.unnest_config(trees, "id").count() == 40

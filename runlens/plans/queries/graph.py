@@ -6,6 +6,7 @@ from runlens.operators import graph
 from runlens.plans import adapters as a
 from runlens.plans.catalog import query
 from runlens.plans.queries import sql
+from runlens.session import spread
 
 
 def _edge(df: DataFrame, src: str, src_key: str, dst: str, dst_key: str) -> DataFrame:
@@ -87,7 +88,7 @@ def graph_from_records(t: a.Tables) -> DataFrame:
         F.concat(F.lit("in-"), (F.col("c_custkey") % 7).cast("string")).alias("name"), F.array(F.lit("files")).alias("dependencies")
     )
     write = F.struct(F.concat(F.lit("out-"), key).alias("name"), F.lit("files").alias("fs"))
-    records = t.customer.select(
+    records = spread(t.customer, "c_custkey").select(
         F.col("c_mktsegment").alias("suite"), F.col("c_name").alias("experiment"),
         F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("runner"),
         F.array(F.lit("sampler")).alias("systems"), F.array(read).alias("inputs"), F.array(write).alias("outputs"),

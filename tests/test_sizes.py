@@ -51,3 +51,8 @@ def test_nested_plan_has_every_level_once(spark):
     trees, rejects = config.nest_config(rows, "id")
     assert trees._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 8
     assert trees.count() == 3 and rejects.isEmpty() and config.unnest_config(trees, "id").count() == 40
+
+
+def test_edges_of_a_small_file_are_made_by_many_tasks(spark):
+    plan = __spark_entry__.queries()["graph_from_records"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

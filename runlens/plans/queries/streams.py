@@ -94,7 +94,7 @@ def stream_appended_ids(t: a.Tables) -> DataFrame:
          unnest([value, CAST(user_id AS DOUBLE), CAST(event_id AS DOUBLE), CAST(0.5 AS DOUBLE)]) AS v
   FROM events)""")
 def stream_dstat_batches(t: a.Tables) -> DataFrame:
-    """Sample files that are taken piece by piece: only the first piece has the header. A file holds some thousand samples."""
+    """Sample files that are taken piece by piece: only the first piece has the header. A file holds some thousand samples, one state each."""
     part = F.floor(F.col("event_id") / 20_000)
     file = F.concat(F.lit("dstat-user-"), F.col("event_type"), F.lit("-"), part.cast("string"), F.lit(".csv")).alias("file")
     samples = t.events.select(file, F.col("event_id").alias("at"), a.dstat_line().alias("value"))
@@ -104,6 +104,6 @@ def stream_dstat_batches(t: a.Tables) -> DataFrame:
     folder = a.stage_text(t, placed, "sample-files", by=["file"])
     sink, state = work_path(t.spark, "samples-out"), work_path(t.spark, "samples-state")
     whole = lambda lines: lines.withColumn("file", source_of(F.col("file"), True))
-    _piece_by_piece(t, folder, lambda lines: run_samples(whole(lines), sink, state))
+    _piece_by_piece(t, folder, lambda lines: run_samples(whole(lines), sink, state, salts=1))
     events = accepted(t.spark.read.parquet(sink))
     return events.select("name", "host", "v_double", F.unix_millis("v_timestamp").alias("at_ms"))

@@ -32,6 +32,9 @@ BLOCK = 4 << 20
 TAIL = 64 << 10
 SPLIT_BYTES = 64 << 20
 SPLITS_PER_FILE = 8
+#: Small splits share a task up to so many bytes, as long as there are so many tasks.
+TASK_BYTES = 8 << 20
+TASKS = 64
 COMPRESSED = (".gz", ".bz2", ".zst", ".xz", ".snappy", ".deflate", ".lz4")
 
 
@@ -108,6 +111,13 @@ class Split(InputPartition):
     until: int
 
 
+@dataclass
+class Task(InputPartition):
+    """Splits that one task reads, one after the other."""
+
+    splits: list[Split]
+
+
 class GrowingFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -169,11 +179,21 @@ class GrowingFilesReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         self.taken = self.taken | end
-        return [
+        splits = [
             Split(path, start.get(path, 0), stop, at, min(at + self.split, stop))
             for path, stop in sorted(end.items())
             for at in range(start.get(path, 0), stop, self.split)
         ]
+        share = max(self.split, min(TASK_BYTES, sum(s.until - s.at for s in splits) // TASKS))
+        tasks, held = [], share
+        for split in splits:
+            size = split.until - split.at
+            if held + size > share:
+                tasks.append(Task([]))
+                held = 0
+            tasks[-1].splits.append(split)
+            held += size
+        return tasks
 
     # -- in tasks --------------------------------------------------------------------------------
 
@@ -197,7 +217,11 @@ class GrowingFilesReader(DataSourceStreamReader):
             f.write(json.dumps({"file": path, "ends": ends}).encode())
         fs.move(part, note)
 
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
+    def read(self, task: Task) -> Iterator[pa.RecordBatch]:
+        for split in task.splits:
+            yield from self._lines(split)
+
+    def _lines(self, split: Split) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(self.root)
         name = spark_uri(split.path, self.root)
         with fs.open_input_file(split.path) as file:

@@ -56,3 +56,11 @@ def test_nested_plan_has_every_level_once(spark):
 def test_edges_of_a_small_file_are_made_by_many_tasks(spark):
     plan = __spark_entry__.queries()["graph_from_records"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_splits_of_many_small_files_share_tasks():
+    reader = growing.GrowingFilesReader({"path": "/none", "notes": "/none", "split_bytes": "1000"})
+    tasks = reader.partitions({}, {f"/none/f{i:04}": 2500 for i in range(1000)})
+    assert len(tasks) <= 80 and sum(len(t.splits) for t in tasks) == 3000
+    (alone,) = reader.partitions({}, {"/none/f": 900})
+    assert [(s.at, s.until) for s in alone.splits] == [(0, 900)]

@@ -173,6 +173,8 @@ def document_lines(t: Tables) -> DataFrame:
 
 # Parallel writers per run folder: a folder that holds a third of the events is still spread.
 WRITERS_PER_FOLDER = 16
+# A writer sorts the lines of its events by folder, which are some hundred bytes each: so many events do not spill.
+EVENTS_PER_WRITER = 100_000
 
 
 def run_folders(t: Tables) -> DataFrame:
@@ -215,7 +217,8 @@ def results_tree(t: Tables) -> str:
         root = work_path(t.spark, "results")
         write_run_states(run_states(t), root)
         events = run_folders(t).withColumn("salt", F.col("event_id") % WRITERS_PER_FOLDER)
-        spread = events.repartition("suite", "name", "salt")
+        writers = max(t.spark.sparkContext.defaultParallelism, -(-t.events.count() // EVENTS_PER_WRITER))
+        spread = events.repartition(writers, "suite", "name", "salt")
         logs = {
             ("flink", "flink-u-jobmanager-h.log"): flink_v1_line(),
             ("spark", "app-1-1"): spark_json_line(),

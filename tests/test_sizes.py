@@ -64,3 +64,11 @@ def test_splits_of_many_small_files_share_tasks():
     assert len(tasks) <= 80 and sum(len(t.splits) for t in tasks) == 3000
     (alone,) = reader.partitions({}, {"/none/f": 900})
     assert [(s.at, s.until) for s in alone.splits] == [(0, 900)]
+
+
+def test_writers_of_run_folders_grow_with_the_events(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "EVENTS_PER_WRITER", 40)
+    monkeypatch.setattr(adapters, "_TREES", {})
+    root = adapters.results_tree(adapters.Tables(spark, SMALL))
+    parts = {f.split("-")[1] for _, _, files in os.walk(root.removeprefix("file:")) for f in files if f.startswith("part-")}
+    assert len(parts) > 10

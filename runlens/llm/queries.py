@@ -48,7 +48,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text, and the digest of what they decode to."""
     model = tokenizer_path(PIECES)
-    coded = sentencepiece_scan.encode(documents(spark, folder).select("doc_id", "text"), model).drop("text")
+    coded = sentencepiece_scan.encode(documents(spark, folder).select("doc_id", "text"), model, keep_text=False)
     read = sentencepiece_scan.decode(coded, model)
     return read.select("doc_id", "n_chunks", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -654,23 +654,27 @@ def int_lists(packed: list[bytes]) -> pa.ListArray:
 
 
 def encode(
-    docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id", chunk_chars: int = CHUNK_CHARS, fan: int = FAN
+    docs: DataFrame, path: str, text: str = "text", id_column: str = "doc_id", chunk_chars: int = CHUNK_CHARS, fan: int = FAN, keep_text: bool = True
 ) -> DataFrame:
-    """All columns of ``docs``, and ``ids`` (array<int>) and ``n_chunks``. Runs jobs for long documents."""
+    """All columns of ``docs``, and ``ids`` (array<int>) and ``n_chunks``. Runs jobs for long documents.
+
+    Without ``keep_text`` the text is left out: it then goes to the Python workers once and does not come back.
+    """
     m = model(path)
     if chunk_chars < m.width:
         raise ValueError(f"chunks must be as long as the longest piece, {m.width} characters")
     columns = [c for c in docs.columns if c not in ("ids", "n_chunks")]
     named = {c: f"c{i}" for i, c in enumerate(columns)}
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    kept = {c: n for c, n in named.items() if keep_text or c != text}
     body = F.coalesce(F.col(named[text]), F.lit(""))
     giant = F.char_length(body) >= chunk_chars
-    short = _with_ids(plain.where(~giant).withColumn("__body", text_bytes(named[text])), path).withColumn("__n_chunks", F.lit(1))
+    short = _with_ids(plain.where(~giant).select(*kept.values(), text_bytes(named[text]).alias("__body")), path).withColumn("__n_chunks", F.lit(1))
     keyed = plain.where(giant).withColumn(_KEY, row_key(named[id_column], named[text]))
     found = _scanned_ids(keyed.select(_KEY, text_bytes(named[text]).alias("body")), path, m.width, chunk_chars, fan)
-    long = keyed.join(found, _KEY).drop(_KEY)
+    long = keyed.select(*kept.values(), _KEY).join(found, _KEY).drop(_KEY)
     return short.unionByName(long).select(
-        *[F.col(n).alias(c) for c, n in named.items()], F.col("__ids").alias("ids"), F.col("__n_chunks").alias("n_chunks")
+        *[F.col(n).alias(c) for c, n in kept.items()], F.col("__ids").alias("ids"), F.col("__n_chunks").alias("n_chunks")
     )
 
 

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from runlens.llm import sentencepiece_scan
+from runlens.llm.queries import PIECES, tokenizer_path
 
 MADE = ("kept", "rejected_by", "n_words", "n_lines", "n_dropped", "n_dup_lines", "n_shingles", "component_id", "copies", "size", "target")
 
@@ -43,3 +45,16 @@ def test_stages_of_an_empty_table(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         done = stage(spark, docs.limit(0), "")
         assert done.isEmpty(), name
+
+
+def test_texts_go_to_the_encoder_once_and_do_not_come_back(spark, odd, monkeypatch):
+    docs = odd("one two", None, "", "three\u00a0four " * 40, "x" * 700)
+    sent, with_ids = [], sentencepiece_scan._with_ids
+    monkeypatch.setattr(sentencepiece_scan, "_with_ids", lambda rows, path: sent.append(rows.columns) or with_ids(rows, path))
+    model = tokenizer_path(PIECES)
+    whole = sentencepiece_scan.encode(docs, model, chunk_chars=300)
+    brief = sentencepiece_scan.encode(docs, model, chunk_chars=300, keep_text=False)
+    assert brief.columns == [c for c in whole.columns if c != "text"]
+    assert sorted(brief.collect()) == sorted(whole.drop("text").collect())
+    corpus_pipeline.encode_pieces(spark, docs, "")
+    assert [len(columns) for columns in sent] == [8, 7, 3]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from runlens.session import cut_lineage
@@ -32,6 +35,25 @@ def table(df: DataFrame, label: str) -> DataFrame:
         return cut_lineage(df, label)
 
 
+def give_back() -> None:
+    """Return the memory that this worker's allocators hold and do not use; workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def giving_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``work`` on the batches of a task; what it took is given back at the task's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def row_key(id_column: str = "doc_id", text: str = "text") -> Column:
     """128 bits that stand for a document in intermediate tables.
 

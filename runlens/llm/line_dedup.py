@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from runlens.llm.common import ASCII_SPACE, row_key, table, text_bytes
+from runlens.llm.common import ASCII_SPACE, giving_back, row_key, table, text_bytes
 
 _KEY = "__key"
 
@@ -60,7 +60,7 @@ def explode_lines(docs: DataFrame, text: str, key: str, min_chars: int) -> DataF
             )
 
     schema = f"{_KEY} struct<a:bigint,b:bigint>, low bigint, high bigint, places array<int>"
-    return docs.select(F.col(key).alias(_KEY), text_bytes(text).alias("body")).mapInArrow(rows, schema)
+    return docs.select(F.col(key).alias(_KEY), text_bytes(text).alias("body")).mapInArrow(giving_back(rows), schema)
 
 
 _MASK = (1 << 64) - 1
@@ -116,7 +116,7 @@ def drop_frequent_lines(
     joined = keyed.join(drops.hint("shuffle_hash"), _KEY, "left").drop(_KEY)
     fields = [f for f in joined.schema.fields if f.name not in ("__body", "__drop")]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "__kept string, __n_lines bigint, __n_dropped bigint"
-    done = joined.mapInArrow(_reassemble, schema)
+    done = joined.mapInArrow(giving_back(_reassemble), schema)
     order = {**{c: F.col(n).alias(c) for c, n in named.items()}, text: F.col("__kept").alias(text)}
     return done.select(
         *[order[c] for c in docs.columns if c in order], F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped")

@@ -42,7 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from runlens.llm.common import row_key, table, text_bytes
+from runlens.llm.common import giving_back, row_key, table, text_bytes
 from runlens.llm.components import components
 from runlens.session import broadcast_if_small
 
@@ -133,7 +133,7 @@ def _scan(docs: DataFrame, words: int, row, fields: str) -> DataFrame:
                 )
 
     schema = f"key struct<a:bigint,b:bigint>, node bigint, twin bigint, n bigint, {fields}"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)
 
 
 class _Order:
@@ -226,7 +226,7 @@ class NgramJoin:
                 held = [x[whole:] for x in now]
             yield _shared(*held)
 
-        found = light.mapInArrow(runs, "token bigint, node bigint, pos int")
+        found = light.mapInArrow(giving_back(runs), "token bigint, node bigint, pos int")
         frequent = self.firsts.where(F.size("frequent") > 0)
         frequent = frequent.select("node", F.size("light").alias("n_light"), F.posexplode("frequent").alias("pos", "token"))
         return table(found.unionByName(frequent.select("token", "node", (F.col("pos") + F.col("n_light")).alias("pos"))), "shared")
@@ -452,7 +452,7 @@ class NgramJoin:
             yield _linked_labels(*sides, t)
 
         in_order = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-        return table(in_order.mapInArrow(run, "x bigint, y bigint").distinct(), "bridges")
+        return table(in_order.mapInArrow(giving_back(run), "x bigint, y bigint").distinct(), "bridges")
 
 
 def _linked_labels(xs: list, ys: list, t: tuple[int, int]) -> pa.RecordBatch:

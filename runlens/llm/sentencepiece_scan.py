@@ -48,7 +48,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from runlens.llm.common import row_key, table, text_bytes
+from runlens.llm.common import giving_back, row_key, table, text_bytes
 
 MARK = "▁"
 CHUNK_CHARS = 32_768
@@ -573,7 +573,7 @@ def _chunk_rows(docs: DataFrame, path: str, chunk: int) -> DataFrame:
                         schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("last", pa.int64()), ("lead", pa.int32()), ("text", pa.string())]),
                     )
 
-    return docs.mapInArrow(rows, "a bigint, b bigint, n bigint, last bigint, lead int, text string")
+    return docs.mapInArrow(giving_back(rows), "a bigint, b bigint, n bigint, last bigint, lead int, text string")
 
 
 def _per_chunk(chunks: DataFrame, path: str, work: Callable, kind: str) -> DataFrame:
@@ -591,7 +591,7 @@ def _per_chunk(chunks: DataFrame, path: str, work: Callable, kind: str) -> DataF
                     [one.column(one.schema.names.index(n)) for n in names] + [pa.array([made], inner)], names=[*names, "value"]
                 )
 
-    return chunks.mapInArrow(rows, f"a bigint, b bigint, n bigint, last bigint, value array<{kind}>")
+    return chunks.mapInArrow(giving_back(rows), f"a bigint, b bigint, n bigint, last bigint, value array<{kind}>")
 
 
 def _scanned_ids(long: DataFrame, path: str, width: int, chunk: int, fan: int) -> DataFrame:
@@ -644,7 +644,7 @@ def _with_ids(rows: DataFrame, path: str) -> DataFrame:
                 )
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest) + "__ids array<int>"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def int_lists(packed: list[bytes]) -> pa.ListArray:
@@ -699,4 +699,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
                 )
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in columns) + f"`{out}` string"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
